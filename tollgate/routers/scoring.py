@@ -6,11 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tollgate.defaults import SEED
-from tollgate.functions.draws import uniform
-from tollgate.operators.sampling import make_splits  # noqa: F401  (the matching split table)
 from tollgate.routers.base import ROUTERS
-from tollgate.routers.baselines import LengthRouter, length_counts, length_shares
+from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
 from tollgate.routers.tfidf import TfidfRouter, gram_counts
 from tollgate.session import measured
 
@@ -39,10 +36,13 @@ def test_rows(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _folds(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("fold").distinct().collect())
+
+
 def _models(assigned: DataFrame) -> list[tuple[str, int, object, object]]:
     """(setup, fold, training condition, test condition) of each model to be fitted."""
-    folds = sorted(r[0] for r in assigned.select("fold").distinct().collect())
-    unseen = [("unseen_subjects", f, F.col("fold") != f, F.col("fold") == f) for f in folds]
+    unseen = [("unseen_subjects", f, F.col("fold") != f, F.col("fold") == f) for f in _folds(assigned)]
     return [("random", 0, F.col("part") == "train", F.col("part") == "test"), *unseen]
 
 
@@ -52,8 +52,8 @@ def score_splits(table: DataFrame, splits: DataFrame, name: str, **options) -> D
     router = ROUTERS[name](**options)
     if isinstance(router, LengthRouter):
         scored = _length_scores(assigned)
-    elif name in ("random", "oracle"):
-        scored = router.fit(None).score(test_rows(assigned))
+    elif isinstance(router, (RandomRouter, OracleRouter)):
+        scored = router.score(test_rows(assigned))
     else:
         scored = _fitted_scores(assigned, router)
     return scored.withColumn("router", F.lit(name)).select(*COLUMNS)
@@ -66,22 +66,14 @@ def _length_scores(assigned: DataFrame) -> DataFrame:
     random = cells.where(F.col("part") == "train").select(
         F.lit("random").alias("setup"), F.lit(0).alias("fold"), "length", "m"
     )
-    per_fold = cells.groupBy("fold", "length").agg(F.sum("m").alias("m"))
-    total = per_fold.groupBy("length").agg(F.sum("m").alias("all"))
-    folds = F.array_sort(F.collect_set("fold")).alias("folds")
-    # Every (fold, length): a handful of folds times the distinct lengths.
-    lengths_seen = per_fold.groupBy("length").agg(F.map_from_entries(F.collect_list(F.struct("fold", "m"))).alias("own"))
-    fold_list = [r[0] for r in cells.select("fold").distinct().collect()]
-    others = total.join(lengths_seen, "length").select(
-        "length", "all", "own", F.explode(F.array(*[F.lit(f) for f in sorted(fold_list)])).alias("fold")
-    ).select(
-        F.lit("unseen_subjects").alias("setup"), "fold", "length",
-        (F.col("all") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("m"),
+    folds = F.array(*[F.lit(f) for f in _folds(cells)])
+    others = cells.withColumnRenamed("fold", "own").withColumn("fold", F.explode(folds))
+    unseen = others.where(F.col("fold") != F.col("own")).select(
+        F.lit("unseen_subjects").alias("setup"), "fold", "length", "m"
     )
-    counts = random.unionByName(others)
     rows = test_rows(assigned).withColumn("length", F.length("prompt"))
     asked = rows.select("setup", "fold", "length").distinct()
-    shares = measured(length_shares(counts, asked, ["setup", "fold"]))
+    shares = measured(length_shares(random.unionByName(unseen), asked, ["setup", "fold"]))
     return rows.join(shares, ["setup", "fold", "length"], "left").drop("length")
 
 
