@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import math
 from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Stopping rule of the optimiser: tight enough that scores are stable to 1e-6.
+# Stopping rule of the optimiser.
 MAX_ITERATIONS = 2000
-TOLERANCE = 1e-8
+TOLERANCE = 1e-6
+# An iteration over fewer rows than this costs less than starting another task for it.
+ROWS_PER_TASK = 10_000
 
 
 class FittedRouter(Protocol):
@@ -61,8 +64,10 @@ def balanced_lr(train: DataFrame, features: str = "features", c: float = 1.0) ->
 
     Spark minimises the weighted mean loss plus regParam/2 * |w|^2. The weights sum to n,
     so regParam = 1 / (c * n) is the penalty of half |w|^2 against c times the loss sum.
+    ``train`` should be stored: it is read twice, then iterated over in memory.
     """
     weighted, n = with_class_weights(train)
+    weighted = weighted.select(features, "label", "weight").coalesce(math.ceil(n / ROWS_PER_TASK))
     lr = LogisticRegression(
         featuresCol=features,
         labelCol="label",
@@ -73,7 +78,7 @@ def balanced_lr(train: DataFrame, features: str = "features", c: float = 1.0) ->
         maxIter=MAX_ITERATIONS,
         tol=TOLERANCE,
     )
-    return lr.fit(weighted.select(features, "label", "weight"))
+    return lr.fit(weighted)
 
 
 def positive_score(model: LogisticRegressionModel, df: DataFrame, features: str = "features") -> DataFrame:

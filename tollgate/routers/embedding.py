@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from tollgate.routers.base import balanced_lr, positive_score, register_router, save_params
+from tollgate.session import written
 
 
 def with_embeddings(df: DataFrame, store: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ class EmbeddingRouter:
 
     def fit(self, train: DataFrame) -> "FittedEmbeddingRouter":
         rows = train if "embedding" in train.columns else with_embeddings(train, self.store)
-        return FittedEmbeddingRouter(balanced_lr(vector_column(rows)), self.store)
+        features = vector_column(rows).select("features", "need_strong")
+        return FittedEmbeddingRouter(balanced_lr(written(features, "features")), self.store)
 
 
 class FittedEmbeddingRouter:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollgate.routers.base import ROUTERS
+from tollgate.routers.base import ROUTERS, Router, balanced_lr, positive_score
 from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
-from tollgate.routers.tfidf import TfidfRouter, gram_counts
-from tollgate.session import measured
+from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, weighted_features
+from tollgate.session import measured, spread, written
 
 COLUMNS = ("setup", "router", "fold", "id", "subject", "weak_correct", "strong_correct", "need_strong", "score")
 
@@ -54,6 +57,8 @@ def score_splits(table: DataFrame, splits: DataFrame, name: str, **options) -> D
         scored = _length_scores(assigned)
     elif isinstance(router, (RandomRouter, OracleRouter)):
         scored = router.score(test_rows(assigned))
+    elif isinstance(router, TfidfRouter):
+        scored = _tfidf_scores(assigned, router)
     else:
         scored = _fitted_scores(assigned, router)
     return scored.withColumn("router", F.lit(name)).select(*COLUMNS)
@@ -77,21 +82,46 @@ def _length_scores(assigned: DataFrame) -> DataFrame:
     return rows.join(shares, ["setup", "fold", "length"], "left").drop("length")
 
 
-def _fitted_scores(assigned: DataFrame, router) -> DataFrame:
-    """One Spark ML fit per training side; scores of the test sides are put together."""
-    cells = None
-    if isinstance(router, TfidfRouter):
-        cells = measured(gram_counts(assigned, ["part", "fold"]))
-        sizes = {(r["part"], r["fold"]): r["count"] for r in assigned.groupBy("part", "fold").count().collect()}
-    parts = []
-    for setup, fold, is_train, is_test in _models(assigned):
-        train, test = assigned.where(is_train), assigned.where(is_test)
-        if cells is not None:
-            counts = cells.where(is_train).groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-            n = sum(m for (p, f), m in sizes.items() if (p == "train" if setup == "random" else f != fold))
-            fitted = router.fit_counted(train, counts, n)
-        else:
-            fitted = router.fit(train)
-        scored = fitted.score(test.withColumn("setup", F.lit(setup)).withColumn("fold", F.lit(fold)))
-        parts.append(scored.select(*[c for c in COLUMNS if c != "router"]))
-    return reduce(DataFrame.unionByName, parts)
+def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
+    """Terms are counted once per (part, fold), and a model's counts are the sum over its
+    training cells. Texts become counts over the terms of all models once; each model
+    then weighs them with its own idf, which is 0 for terms it does not know."""
+    texts = spread(assigned)
+    cells = gram_counts(texts, ["part", "fold"]).persist()
+    sizes = assigned.groupBy("part", "fold").agg(F.count("*").alias("n")).persist()
+    models = _models(assigned)
+    idfs = []
+    for _, _, is_train, _ in models:
+        counts = cells.where(is_train).groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        idfs.append(router.idf_of_terms(counts, sizes.where(is_train).agg(F.sum("n")).first()[0]))
+    cells.unpersist()
+    terms = sorted(set().union(*idfs))
+    damped = written(damped_counts(texts, terms).drop("prompt"), "counts")
+
+    def score(index: int) -> DataFrame:
+        setup, fold, is_train, is_test = models[index]
+        rows = weighted_features(damped, [idfs[index].get(t, 0.0) for t in terms])
+        model = balanced_lr(rows.where(is_train))
+        test = rows.where(is_test).withColumns({"setup": F.lit(setup), "fold": F.lit(fold)})
+        return positive_score(model, test).select(*[c for c in COLUMNS if c != "router"])
+
+    return reduce(DataFrame.unionByName, _at_once(score, len(models)))
+
+
+def _fitted_scores(assigned: DataFrame, router: Router) -> DataFrame:
+    """One fit per training side; the scores of the test sides are put together."""
+    models = _models(assigned)
+
+    def score(index: int) -> DataFrame:
+        setup, fold, is_train, is_test = models[index]
+        fitted = router.fit(assigned.where(is_train))
+        test = assigned.where(is_test).withColumns({"setup": F.lit(setup), "fold": F.lit(fold)})
+        return fitted.score(test).select(*[c for c in COLUMNS if c != "router"])
+
+    return reduce(DataFrame.unionByName, _at_once(score, len(models)))
+
+
+def _at_once(task: Callable[[int], DataFrame], n: int) -> list[DataFrame]:
+    """Submit the fits from several threads: an iteration of one rarely fills the cluster."""
+    with ThreadPool(n) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(task), range(n))

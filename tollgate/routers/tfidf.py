@@ -1,9 +1,8 @@
 """Character-gram TF-IDF plus logistic regression.
 
-Terms are counted once for the whole table, per part of the split. The counts a model
-needs are then sums over its training parts (all minus the held-out fold), so k folds do
-not mean k passes over the text. What reaches the driver is the vocabulary, at most
-``max_features`` terms.
+Text is taken apart twice however many models are fitted: once to count the terms per part
+of the split, and once to turn each text into counts over the terms of all models. What
+reaches the driver is the vocabulary, at most ``max_features`` terms per model.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tollgate.defaults import MAX_FEATURES
 from tollgate.functions.text import char_grams
 from tollgate.routers.base import balanced_lr, positive_score, register_router, save_params
+from tollgate.session import spread, written
 
 MIN_DOCUMENTS = 2
 
@@ -49,53 +49,50 @@ def vocabulary(counts: DataFrame, n_docs: int, max_features: int = MAX_FEATURES)
     return kept.withColumn("idf", idf).orderBy(F.desc("tf"), "gram").limit(max_features)
 
 
-class TfidfFeatures:
-    """Texts to unit TF-IDF vectors over a fixed vocabulary."""
+def damped_counts(df: DataFrame, terms: Sequence[str], text: str = "prompt") -> DataFrame:
+    """Add ``damped``: 1 + ln(tf) of each term that occurs in the text."""
+    count = CountVectorizerModel.from_vocabulary(list(terms), inputCol="__grams", outputCol="__tf")
+    counted = count.transform(df.withColumn("__grams", char_grams(F.col(text)))).drop("__grams")
+    return counted.withColumn("damped", _dampen("__tf")).drop("__tf")
 
-    def __init__(self, terms: list[str], idf: list[float]):
-        self.terms, self.idf = terms, idf
-        if terms:
-            self._count = CountVectorizerModel.from_vocabulary(terms, inputCol="__grams", outputCol="__tf")
-            self._weigh = ElementwiseProduct(
-                scalingVec=Vectors.dense(idf), inputCol="__damp", outputCol="__weighted"
-            )
-            self._unit = Normalizer(p=2.0, inputCol="__weighted", outputCol="features")
 
-    @classmethod
-    def fit(cls, counts: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> "TfidfFeatures":
-        rows = vocabulary(counts, n_docs, max_features).select("gram", "idf").collect()
-        if not rows:
-            raise ValueError("no gram occurs in two training texts")
-        return cls([r[0] for r in rows], [r[1] for r in rows])
-
-    def transform(self, df: DataFrame, text: str = "prompt") -> DataFrame:
-        counted = self._count.transform(df.withColumn("__grams", char_grams(F.col(text)))).drop("__grams")
-        weighed = self._weigh.transform(counted.withColumn("__damp", _dampen("__tf"))).drop("__tf", "__damp")
-        return self._unit.transform(weighed).drop("__weighted")
+def weighted_features(damped: DataFrame, idf: Sequence[float]) -> DataFrame:
+    """``damped`` times idf, at unit length, as ``features``. A term with idf 0 is switched
+    off, so one set of counts serves models with different vocabularies."""
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="damped", outputCol="__weighted")
+    unit = Normalizer(p=2.0, inputCol="__weighted", outputCol="features")
+    return unit.transform(weigh.transform(damped)).drop("damped", "__weighted")
 
 
 class TfidfRouter:
     def __init__(self, max_features: int = MAX_FEATURES):
         self.max_features = max_features
 
-    def fit(self, train: DataFrame) -> "FittedTfidfRouter":
-        return self.fit_counted(train, gram_counts(train), train.count())
+    def idf_of_terms(self, counts: DataFrame, n_docs: int) -> dict[str, float]:
+        """The vocabulary with its idf, at most ``max_features`` terms."""
+        rows = vocabulary(counts, n_docs, self.max_features).select("gram", "idf").collect()
+        if not rows:
+            raise ValueError("no gram occurs in two training texts")
+        return {r["gram"]: r["idf"] for r in rows}
 
-    def fit_counted(self, train: DataFrame, counts: DataFrame, n_docs: int) -> "FittedTfidfRouter":
-        features = TfidfFeatures.fit(counts, n_docs, self.max_features)
-        return FittedTfidfRouter(features, balanced_lr(features.transform(train)))
+    def fit(self, train: DataFrame) -> "FittedTfidfRouter":
+        train = spread(train.select("prompt", "need_strong"))
+        idf = self.idf_of_terms(gram_counts(train), train.count())
+        features = weighted_features(damped_counts(train, list(idf)), list(idf.values()))
+        model = balanced_lr(written(features.select("features", "need_strong"), "features"))
+        return FittedTfidfRouter(list(idf), list(idf.values()), model)
 
 
 class FittedTfidfRouter:
-    def __init__(self, features: TfidfFeatures, model: LogisticRegressionModel):
-        self.features, self.model = features, model
+    def __init__(self, terms: list[str], idf: list[float], model: LogisticRegressionModel):
+        self.terms, self.idf, self.model = terms, idf, model
 
     def score(self, df: DataFrame) -> DataFrame:
-        return positive_score(self.model, self.features.transform(df))
+        return positive_score(self.model, weighted_features(damped_counts(df, self.terms), self.idf))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.features.terms, self.features.idf))]
+        rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
         vocab = spark.createDataFrame(rows, "position int, gram string, idf double")
         vocab.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.model.write().overwrite().save(f"{path}/model")
@@ -104,8 +101,8 @@ class FittedTfidfRouter:
     @classmethod
     def load(cls, spark: SparkSession, path: str, params: dict) -> "FittedTfidfRouter":
         rows = spark.read.parquet(f"{path}/vocabulary").orderBy("position").collect()
-        features = TfidfFeatures([r["gram"] for r in rows], [r["idf"] for r in rows])
-        return cls(features, LogisticRegressionModel.load(f"{path}/model"))
+        model = LogisticRegressionModel.load(f"{path}/model")
+        return cls([r["gram"] for r in rows], [r["idf"] for r in rows], model)
 
 
 register_router("tfidf", TfidfRouter, FittedTfidfRouter)

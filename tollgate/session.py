@@ -47,3 +47,11 @@ def measured(df: DataFrame) -> DataFrame:
     df = df.persist()
     df.count()
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a small table before costly per-row work: a table that comes in
+    fewer files than the session has cores would leave cores idle. Tables in more
+    files, and tables not read from files, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
