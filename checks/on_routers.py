@@ -15,7 +15,7 @@ from tollgate.routers import EmbeddingRouter, LengthRouter, OracleRouter, Random
 from tollgate.routers.embedding import mean_pool, with_embeddings
 from tollgate.routers.scoring import score_splits
 from tollgate.routers.tfidf import gram_counts, vocabulary
-from tollgate.session import new_path
+from tollgate.session import new_path, written
 from tollgate.sources.bundle import load_bundle, save_router
 
 LENGTH_SHARE = "(SELECT count(*) FROM labelled t WHERE length(t.prompt) <= length(r.prompt)) / (SELECT count(*) FROM labelled)"
@@ -146,7 +146,8 @@ def score_splits_embedding(spark, sf):
 
 def _scores(spark, sf):
     table = v.labelled(spark, sf)
-    return analyse.score_all(table, make_splits(table), ["random", "length", "oracle"])
+    splits = written(make_splits(table), "splits")
+    return analyse.score_all(table, splits, ["random", "length", "oracle"])
 
 
 @check("evaluate_routers", f"WITH RECURSIVE {v.LABELLED}, {PLACES}, {gains_sql('scores', 'setup, router', 'score DESC, fold, id')}, {curve_sql('setup, router')} SELECT * FROM metric")
@@ -163,7 +164,7 @@ def router_auroc(spark, sf):
 def report_all_routers(spark, sf):
     table, store = v.labelled_with_vectors(spark, sf), v.vectors(spark, sf)
     routers = ["random", "length", "tfidf", "embedding", "oracle"]
-    scores = analyse.score_all(table, make_splits(table), routers, embedding={"store": store})
+    scores = analyse.score_all(table, written(make_splits(table), "splits"), routers, embedding={"store": store})
     return analyse.report(scores, replicates=200)
 
 

@@ -19,19 +19,28 @@ CAPITAL_LABEL = "(?<![A-Za-z])([A-E])(?![A-Za-z])"
 LEADING_MARKS = "([*\"' "
 
 
-def parse_letter(reply: Column, n_options: Column | None = None) -> Column:
-    """The single letter a reply commits to, or null.
-
-    In order: the first explicit answer phrase; null when several different capital
-    labels occur; a label the reply starts with; the only capital label in it.
-    Letters beyond ``n_options`` never count.
-    """
-    n_options = F.lit(5) if n_options is None else n_options
+def reply_labels(reply: Column) -> dict[str, Column]:
+    """What the rules look at: the label of the first answer phrase, the label the reply
+    starts with, and the distinct capital labels in it. Kept as columns of their own, so
+    that each pattern runs once per reply."""
     text = strip(reply)
-    stated = to_latin(F.regexp_extract(text, ANSWER_PHRASE, 1))
-    leading = to_latin(F.regexp_extract(F.ltrim(text, F.lit(LEADING_MARKS)), LEADING_LABEL, 1))
-    capitals = F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITAL_LABEL), F.lit(1)))
-    named = F.filter(capitals, lambda x: is_valid_letter(x, n_options))
+    return {
+        "__stated": F.regexp_extract(text, ANSWER_PHRASE, 1),
+        "__leading": F.regexp_extract(F.ltrim(text, F.lit(LEADING_MARKS)), LEADING_LABEL, 1),
+        "__capitals": F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITAL_LABEL), F.lit(1))),
+    }
+
+
+def latin_labels() -> dict[str, Column]:
+    return {c: to_latin(F.col(c)) for c in ("__stated", "__leading")}
+
+
+def chosen_letter(n_options: Column) -> Column:
+    """The single letter a reply commits to, or null. In order: the first explicit answer
+    phrase; null when several different capitals occur; a label the reply starts with; the
+    only capital in it. Letters beyond ``n_options`` never count."""
+    stated, leading = F.col("__stated"), F.col("__leading")
+    named = F.filter("__capitals", lambda x: is_valid_letter(x, n_options))
     return (
         F.when(is_valid_letter(stated, n_options), stated)
         .when(F.size(named) > 1, F.lit(None).cast("string"))

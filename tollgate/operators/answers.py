@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tollgate.defaults import ROWS_PER_BUCKET
 from tollgate.functions.outcomes import need_strong, share
-from tollgate.functions.replies import parse_letter
+from tollgate.functions.replies import chosen_letter, latin_labels, reply_labels
 from tollgate.operators.ordered import exact_quantiles
 
 ROLES = ("weak", "strong")
@@ -32,7 +32,10 @@ def pending(questions: DataFrame, responses: DataFrame, model: str) -> DataFrame
 
 
 def parse_answers(replies: DataFrame, raw: str = "raw", n_options: str = "n_options") -> DataFrame:
-    return replies.withColumn("parsed", parse_letter(F.col(raw), F.col(n_options)))
+    """Add ``parsed``: the option letter a reply commits to, or null."""
+    labels = reply_labels(F.col(raw))
+    staged = replies.withColumns(labels).withColumns(latin_labels())
+    return staged.withColumn("parsed", chosen_letter(F.col(n_options))).drop(*labels)
 
 
 def grade(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tollgate.defaults import GROUP_FOLDS, ROWS_PER_BUCKET, SEED, TEST_SIZE
 from tollgate.functions.draws import uniform
 from tollgate.operators.ordered import running_totals
-from tollgate.session import measured
+from tollgate.session import measured, written
 
 # A stratum is cut into slots of about this many rows; only one slot of it is ever sorted.
 ROWS_PER_SLOT = 100_000
@@ -128,7 +128,8 @@ def stratified_sample(
     """Proportional sample of n rows, with ``sample_rank`` as its shuffled order."""
     quotas = measured(allocate(measured(group_sizes(df, [by])), [by], n))
     marked = mark_lowest(df, [by], quotas, uniform(F.col(tie), seed), tie, rows_per_slot)
-    sample = marked.where("picked").drop("picked")
+    # Stored once: ordering reads it more than once, and drawing it again costs scans of df.
+    sample = written(marked.where("picked").drop("picked"), "sample")
     order = [uniform(F.col(tie), f"{seed}:order"), F.col(tie)]
     return running_totals(sample, [], order, {"sample_rank": F.lit(1)}, rows_per_bucket=rows_per_bucket)
 

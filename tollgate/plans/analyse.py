@@ -42,5 +42,6 @@ def decided(scores: DataFrame, evaluated: DataFrame, setup: str, router: str) ->
 
 def analyse(table: DataFrame, routers: Sequence[str], seed: int = SEED, **options) -> tuple[DataFrame, DataFrame]:
     """(scores, report) of a labelled routing table."""
-    scores = score_all(table, make_splits(table, seed), routers, **options)
+    splits = written(make_splits(table, seed), "splits")  # the same for every router
+    scores = score_all(table, splits, routers, **options)
     return scores, report(scores, seed=seed)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MAX_ITERATIONS = 2000
 TOLERANCE = 1e-6
 # An iteration over fewer rows than this costs less than starting another task for it.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 1_000
 
 
 class FittedRouter(Protocol):

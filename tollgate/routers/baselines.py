@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tollgate.defaults import SEED
 from tollgate.functions.draws import uniform
@@ -56,13 +56,27 @@ class LengthRouter:
 
 
 class FittedLengthRouter:
+    """Scores by a table with one row per whole length between the shortest and the longest
+    training prompt, so that any new prompt finds its share by an equi-join and a stream
+    can be scored. It has as many rows as the longest prompt has characters; its true size
+    decides whether it is broadcast."""
+
     def __init__(self, counts: DataFrame):
         self.counts = counts
+        by_length = Window.orderBy("length")  # distinct lengths, not rows
+        upto = running_totals(counts, [], [F.col("length")], {"upto": F.col("m")}, ["upto"])
+        steps = upto.withColumn("next", F.coalesce(F.lead("length").over(by_length), F.col("length") + 1))
+        every = F.explode(F.sequence(F.col("length"), F.col("next") - 1)).alias("length")
+        self.shares = measured(steps.select(every, F.try_divide("upto", "upto_all").alias("score")))
+        self.shortest, self.longest = self.shares.agg(F.min("length"), F.max("length")).first()
 
     def score(self, df: DataFrame) -> DataFrame:
-        df = df.withColumn("length", F.length("prompt"))
-        shares = measured(length_shares(self.counts, df.select("length").distinct(), []))
-        return df.join(shares, "length", "left").drop("length")
+        length = F.length("prompt")
+        scored = df.withColumn("__length", length).join(
+            self.shares.withColumnRenamed("length", "__length"), "__length", "left"
+        )
+        outside = F.when(F.col("__length") < self.shortest, 0.0).when(F.col("__length") > self.longest, 1.0)
+        return scored.withColumn("score", F.coalesce("score", outside)).drop("__length")
 
     def save(self, path: str) -> None:
         self.counts.write.mode("overwrite").parquet(f"{path}/lengths")
