@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.defaults import MAX_FEATURES
@@ -24,7 +24,7 @@ MIN_DOCUMENTS = 2
 
 
 @F.udf(returnType=VectorUDT())
-def _dampen(v: SparseVector) -> SparseVector:
+def _dampen(v):
     """1 + ln(tf). Spark has no transformer for it; the arithmetic is one NumPy call."""
     return Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values))
 
