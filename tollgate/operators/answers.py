@@ -19,6 +19,9 @@ ANSWER_SCHEMA = "id bigint, model string, raw string, seconds double, error stri
 class StopCalls(Exception):
     """Raised by an answer function when further calls are pointless (no credit left)."""
 
+    # Looked up by name: a worker may hold its own copy of this class.
+    stops_calls = True
+
 
 def role_of(model: Column, pair: Mapping[str, str]) -> Column:
     """The role of a model in the current pair, null for any other model."""
@@ -88,11 +91,11 @@ def answer_pending(
                     try:
                         raw, error = answer(prompt), None
                         break
-                    except StopCalls as e:
-                        error = stopped = str(e) or "stopped"
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
-                        if attempt < attempts:
+                        if getattr(e, "stops_calls", False):
+                            stopped = error
+                        elif attempt < attempts:
                             time.sleep(wait_seconds * attempt)
                 seconds = round(time.perf_counter() - started, 2)
                 rows.append((key, model, raw, seconds, error, stopped is not None))
