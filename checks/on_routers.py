@@ -14,7 +14,7 @@ from tollgate.plans import analyse, route
 from tollgate.routers import EmbeddingRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter
 from tollgate.routers.embedding import mean_pool, with_embeddings
 from tollgate.routers.scoring import score_splits
-from tollgate.routers.tfidf import gram_counts, vocabulary
+from tollgate.routers.tfidf import damped_counts, gram_counts, vocabulary, weighted_features
 from tollgate.session import new_path, written
 from tollgate.sources.bundle import load_bundle, save_router
 
@@ -72,6 +72,32 @@ def tfidf_vocabulary(spark, sf):
     return vocabulary(gram_counts(table), table.count(), 5000).select("gram", "tf", "df", F.bround("idf", 6).alias("idf"))
 
 
+TFIDF_TERMS = 3000
+
+
+@check(
+    "tfidf_weights",
+    f"""
+WITH {GRAMS}, vocab AS (SELECT gram, ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1 AS idf
+                        FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT {TFIDF_TERMS}),
+weighed AS (SELECT id, (1 + ln(count(*))) * any_value(idf) AS w FROM gram_list JOIN vocab USING (gram) GROUP BY id, gram)
+SELECT id, count(*) AS terms, round_even(sum(w) / sqrt(sum(w * w)), 6) AS total, round_even(max(w) / sqrt(sum(w * w)), 6) AS largest
+FROM weighed GROUP BY id
+""",
+)
+def tfidf_weights(spark, sf):
+    table = v.labelled(spark, sf)
+    idf = TfidfRouter(TFIDF_TERMS).idf_of_terms(gram_counts(table), table.count())
+    rows = weighted_features(damped_counts(table, list(idf)), list(idf.values()))
+    values = F.col("v.values")
+    return rows.select("id", F.unwrap_udt("features").alias("v")).where(F.size("v.indices") > 0).select(
+        "id",
+        F.size("v.indices").cast("bigint").alias("terms"),
+        F.bround(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+        F.bround(F.array_max(values), 6).alias("largest"),
+    )
+
+
 @check("tfidf_router")
 def tfidf_router(spark, sf):
     table = v.labelled(spark, sf)

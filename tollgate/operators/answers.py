@@ -30,7 +30,8 @@ def role_of(model: Column, pair: Mapping[str, str]) -> Column:
 
 def pending(questions: DataFrame, responses: DataFrame, model: str) -> DataFrame:
     """Questions without a reply of this model."""
-    done = responses.where(F.col("model") == model).select("id")
+    # Distinct on the map side first: an id with very many replies is no hot spot.
+    done = responses.where(F.col("model") == model).select("id").distinct()
     return questions.join(done, "id", "left_anti")
 
 

@@ -1,6 +1,6 @@
 """Confidence interval of APGR from resampled rows.
 
-Two forms. For groups up to ``exact_up_to`` rows, each replicate draws n rows with
+Two forms. For tables up to ``exact_up_to`` rows, each replicate draws n rows with
 replacement, as column expressions. Beyond that a row's count in a replicate is drawn from
 Poisson(1), which differs from the former only in the random total: each row needs just
 its own key, so nothing of size n * replicates is ever shuffled. Both depend on row keys
@@ -25,7 +25,7 @@ from tollgate.functions.draws import uniform
 from tollgate.operators.metrics import apgr, cum_gain, rows_at
 from tollgate.operators.ordered import BUCKET, HEADS, KEY, descending, with_buckets, with_sort_key
 
-EXACT_UP_TO = 10_000
+EXACT_UP_TO = 20_000
 POISSON_BUCKET = 100_000
 CELLS_PER_CHUNK = 2_000_000
 
@@ -42,8 +42,8 @@ def replicate_apgr(
     rows_per_bucket: int = POISSON_BUCKET,
 ) -> DataFrame:
     """(by..., replicate, apgr) with a null where a replicate has no accuracy gap."""
-    largest = scored.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= exact_up_to:
+    total = scored.select(F.lit(1)).count()
+    if total <= exact_up_to:
         return _drawn(scored, list(by), replicates, seed, score, tie, pcts)
     return _weighted(scored, list(by), replicates, seed, score, tie, pcts, rows_per_bucket)
 
@@ -58,7 +58,7 @@ def bootstrap_apgr(scored: DataFrame, by: Sequence[str] = (), **options) -> Data
 
 
 def _drawn(scored, by, replicates, seed, score, tie, pcts) -> DataFrame:
-    """Each replicate draws n rank positions; groups are small (checked by the caller)."""
+    """Each replicate draws n rank positions; the table is small (checked by the caller)."""
     gains = cum_gain(scored, by, score, tie).select(
         *by, "rank", "n", F.col("weak_correct").cast("int").alias("weak"), F.col("strong_correct").cast("int").alias("strong")
     )
@@ -137,9 +137,10 @@ def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -
     keyed, group = with_sort_key(scored, by, order)
     bucketed, _ = with_buckets(keyed, group, rows_per_bucket)
     cell = [*group, BUCKET]
+    key_fields = [f"__k{i}" for i in range(len(order))]
     rows = bucketed.drop(HEADS).select(
         *cell,
-        KEY,
+        *[F.col(f"{KEY}.k{i}").alias(c) for i, c in enumerate(key_fields)],
         F.xxhash64(F.lit(seed), *tie).alias("draw_key"),
         F.col("weak_correct").cast("int").alias("weak"),
         F.col("strong_correct").cast("int").alias("strong"),
@@ -196,7 +197,7 @@ def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -
         empty = pd.DataFrame({f.name: [] for f in found_schema})
         if wanted.empty:
             return empty
-        pdf = pdf.iloc[np.lexsort([pdf[KEY].map(lambda k: k[f]) for f in reversed(key_fields)])]
+        pdf = pdf.sort_values(key_fields)
         step = (pdf["strong"] - pdf["weak"]).to_numpy(dtype=np.int64)
         which = wanted["replicate"].to_numpy()
         target = wanted["target"].to_numpy()
@@ -217,7 +218,6 @@ def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -
         out["gained"] = gained + wanted["earlier_gain"].to_numpy()
         return out
 
-    key_fields = [f.name for f in rows.schema[KEY].dataType]
     wanted_buckets = inside.select(*cell).distinct()
     visited = rows.join(wanted_buckets, cell, "left_semi")
     found = visited.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInPandas(find_cuts, found_schema)

@@ -90,30 +90,33 @@ def mark_lowest(
     """Add ``picked``: the ``quota`` rows per group with the lowest draw in [0, 1).
 
     The draw is uniform, so equal slices of it hold about equally many rows. Slices are
-    counted per group; rows in the slices below the one where the quota runs out are in,
-    rows above are out, and only the rows of that slice are sorted. A group holding a
-    third of a huge table thus sorts about ``rows_per_slot`` rows.
+    counted per group, and only the slice in which the quota runs out is sorted, to find
+    the group's last picked row. A group holding a third of a huge table thus sorts about
+    ``rows_per_slot`` rows; the rows themselves are compared with that one row and not moved.
     """
     by = list(by)
     slots = F.ceil(F.col("size") / rows_per_slot)
     plan = quotas.select(*by, "quota", slots.alias("__slots"))
-    keyed = df.withColumn("__draw", draw).join(plan, by)
-    keyed = keyed.withColumn("__slot", F.floor(F.col("__draw") * F.col("__slots")))
+    drawn = df.withColumn("__draw", draw)
+    keyed = drawn.join(plan, by).withColumn("__slot", F.floor(F.col("__draw") * F.col("__slots")))
     counts = keyed.groupBy(*by, "quota", "__slot").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .where((F.col("__before") < F.col("quota")) & (F.col("__before") + F.col("__n") >= F.col("quota")))
-        .select(*by, F.col("__slot").alias("__cut"), (F.col("quota") - F.col("__before")).alias("__still"))
-    )
-    marked = keyed.join(measured(cut), by, "left")
-    contested = F.coalesce(F.col("__slot") == F.col("__cut"), F.lit(False))
-    settled = marked.where(~contested).withColumn(
-        "picked", F.coalesce(F.col("__slot") < F.col("__cut"), F.lit(False))
+        .select(*by, "__slot", (F.col("quota") - F.col("__before")).alias("__still"))
     )
+    contested = keyed.select(*by, "__slot", "__draw", tie).join(measured(cut), [*by, "__slot"])
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("__draw", tie))
-    sorted_slot = marked.where(contested).withColumn("picked", rank <= F.col("__still"))
-    return settled.unionByName(sorted_slot).select(*df.columns, "picked")
+    last = (
+        contested.withColumn("__rank", rank)
+        .where(F.col("__rank") == F.col("__still"))
+        .select(*by, F.struct("__draw", F.col(tie).alias("__tie")).alias("__last"))
+    )
+    # A group with quota 0 has no last row, and none of its rows is picked.
+    here = F.struct("__draw", F.col(tie).alias("__tie"))
+    picked = F.coalesce(here <= F.col("__last"), F.lit(False))
+    return drawn.join(measured(last), by, "left").withColumn("picked", picked).select(*df.columns, "picked")
 
 
 def stratified_sample(
