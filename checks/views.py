@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
         r"""
-        WITH d AS (SELECT doc_id, source, lang, filter(split(text, '\\n'), x -> trim(x) <> '') AS l FROM {documents})
+        WITH d AS (SELECT doc_id, source, lang, l FROM {documents}
+                   LATERAL VIEW explode(array(filter(split(text, '\\n'), x -> trim(x) <> ''))) lines AS l)
         SELECT d.doc_id AS ID, source AS Subject, CASE WHEN lang <> 'en' THEN lang END AS Level,
                concat(' ', l[0], '  ') AS Question, p.url AS Context,
                concat(substring('ABCDE', 1 + CAST(d.doc_id % least(5, size(l) - 1) AS INT), 1), ' ') AS `Answer Key`,
@@ -54,7 +55,8 @@ raw AS (SELECT d.doc_id AS id, source AS subject, CASE WHEN lang <> 'en' THEN la
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
         r"""
-        WITH d AS (SELECT doc_id, source, lang, filter(split(text, '\\n'), x -> trim(x) <> '') AS l FROM {documents}),
+        WITH d AS (SELECT doc_id, source, lang, l FROM {documents}
+                   LATERAL VIEW explode(array(filter(split(text, '\\n'), x -> trim(x) <> ''))) lines AS l),
         q AS (SELECT d.doc_id AS id, concat(source, ' (', lang, ')') AS subject, l[0] AS question, p.url AS context,
                      slice(l, 2, 5) AS options
               FROM d LEFT JOIN {pages} p ON p.page_id = d.doc_id WHERE size(l) >= 3)

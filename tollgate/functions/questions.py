@@ -43,9 +43,13 @@ def build_prompt(
     return F.array_join(F.concat(head, lettered, F.array(F.lit(instruction))), "\n")
 
 
-def question_lines(text: Column) -> Column:
-    """Non-blank lines; a text on one line is cut before its inline option labels."""
-    lines = F.filter(F.split(strip(text), LINE_BREAK), lambda x: strip(x) != "")
+def text_lines(text: Column) -> Column:
+    """The non-blank lines of a text."""
+    return F.filter(F.split(strip(text), LINE_BREAK), lambda x: strip(x) != "")
+
+
+def question_lines(lines: Column) -> Column:
+    """Lines as they are; a text on one line is cut before its inline option labels."""
     return F.when(F.size(lines) == 1, F.split(F.get(lines, F.lit(0)), INLINE_GAP)).otherwise(lines)
 
 

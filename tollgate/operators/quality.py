@@ -78,10 +78,16 @@ def question_features(questions: DataFrame) -> DataFrame:
 
 
 def split_questions(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Free text to ``question`` and ``options``."""
+    """Free text to ``question`` and ``options``.
+
+    The pair is generated as a row of its own: a filter on the options then stays above
+    this step, where as a column the optimizer would evaluate the split once more to
+    filter earlier."""
+    lines = texts.withColumn("__text", q.text_lines(F.col(text)))
+    lines = lines.withColumn("__lines", q.question_lines(F.col("__text")))
     question, options = q.split_question(F.col("__lines"))
-    with_lines = texts.withColumn("__lines", q.question_lines(F.col(text)))
-    return with_lines.withColumns({"question": question, "options": options}).drop("__lines")
+    pair = F.array(F.struct(question.alias("question"), options.alias("options")))
+    return lines.select(*texts.columns, F.inline(pair))
 
 
 def profile_splits(df: DataFrame, split: str, exact: bool = False) -> DataFrame:
