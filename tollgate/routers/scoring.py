@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.routers.base import ROUTERS, Router, balanced_lr, positive_score
 from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
+from tollgate.routers.embedding import EmbeddingRouter, with_embeddings
 from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, weighted_features
 from tollgate.session import measured, spread, written
 
@@ -86,9 +87,9 @@ def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
     """Terms are counted once per (part, fold), and a model's counts are the sum over its
     training cells. Texts become counts over the terms of all models once; each model
     then weighs them with its own idf, which is 0 for terms it does not know."""
-    texts = spread(assigned)
+    sizes = measured(assigned.groupBy("part", "fold").agg(F.count("*").alias("n")))
+    texts = spread(assigned, sizes.agg(F.sum("n")).first()[0] or 0)
     cells = gram_counts(texts, ["part", "fold"]).persist()
-    sizes = assigned.groupBy("part", "fold").agg(F.count("*").alias("n")).persist()
     models = _models(assigned)
     idfs = []
     for _, _, is_train, _ in models:
@@ -109,7 +110,10 @@ def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
 
 
 def _fitted_scores(assigned: DataFrame, router: Router) -> DataFrame:
-    """One fit per training side; the scores of the test sides are put together."""
+    """One fit per training side; the scores of the test sides are put together. Vectors are
+    looked up and checked once for all of them."""
+    if isinstance(router, EmbeddingRouter) and "embedding" not in assigned.columns:
+        assigned = written(with_embeddings(assigned, router.store).drop("prompt"), "rows")
     models = _models(assigned)
 
     def score(index: int) -> DataFrame:

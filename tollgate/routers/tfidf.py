@@ -76,8 +76,9 @@ class TfidfRouter:
         return {r["gram"]: r["idf"] for r in rows}
 
     def fit(self, train: DataFrame) -> "FittedTfidfRouter":
-        train = spread(train.select("prompt", "need_strong"))
-        idf = self.idf_of_terms(gram_counts(train), train.count())
+        n = train.count()
+        train = spread(train.select("prompt", "need_strong"), n)
+        idf = self.idf_of_terms(gram_counts(train), n)
         features = weighted_features(damped_counts(train, list(idf)), list(idf.values()))
         model = balanced_lr(written(features.select("features", "need_strong"), "features"))
         return FittedTfidfRouter(list(idf), list(idf.values()), model)

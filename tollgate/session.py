@@ -49,9 +49,8 @@ def measured(df: DataFrame) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a small table before costly per-row work: a table that comes in
-    fewer files than the session has cores would leave cores idle. Tables in more
-    files, and tables not read from files, are left as they are."""
+def spread(df: DataFrame, n: int, rows_per_core: int = 10_000) -> DataFrame:
+    """Deal out a small table of n rows before costly per-row work, which would else run in
+    the one or two tasks such a table comes in. Larger tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if n < cores * rows_per_core else df
