@@ -23,7 +23,8 @@ gains AS (SELECT *, count(*) {along} AS rank, sum(strong_correct::INT - weak_cor
 
 
 def curve_sql(by: str = "") -> str:
-    """CTEs ``curve`` and ``metric`` from ``gains``; ``by`` may be empty."""
+    """CTEs ``curve`` and ``metric`` from ``gains``; ``by`` may be empty. Areas are summed as
+    whole numbers, so that values on the edge of a rounding step stay exact."""
     keys = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     same = " AND ".join(f"g.{c.strip()} = t.{c.strip()}" for c in by.split(",")) if by else "true"
@@ -31,15 +32,15 @@ def curve_sql(by: str = "") -> str:
     goal = "({t} * (n_strong / n) - 1e-12)"
     return f"""
 sizes AS (SELECT {keys}max(n) AS n, max(n_weak) AS n_weak, max(n_strong) AS n_strong FROM gains {group}),
-curve AS (SELECT {', '.join(f't.{c.strip()}' for c in by.split(',')) + ', ' if by else ''}pct, k, (n_weak + coalesce(gain, 0)) / n AS accuracy, n, n_weak, n_strong
+curve AS (SELECT {', '.join(f't.{c.strip()}' for c in by.split(',')) + ', ' if by else ''}pct, k, (n_weak + coalesce(gain, 0)) / n AS accuracy, n_weak + coalesce(gain, 0) AS correct, n, n_weak, n_strong
           FROM (SELECT *, round_even(pct / 100::DOUBLE * n, 0)::BIGINT AS k FROM sizes, (SELECT unnest(range(0, 101, 5)) AS pct)) t
           LEFT JOIN (SELECT {keys}rank, gain FROM gains) g ON {same} AND g.rank = t.k),
-areas AS (SELECT {keys}sum(area) AS auc FROM (SELECT {keys}(pct - lag(pct) OVER w) / 100 * (accuracy + lag(accuracy) OVER w) / 2 AS area
+areas AS (SELECT {keys}sum(area) AS area FROM (SELECT {keys}(pct - lag(pct) OVER w) * (correct + lag(correct) OVER w) AS area
           FROM curve WINDOW w AS ({f'PARTITION BY {by} ' if by else ''}ORDER BY pct)) {group}),
 reach AS (SELECT {keys}min(100 * rank / n) FILTER ((n_weak + gain) / n >= {goal.format(t=0.9)}) AS r90,
                  min(100 * rank / n) FILTER ((n_weak + gain) / n >= {goal.format(t=0.95)}) AS r95 FROM gains {group}),
-metric AS (SELECT {keys}n AS n_test, n_weak / n AS weak_acc, n_strong / n AS strong_acc, round_even(auc, 6) AS auc,
-                  CASE WHEN n_strong > n_weak THEN round_even((auc - n_weak / n) / (n_strong / n - n_weak / n), 6) END AS apgr,
+metric AS (SELECT {keys}n AS n_test, n_weak / n AS weak_acc, n_strong / n AS strong_acc, round_even(area / (200 * n), 6) AS auc,
+                  CASE WHEN n_strong > n_weak THEN round_even((area - 200 * n_weak) / (200 * (n_strong - n_weak)), 6) END AS apgr,
                   CASE WHEN n_weak / n >= {goal.format(t=0.9)} THEN 0 ELSE round_even(r90, 6) END AS pct_strong_for_90,
                   CASE WHEN n_weak / n >= {goal.format(t=0.95)} THEN 0 ELSE round_even(r95, 6) END AS pct_strong_for_95
            FROM sizes JOIN areas {on_key} JOIN reach {on_key})
@@ -192,13 +193,13 @@ draws AS (SELECT replicate, floor({u} * n)::BIGINT + 1 AS rank
 resampled AS (SELECT replicate, weak_correct, strong_correct, n, sum(strong_correct::INT - weak_correct::INT) OVER w AS gain, row_number() OVER w AS place
               FROM draws JOIN gains USING (rank) WINDOW w AS (PARTITION BY replicate ORDER BY rank ROWS UNBOUNDED PRECEDING)),
 replicate_sums AS (SELECT replicate, max(n) AS n, sum(weak_correct::INT) AS nw, sum(strong_correct::INT) AS ns FROM resampled GROUP BY replicate),
-replicate_curve AS (SELECT s.replicate, pct, n, nw, ns, (nw + coalesce(gain, 0)) / n AS accuracy
+replicate_curve AS (SELECT s.replicate, pct, n, nw, ns, nw + coalesce(gain, 0) AS correct
     FROM (SELECT *, round_even(pct / 100::DOUBLE * n, 0)::BIGINT AS k FROM replicate_sums, (SELECT unnest(range(0, 101, 5)) AS pct)) s
     LEFT JOIN (SELECT replicate, place, gain FROM resampled) r ON r.replicate = s.replicate AND r.place = s.k),
-replicate_areas AS (SELECT replicate, n, nw, ns, sum(area) AS auc FROM (
-    SELECT *, (pct - lag(pct) OVER w) / 100 * (accuracy + lag(accuracy) OVER w) / 2 AS area
+replicate_areas AS (SELECT replicate, n, nw, ns, sum(area) AS area FROM (
+    SELECT replicate, n, nw, ns, (pct - lag(pct) OVER w) * (correct + lag(correct) OVER w) AS area
     FROM replicate_curve WINDOW w AS (PARTITION BY replicate ORDER BY pct)) GROUP BY ALL),
-replicate_apgr AS (SELECT replicate, CASE WHEN ns > nw THEN (auc - nw / n) / (ns / n - nw / n) END AS apgr FROM replicate_areas)
+replicate_apgr AS (SELECT replicate, CASE WHEN ns > nw THEN (area - 200 * nw) / (200 * (ns - nw)) END AS apgr FROM replicate_areas)
 """
 
 
