@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import mixing, quality, url_filter
+from tollgate.llm import mixing, pieces, quality, token_files, url_filter
+from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +59,18 @@ def op2_url_filter(spark, sf):
     return url_filter.filter_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf):
+    return pieces.encode_pieces(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def _due_sql(share: str, slot: str) -> str:
     """The inverse of the curves' integrals, piece by piece."""
     out = "NULL"
@@ -104,6 +117,14 @@ def op6_source_mix(spark, sf):
     return planned.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
+@query("op9_token_files")
+def op9_token_files(spark, sf):
+    """Written to the shared folder, then read back from the files."""
+    folder = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, folder)
+
+
 def _covered_sql(name: str, m: int) -> str:
     """Words in m-word windows found twice or more in their text."""
     return f"""

@@ -96,10 +96,11 @@ class Texts:
         self.bounds = bounds - bounds[0]
         self.n = len(column)
 
-    def find_words(self) -> None:
-        """Sets begin and end (bytes of each word) and words (first word of each text, and the total)."""
+    def find_words(self, cuts: np.ndarray | None = None) -> None:
+        """Sets begin and end (bytes of each word) and words (first word of each text, and the total).
+        ``cuts`` tells of places at which words are cut further; place i lies before byte i."""
         gap = GAP[self.data]
-        edge = np.zeros(len(gap) + 1, dtype=bool)
+        edge = np.zeros(len(gap) + 1, dtype=bool) if cuts is None else cuts
         edge[self.bounds] = True
         before, after = np.ones_like(gap), np.ones_like(gap)
         if len(gap):
