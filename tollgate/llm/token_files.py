@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "d
         for batch, texts in chunks(batches, "text"):
             if writer is None:
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
-                out = system.open_output_stream(f"{base}/files/.{name}")
+                out = system.open_output_stream(f"{base}/files/.{name}", compression=None)
                 writer = Writer(out)
             ids, counts = encode(texts, vocabulary, end_id)
             key = batch.column(0)
