@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tollgate.llm import mixing, pieces, quality, token_files, url_filter
+from tollgate.llm import mixing, pieces, quality, secrets, token_files, topk, url_filter
 from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,27 @@ def op3_sentencepiece(spark, sf):
     return pieces.encode_pieces(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query(
+    "op4_top_k",
+    f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     list_sum([q.e[i] * c.e[i] FOR i IN range(1, least(len(q.e), len(c.e)) + 1)])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+    SELECT * FROM ranked WHERE rank <= {topk.K}
+    """,
+)
+def op4_top_k(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_secrets")
+def op5_secrets(spark, sf):
+    return secrets.report(secrets.scan(table(spark, sf, "documents")))
+
+
 def _due_sql(share: str, slot: str) -> str:
     """The inverse of the curves' integrals, piece by piece."""
     out = "NULL"
@@ -110,8 +132,6 @@ def _due_sql(share: str, slot: str) -> str:
 )
 def op6_source_mix(spark, sf):
     """The mix's copies in training order, summed up for each document."""
-    from pyspark.sql import functions as F
-
     planned = mixing.plan(table(spark, sf, "documents"))
     first = F.round(F.get("positions", 0), 6).alias("first_position")
     return planned.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
