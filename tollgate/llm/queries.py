@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import mixing, pieces, quality, secrets, token_files, topk, url_filter
+from tollgate.llm import mixing, pieces, quality, secrets, substring_dedup, token_files, topk, url_filter
 from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query(
+    "op1_substring_dedup",
+    rf"""
+    WITH split AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    windows AS (SELECT doc_id, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) AS i,
+                       unnest([array_to_string(w[j:j + {substring_dedup.WINDOW - 1}], ' ') FOR j IN range(1, len(w) - {substring_dedup.WINDOW - 2})]) AS g
+                FROM split WHERE len(w) >= {substring_dedup.WINDOW}),
+    seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM windows),
+    gone AS (SELECT doc_id, list(DISTINCT i + k) AS at FROM seen, range({substring_dedup.WINDOW}) t(k) WHERE n > 1 GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+           sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT coalesce(list_contains(at, i), false)], ' ')) AS kept_sha256
+    FROM split LEFT JOIN gone USING (doc_id)
+    """,
+)
+def op1_substring_dedup(spark, sf):
+    return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("n_spans")
+
+
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 
