@@ -47,9 +47,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
                        unnest([array_to_string(w[j:j + {substring_dedup.WINDOW - 1}], ' ') FOR j IN range(1, len(w) - {substring_dedup.WINDOW - 2})]) AS g
                 FROM split WHERE len(w) >= {substring_dedup.WINDOW}),
     seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM windows),
-    gone AS (SELECT doc_id, list(DISTINCT i + k) AS at FROM seen, range({substring_dedup.WINDOW}) t(k) WHERE n > 1 GROUP BY doc_id)
-    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-           sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT coalesce(list_contains(at, i), false)], ' ')) AS kept_sha256
+    gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM seen, range({substring_dedup.WINDOW}) t(k) WHERE n > 1 GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+           sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT coalesce(list_contains(places, i), false)], ' ')) AS kept_sha256
     FROM split LEFT JOIN gone USING (doc_id)
     """,
 )
