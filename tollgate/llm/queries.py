@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import mixing, pieces, quality, secrets, substring_dedup, token_files, topk, url_filter
+from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets, substring_dedup, token_files, topk, url_filter
 from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,24 @@ def op9_token_files(spark, sf):
     return token_files.read_tokens(spark, folder)
 
 
+@query(
+    "op7_jaccard_join",
+    rf"""
+    WITH RECURSIVE split AS (SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+                    list_distinct([array_to_string(w[j:j + {jaccard_join.SHINGLE - 1}], ' ') FOR j IN range(1, greatest(len(w) - {jaccard_join.SHINGLE - 2}, 2))]) END AS s FROM split),
+    tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b USING (t) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+              HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n - count(*))),
+    both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, min(b) AS component_id FROM sets JOIN reach ON doc_id = a GROUP BY ALL
+    """,
+)
+def op7_jaccard_join(spark, sf):
+    return jaccard_join.join(table(spark, sf, "documents"))
+
+
 def _covered_sql(name: str, m: int) -> str:
     """Words in m-word windows found twice or more in their text."""
     return f"""
