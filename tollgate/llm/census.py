@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tollgate.session import new_path
 
-PART_BYTES = 16 << 20
-SLICE_KEYS = 2_000_000
+PART_BYTES = 8 << 20
+SLICE_KEYS = 1_000_000
 MAX_BUCKETS = 100_000
 PART = "part long"
 LISTS = "slice long, part long, n long, keys binary, extra binary, many binary"

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tollgate.llm import census
 from tollgate.llm.graph import components
-from tollgate.llm.words import Texts, mixed, prefix_hashes, span_hashes
+from tollgate.llm.words import Texts, mixed, prefix_hashes, span_hashes, table_chunks
 from tollgate.session import written
 
 SHINGLE = 5
@@ -48,7 +48,19 @@ class Shingles:
     """The distinct shingles of each text of a part."""
 
     def __init__(self, table: pa.Table, size: int):
-        texts = Texts(table.column("text"))
+        found, self.n_texts = [self.of(texts, size) for _, texts in table_chunks(table)], table.num_rows
+        firsts = np.cumsum([0, *(n for _, _, n in found)])
+        self.keys = np.concatenate([keys for keys, _, _ in found])
+        self.owner = np.concatenate([owner + first for (_, owner, _), first in zip(found, firsts, strict=False)])
+        self.sizes = np.bincount(self.owner, minlength=self.n_texts)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        # A set's name: two sums over its members, each scrambled in another way, so that order plays no part.
+        names = [mixed(self.sums(mixed(self.keys ^ U64(salt))) + self.sizes.astype(np.uint64)) for salt in (0x5DEECE66D, 0xB5297A4D3F84D5B5)]
+        self.names = [a.tobytes() + b.tobytes() for a, b in zip(*names, strict=True)]
+
+    @staticmethod
+    def of(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys in ascending order within each text, their texts, and the number of texts."""
         texts.find_words()
         words = np.diff(texts.words)
         owner = texts.text_of_words()
@@ -63,12 +75,7 @@ class Shingles:
         keys, owner = keys[order], owner[order]
         new = np.ones(len(keys), dtype=bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        self.keys, self.owner, self.n_texts = keys[new], owner[new], texts.n
-        self.sizes = np.bincount(self.owner, minlength=texts.n)
-        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        # A set's name: two sums over its members, each scrambled in another way, so that order plays no part.
-        names = [mixed(self.sums(mixed(self.keys ^ U64(salt))) + self.sizes.astype(np.uint64)) for salt in (0x5DEECE66D, 0xB5297A4D3F84D5B5)]
-        self.names = [a.tobytes() + b.tobytes() for a, b in zip(*names, strict=True)]
+        return keys[new], owner[new], texts.n
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         total = np.zeros(len(values) + 1, dtype=np.uint64)

@@ -172,8 +172,8 @@ def op9_token_files(spark, sf):
     tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
     links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b USING (t) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
               HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n - count(*))),
-    both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-    reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
     SELECT doc_id, len(s)::BIGINT AS n_shingles, min(b) AS component_id FROM sets JOIN reach ON doc_id = a GROUP BY ALL
     """,
 )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tollgate.llm import census
-from tollgate.llm.words import Texts, covered, mixed, prefix_hashes, span_hashes
+from tollgate.llm.words import Texts, covered, mixed, prefix_hashes, span_hashes, table_chunks
 from tollgate.session import written
 
 WINDOW = 35
@@ -30,18 +30,21 @@ U64 = np.uint64
 
 
 class Windows:
-    """The windows of a part: place of the first word, and two 64-bit hashes."""
+    """The windows of a part: two 64-bit hashes of each, in order, and by chunk the texts and each window's first word."""
 
     def __init__(self, table: pa.Table, size: int):
-        self.texts = Texts(table.column("text"))
-        self.texts.find_words()
-        owner = self.texts.text_of_words()
-        at = np.arange(len(owner))
-        self.begin = at[at + size <= self.texts.words[1:][owner]]
-        self.hashes = []
-        for which in (0, 1):
-            prefix = prefix_hashes(self.texts.word_hashes(which=which), which)
-            self.hashes.append(span_hashes(prefix, self.begin, self.begin + size, which))
+        self.chunks: list[tuple[Texts, np.ndarray]] = []
+        hashes: list[list[np.ndarray]] = [[], []]
+        for _, texts in table_chunks(table):
+            texts.find_words()
+            owner = texts.text_of_words()
+            at = np.arange(len(owner))
+            begin = at[at + size <= texts.words[1:][owner]]
+            for which in (0, 1):
+                prefix = prefix_hashes(texts.word_hashes(which=which), which)
+                hashes[which].append(span_hashes(prefix, begin, begin + size, which))
+            self.chunks.append((texts, begin))
+        self.hashes = [np.concatenate(x) for x in hashes]
 
 
 def cells(windows: Windows, row: int, width_bits: int) -> census.Keys:
@@ -52,7 +55,7 @@ def cells(windows: Windows, row: int, width_bits: int) -> census.Keys:
 
 def estimated(windows: Windows, flags: pa.Table, rows: int, width_bits: int, slices: int) -> np.ndarray:
     """Which windows every sketch row counts twice or more."""
-    out = np.ones(len(windows.begin), dtype=bool)
+    out = np.ones(len(windows.hashes[0]), dtype=bool)
     for row in range(rows):
         keys = cells(windows, row, width_bits)
         out &= census.counts(flags, row * slices, (row + 1) * slices)[keys.which] >= 2
@@ -93,25 +96,31 @@ def remove_repeats(
 
     def cut(part: int, table: pa.Table, flags: pa.Table) -> pa.Table:
         windows = Windows(table, window)
-        texts = windows.texts
         maybe = np.flatnonzero(estimated(windows, flags, rows, width_bits, slices))
-        found = maybe[census.counts(flags, rows * slices)[exact_keys(windows, maybe).which] >= 2]
-        begin = windows.begin[found]
-        gone = covered(len(texts.begin), begin, begin + window)
-        data, bounds = texts.joined(~gone)
-        first = gone.copy()
-        first[1:] &= ~gone[:-1] | (np.diff(texts.text_of_words()) > 0)
-        kept = [data[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        columns = [
-            table.column("doc_id"),
-            pa.array(np.diff(texts.words)),
-            pa.array(texts.per_text(gone)),
-            pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-            pa.array(texts.per_text(first)),
-        ]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans"]
-        if with_text:
-            columns, names = [*columns, pa.array([x.decode() for x in kept], pa.string())], [*names, "kept"]
-        return pa.Table.from_arrays(columns, names=names)
-
-    return census.per_part(stage.docs, counted.unionByName(exact), cut, SCHEMA + (", kept string" if with_text else ""))
+        found = np.zeros(len(windows.hashes[0]), dtype=bool)
+        found[maybe] = census.counts(flags, rows * slices)[exact_keys(windows, maybe).which] >= 2
+        columns, first = [], 0
+        for texts, begin in windows.chunks:
+            columns.append(without(texts, begin[found[first : first + len(begin)]], window, with_text))
+            first += len(begin)
+        arrays = [table.column("doc_id").combine_chunks(), *(pa.concat_arrays(x) for x in zip(*columns, strict=True))]
+        return pa.Table.from_arrays(arrays, names=[f.split(" ")[0] for f in schema.split(", ")])
+
+    schema = SCHEMA + (", kept string" if with_text else "")
+    return census.per_part(stage.docs, counted.unionByName(exact), cut, schema)
+
+
+def without(texts: Texts, begin: np.ndarray, window: int, with_text: bool) -> list[pa.Array]:
+    """What is left of the texts without the words of these windows: the columns of SCHEMA after the id."""
+    gone = covered(len(texts.begin), begin, begin + window)
+    data, bounds = texts.joined(~gone)
+    first = gone.copy()
+    first[1:] &= ~gone[:-1] | (np.diff(texts.text_of_words()) > 0)
+    kept = [data[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    columns = [
+        pa.array(np.diff(texts.words)),
+        pa.array(texts.per_text(gone)),
+        pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+        pa.array(texts.per_text(first)),
+    ]
+    return columns + [pa.array([x.decode() for x in kept], pa.string())] * with_text

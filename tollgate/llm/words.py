@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # White space of the word pattern, odd multipliers of the hashes.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -50,7 +50,7 @@ class PowerTable:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = -(-n // (1 << 18)) << 18
             self.up, self.down = powers(self.base, size), powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
@@ -159,6 +159,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = stop
 
 
+def table_chunks(table: pa.Table, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The same for a table, whose rows come in order."""
+    return chunks(iter(table.combine_chunks().to_batches()), text, limit)
+
+
 def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for each span, one after the other."""
     total = int(length.sum())
