@@ -3,10 +3,9 @@
 A corpus is staged once: cut into parts of bounded size and written to the shared folder as a table bucketed by part. Every
 later pass groups by part without moving a text. A pass lists the distinct keys of each part in ascending
 order, packed and cut at fixed places of the key range into slices. A slice gathers the lists of all parts, adds
-up their counts, and answers each list with a small count for each key. So nothing is collected or
+up their counts, and answers each list with the count of each key. So nothing is collected or
 broadcast, a key moves in a few bytes and once for each part at most, however often it occurs there, and the
-answers line up with the lists when a part computes them again. A list counts a key as one or two, a sum stops at
-255, so a count is exact only as far as it tells one from more.
+answers line up with the lists when a part computes them again.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ PART_BYTES = 8 << 20
 SLICE_KEYS = 1_000_000
 MAX_BUCKETS = 100_000
 PART = "part long"
-LISTS = "slice long, part long, n long, keys binary, extra binary, many binary"
+LISTS = "slice long, part long, n long, keys binary, extra binary, counts binary"
 FLAGS = "part long, slice long, n long, flags binary"
 
 
@@ -71,19 +70,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
 
 
-def pack_bits(flags: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
-
-
-def unpack_bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), count=n).astype(bool)
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u4")
 
 
 class Keys:
-    """Distinct keys of a part: ascending 64-bit values, with 32 more bits if wanted, and which occur there twice or more."""
+    """Distinct keys of a part: ascending 64-bit values, with 32 more bits if wanted, and how often they occur there."""
 
     def __init__(self, values: np.ndarray, extra: np.ndarray | None = None):
         order = np.argsort(values, kind="stable") if extra is None else np.lexsort((extra, values))
@@ -96,7 +91,7 @@ class Keys:
         self.which = np.empty(len(values), dtype=np.int64)
         self.which[order] = number
         self.values, self.extra = values[new], None if extra is None else extra[new]
-        self.many = np.bincount(number, minlength=len(self.values)) > 1
+        self.counts = np.bincount(number, minlength=len(self.values))
 
     def lists(self, part: int, slices: int, first: int = 0) -> Iterator[tuple]:
         """Rows of LISTS; slices are equal ranges of the values, numbered from ``first``."""
@@ -105,7 +100,7 @@ class Keys:
         for number, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.values)], strict=True)):
             if b > a:
                 extra = b"" if self.extra is None else self.extra[a:b].astype("<u4").tobytes()
-                yield first + number, part, b - a, pack(self.values[a:b]), extra, pack_bits(self.many[a:b])
+                yield first + number, part, b - a, pack(self.values[a:b]), extra, pack_counts(self.counts[a:b])
 
 
 def rows_table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
@@ -114,17 +109,17 @@ def rows_table(rows: list[tuple], names: list[str], types: list[pa.DataType]) ->
 
 
 def list_table(rows: list[tuple]) -> pa.Table:
-    return rows_table(rows, ["slice", "part", "n", "keys", "extra", "many"], [pa.int64()] * 3 + [pa.binary()] * 3)
+    return rows_table(rows, ["slice", "part", "n", "keys", "extra", "counts"], [pa.int64()] * 3 + [pa.binary()] * 3)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """Answers to all lists of a slice: the count of each key."""
     sizes = table.column("n").to_numpy()
     values = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
-    many = np.concatenate([unpack_bits(x, n) for x, n in zip(table.column("many").to_pylist(), sizes.tolist(), strict=True)])
+    counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
     extra = b"".join(table.column("extra").to_pylist())
     keys = Keys(values, np.frombuffer(extra, "<u4") if extra else None)
-    total = np.minimum(np.bincount(keys.which, weights=1.0 + many), 255).astype(np.uint8)
+    total = np.minimum(np.bincount(keys.which, weights=counts), 0xFFFFFFFF).astype(np.uint32)
     flags = np.split(total[keys.which], np.cumsum(sizes)[:-1])
     rows = [(p, s, int(n), pack_counts(f)) for p, s, n, f in zip(table.column("part").to_pylist(), table.column("slice").to_pylist(), sizes, flags, strict=True)]
     return rows_table(rows, ["part", "slice", "n", "flags"], [pa.int64()] * 3 + [pa.binary()])
@@ -139,7 +134,7 @@ def counts(flags: pa.Table, low: int = 0, high: int = 1 << 62) -> np.ndarray:
     """The answers to one set of keys, whose slices lie in [low, high), in the order of the keys."""
     rows = zip(flags.column("slice").to_pylist(), flags.column("flags").to_pylist(), strict=True)
     mine = sorted(x for x in rows if low <= x[0] < high)
-    return np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(f), np.uint8) for _, f in mine)])
+    return np.concatenate([np.zeros(0, dtype=np.uint32), *(unpack_counts(f) for _, f in mine)])
 
 
 def per_part(docs: DataFrame, flags: DataFrame | None, run: Callable[[int, pa.Table, pa.Table | None], pa.Table], schema: str) -> DataFrame:
