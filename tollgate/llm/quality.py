@@ -171,3 +171,13 @@ def quality(
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values())], names=["doc_id", *found])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, max_share: int = MAX_SHARE, longest_repeat: int = LONGEST_REPEAT) -> DataFrame:
+    """The rows whose text is kept by the rules, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, text_col):
+            yield part.filter(pa.array(judge(texts, min_repeat, max_share, longest_repeat)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

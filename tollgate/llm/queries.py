@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets, substring_dedup, token_files, topk, url_filter
+from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets, substring_dedup, suffix_dedup, token_files, topk, url_filter
 from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,11 @@ def op7_jaccard_join(spark, sf):
     return jaccard_join.join(table(spark, sf, "documents"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 def _covered_sql(name: str, m: int) -> str:
     """Words in m-word windows found twice or more in their text."""
     return f"""

@@ -12,7 +12,7 @@ import numpy as np
 
 from tollgate.llm.words import ranges
 
-LIMIT = 2_000_000
+LIMIT = 1_000_000
 #: Gets places of words; returns their ids, one after the other, and how many each has.
 Encode = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
