@@ -32,8 +32,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs)
 
 
+def new_name() -> str:
+    """A column name that no table has."""
+    return f"c_{uuid.uuid4().hex}"
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = f"id_{uuid.uuid4().hex}"
+    key = new_name()
     made = F.lit(MADE_IDS) + F.pmod(F.xxhash64("text"), F.lit(MADE_IDS))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
     joined = jaccard_join.join(named, id_col=key)
@@ -46,14 +51,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, carry=True)
-    text = secrets.redacted(F.col("row.text"), F.col("spans"))
-    new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    row, clean = new_name(), new_name()
+    found = secrets.scan(docs, carry=row)
+    found = found.select(row, secrets.redacted(F.col(f"{row}.text"), F.col("spans")).alias(clean))
+    size = F.when(F.col(clean) != F.col(f"{row}.text"), F.length(clean)).otherwise(F.col(f"{row}.n_chars")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col(clean), "n_chars": size}
+    return found.select(*[new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(mixing.plan(docs, carry=True)).select("row.*")
+    row = new_name()
+    return mixing.curriculum(mixing.plan(docs, carry=row)).select(f"{row}.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

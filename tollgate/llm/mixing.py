@@ -84,14 +84,14 @@ def plan(
     max_epochs: int = MAX_EPOCHS,
     curves: tuple = CURVES,
     seed: str = SEED,
-    carry: bool = False,
+    carry: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken and ``positions``, the times in
-    [0, 1] at which its copies are due, one for each epoch that takes it. With ``carry`` the input row comes along as the struct ``row``.
+    [0, 1] at which its copies are due, one for each epoch that takes it. ``carry`` names a struct in which the input row comes along.
 
     A copy is taken if its middle lies before the target, so a source misses its target by half a
     document at most. Words are counted once and written to the shared folder."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *row)
     sized = written(sized.withColumn("key", F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
     sizes = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
@@ -116,7 +116,7 @@ def plan(
         "doc_id", "size", "source_size", "target",
         (F.size("middle") * F.col("size")).alias("taken"),
         positions.alias("positions"),
-        *["row"] * carry,
+        *[carry] * bool(carry),
     )
 
 

@@ -149,12 +149,12 @@ def bars(tokens: DataFrame, max_false: float = MAX_FALSE) -> dict[int, int]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_false: float = MAX_FALSE, carry: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_false: float = MAX_FALSE, carry: str | None = None) -> DataFrame:
     """One row per document: doc_id, ``base`` and ``spans``, arrays of (start, kind_no, end) in order, where
-    ``spans`` has the base ones and the tokens found random that overlap none of them. With ``carry`` the input row comes along as the struct ``row``.
+    ``spans`` has the base ones and the tokens found random that overlap none of them. ``carry`` names a struct in which the input row comes along.
     What the patterns find is written to the shared folder once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("scanned"), *row)
     assign = F.filter(matches(F.col("scanned"), ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], f"^(?:{ASSIGN})", 2)) >= ASSIGN_LEAST)
     numbered = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind_no"), s["end"].alias("end")))
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fa
 
     random = F.transform(F.filter("tokens", counts), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind_no"), t["end"].alias("end")))
     out = rows.withColumn("spans", F.array_sort(F.concat("base", random)))
-    return out.select("doc_id", "base", "spans", *["row"] * carry)
+    return out.select("doc_id", "base", "spans", *[carry] * bool(carry))
 
 
 def listed(spans: Column) -> Column:
