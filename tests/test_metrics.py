@@ -4,25 +4,27 @@ import pytest
 
 from tollgate.operators import decisions, metrics
 
-PCTS = [0, 25, 50, 75, 100]
+PCTS = [0, 20, 40, 60, 80, 100]
 
 
 @pytest.fixture(scope="module")
-def four(spark):
-    rows = [(0, False, True, 0.9), (1, True, True, 0.1), (2, False, True, 0.6), (3, True, False, 0.3)]
+def five(spark):
+    """In routing order 4, 2, 0, 3, 1 the strong model wins, wins, loses, wins, changes nothing."""
+    rows = [(0, True, False, 0.5), (1, True, True, 0.2), (2, False, True, 0.7), (3, False, True, 0.4), (4, False, True, 0.8)]
     return spark.createDataFrame(rows, "id long, weak_correct boolean, strong_correct boolean, score double")
 
 
-def test_curve_by_hand(four):
-    curve = {r.pct: r.accuracy for r in metrics.accuracy_curve(four, pcts=PCTS).collect()}
-    assert curve == {0: 0.5, 25: 0.75, 50: 1.0, 75: 0.75, 100: 0.75}
+def test_curve_by_hand(five):
+    curve = {r.pct: r.accuracy for r in metrics.accuracy_curve(five, pcts=PCTS).collect()}
+    assert curve == {0: 0.4, 20: 0.6, 40: 0.8, 60: 0.6, 80: 0.8, 100: 0.8}
 
 
-def test_area_apgr_and_calls_by_hand(four):
-    m = metrics.evaluate(four, pcts=PCTS, targets=(0.9, 1.0, 1.5)).first()
-    assert m.n_test == 4 and (m.weak_acc, m.strong_acc) == (0.5, 0.75)
-    assert m.auc == pytest.approx(0.78125) and m.apgr == pytest.approx(1.125)
-    assert (m.pct_strong_for_90, m.pct_strong_for_100, m.pct_strong_for_150) == (25.0, 25.0, None)
+def test_area_apgr_and_calls_by_hand(five):
+    # Trapezoids of width 0.2: 0.1 + 0.14 + 0.14 + 0.14 + 0.16 = 0.68; (0.68 - 0.4) / (0.8 - 0.4) = 0.7.
+    m = metrics.evaluate(five, pcts=PCTS, targets=(0.75, 1.0, 1.2)).first()
+    assert m.n_test == 5 and (m.weak_acc, m.strong_acc) == (0.4, 0.8)
+    assert m.auc == pytest.approx(0.68) and m.apgr == pytest.approx(0.7)
+    assert (m.pct_strong_for_75, m.pct_strong_for_100, m.pct_strong_for_120) == (20.0, 40.0, None)
 
 
 def test_flat_curve_and_missing_gap(spark):
@@ -45,19 +47,22 @@ def test_operating_point_falls_back(spark):
 
 @pytest.fixture(scope="module")
 def decided(spark):
-    rows = [(0, 0.9, True, False), (1, 0.1, False, True), (2, 0.6, False, True), (3, 0.3, True, False)]
+    rows = [(7, 0.2, False, True), (8, 0.9, False, True), (9, 0.8, True, False), (10, 0.7, True, False), (11, 0.1, True, False), (12, 0.3, False, True)]
     df = spark.createDataFrame(rows, "id long, score double, weak_correct boolean, need_strong boolean")
     return decisions.mark_decisions(df, 50.0)
 
 
 def test_decisions_of_the_top_half(decided):
     flags = {r.id: (r.sent_to_strong, r.missed, r.wasted) for r in decided.collect()}
-    assert flags == {0: (True, False, True), 1: (False, True, False), 2: (True, False, False), 3: (False, False, False)}
-    assert decisions.decision_totals(decided).first() == (4, 1, 2, 1, 2)
+    sent = {8: (True, False, False), 9: (True, False, True), 10: (True, False, True)}
+    assert flags == sent | {7: (False, True, False), 11: (False, False, False), 12: (False, True, False)}
+    assert tuple(decisions.decision_totals(decided).first()) == (6, 2, 3, 2, 3)
 
 
 def test_worst_examples(decided):
-    assert {r.error: r.id for r in decisions.worst_examples(decided, 2).collect()} == {"missed": 1, "wasted": 0}
+    """The missed ones from the lowest score on, the wasted ones from the highest."""
+    got = [(r.error, r.id) for r in decisions.worst_examples(decided, 4).collect()]
+    assert got == [("missed", 7), ("missed", 12), ("wasted", 9), ("wasted", 10)]
 
 
 def test_worst_examples_share(spark):

@@ -2,14 +2,18 @@ import pytest
 
 from tollgate.operators.answers import grade, parse_answers
 
-VALID = [
-    ("C", "C"), ("  d  ", "D"), ("C.", "C"), ("(E)", "E"), ("B) second", "B"), ("Answer: C", "C"),
-    ("I think the answer is [D].", "D"), ("**A**", "A"), ("الإجابة: C", "C"), ("الإجابة الصحيحة هي ج", "C"),
-    ("الجواب هو د", "D"), ("الاجابة هي ب", "B"), ("ب", "B"), ("أ", "A"), ("هـ", "E"), ("الخيار D هو الأصح", "D"),
-    ("a cat", "A"), ("Aـ", "A"), ("بـ", "B"), ("answer is B", "B"), ("ANSWER:E", "E"),
-    ("Answer: B, not C", "B"), ("\"B\" it is", "B"),
-]
-INVALID = ["", None, "   ", "لا أدري", "A or D", "Bad", "The right option is", "ABCD", "بيت", "answers vary"]
+# Built from the rules: a phrase, a gap, a label, and what may follow a label.
+PHRASES = ("Answer", "my answer is", "الجواب هو", "الاجابة", "الإجابة الصحيحة")
+GAPS = (": ", " (", "： [", " - ")
+LABELS = (("D", "D"), ("e", "E"), ("ج", "C"), ("هـ", "E"))
+AFTER = ("", ".", ") because of B", "]\nnothing else")
+STATED = [(p + g + x + after, want) for p in PHRASES for g, after in zip(GAPS, AFTER, strict=True) for x, want in LABELS]
+LEADING = [(f"{mark}{x}{after}", want) for mark in ("", "* ", "(", "'") for x, want in LABELS for after in ("", ") so it is", "\n")]
+ONLY_CAPITAL = [(f"{before}E{after}", "E") for before in ("I pick ", "it must be: ", "السؤال ") for after in ("", "!", " , surely")]
+VALID = STATED + LEADING + ONLY_CAPITAL
+GLUED = ["Cz", "answer Dz", "zE", "جر", "الجواب در"]  # a letter right beside a label
+HEDGED = [f"{x} {word} {y}" for x, y in (("B", "E"), ("C", "D")) for word in ("or", "maybe", "/")]
+INVALID = ["", None, " \n ", "no letter at all", "12", "ABE"] + GLUED + [f"either {h}" for h in HEDGED]
 
 
 def parsed(spark, rows):
@@ -23,9 +27,9 @@ def test_replies(spark):
 
 
 def test_letters_beyond_the_options_do_not_count(spark):
-    # "A or D" names only one letter which is possible with three options.
-    rows = [("E", 3), ("C", 3), ("A or D", 3), ("Answer: E then B", 3), ("Answer: E", 4), ("B", None)]
-    assert parsed(spark, rows) == [None, "C", "A", "B", None, "B"]
+    # Of two letters only the first is possible with two options; without a count all five are.
+    rows = [("D", 2), ("B", 2), ("either B or C", 2), ("answer: C, else A", 2), ("answer is D", 3), ("E", None)]
+    assert parsed(spark, rows) == [None, "B", "B", "A", None, "E"]
 
 
 @pytest.mark.parametrize("letter, answer, expected", [("B", "B", (True, False)), ("A", "B", (False, False)), (None, "B", (False, True))])
