@@ -205,7 +205,7 @@ replicate_apgr AS (SELECT replicate, CASE WHEN ns > nw THEN (area - 200 * nw) /
 
 @check("bootstrap_replicates", f"WITH {BY_LENGTH}, {drawn_sql('by_length')} SELECT replicate::INT AS replicate, round_even(apgr, 6) AS apgr FROM replicate_apgr")
 def bootstrap_replicates(spark, sf):
-    return round6(bootstrap.replicate_apgr(by_length(spark, sf), replicates=DRAWN), "apgr")
+    return round6(bootstrap.replicate_apgr(by_length(spark, sf), replicates=DRAWN, method="drawn"), "apgr")
 
 
 @check(
@@ -216,9 +216,9 @@ WITH {BY_LENGTH}, {drawn_sql('by_length')} SELECT round_even(quantile_cont(apgr,
 """,
 )
 def bootstrap_apgr(spark, sf):
-    return round6(bootstrap.bootstrap_apgr(by_length(spark, sf), replicates=DRAWN), "apgr_ci_low", "apgr_ci_high")
+    return round6(bootstrap.bootstrap_apgr(by_length(spark, sf), replicates=DRAWN, method="drawn"), "apgr_ci_low", "apgr_ci_high")
 
 
 @check("bootstrap_apgr_large")
 def bootstrap_apgr_large(spark, sf):
-    return bootstrap.bootstrap_apgr(v.orders_scored(spark, sf), replicates=200, exact_up_to=100, rows_per_bucket=2000)
+    return bootstrap.bootstrap_apgr(v.orders_scored(spark, sf), replicates=1000)

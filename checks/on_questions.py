@@ -118,7 +118,7 @@ WITH {v.QUESTIONS}, unsound AS (
          options[1:1 + length(question) % 3] AS options FROM questions)
 SELECT count(*) AS n, count(*) - count(DISTINCT id) AS repeated_id,
        count(*) FILTER (instr('ABCDE', answer_letter) = 0) AS bad_letter,
-       count(*) FILTER (len(options) < 2) AS too_few_options,
+       count(*) FILTER (len(options) < 2) AS too_few_options, count(*) FILTER (len(options) > 5) AS too_many_options,
        count(*) FILTER (instr('ABCDE', answer_letter) > len(options)) AS answer_without_option
 FROM unsound
 """,

@@ -25,41 +25,65 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # --- questions -------------------------------------------------------------------------
 
+# Every non-blank line of a document is used: six lines make a question with five options, the last question of a
+# document has the rest (further lines belong to its last option). A text of fewer lines is taken word by
+# word, with all words from the third on as the second option. The first question of a document has its id.
+NEXT_ID = 1 << 40
+
+BLOCKS = rf"""
+d AS (SELECT doc_id, source, lang, filter(split(text, '\\n'), x -> trim(x) <> '') AS l,
+             filter(split(replace(text, '\n', ' '), ' '), x -> x <> '') AS w FROM {{documents}}),
+u AS (SELECT doc_id, source, lang, CASE WHEN size(l) >= 3 THEN l
+             WHEN size(w) >= 3 THEN array(w[0], w[1], array_join(slice(w, 3, size(w)), ' ')) END AS l FROM d),
+k AS (SELECT *, explode(sequence(0, CAST(greatest(1, size(l) div 6) AS INT) - 1)) AS k FROM u WHERE l IS NOT NULL),
+b AS (SELECT doc_id + k * {NEXT_ID} AS id, doc_id, source, lang,
+             CASE WHEN k < size(l) div 6 - 1 THEN slice(l, 6 * k + 1, 6) ELSE slice(l, 6 * k + 1, size(l)) END AS l FROM k),
+lines AS (SELECT id, doc_id, source, lang, l[0] AS question, CASE WHEN size(l) <= 6 THEN slice(l, 2, 5)
+             ELSE concat(slice(l, 2, 4), array(array_join(slice(l, 6, size(l)), ' '))) END AS options FROM b)
+"""
+
+BLOCKS_SQL = rf"""
+block_d AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l,
+                   list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents),
+block_u AS (SELECT doc_id, source, lang, CASE WHEN len(l) >= 3 THEN l
+                   WHEN len(w) >= 3 THEN [w[1], w[2], array_to_string(w[3:], ' ')] END AS l FROM block_d),
+block_k AS (SELECT *, unnest(range(0, greatest(1, len(l) // 6))) AS k FROM block_u WHERE l IS NOT NULL),
+block_b AS (SELECT doc_id + k * {NEXT_ID} AS id, doc_id, source, lang,
+                   CASE WHEN k < len(l) // 6 - 1 THEN l[6 * k + 1:6 * k + 6] ELSE l[6 * k + 1:] END AS l FROM block_k),
+blocks AS (SELECT id, doc_id, source, lang, l[1] AS question, CASE WHEN len(l) <= 6 THEN l[2:6]
+                   ELSE list_concat(l[2:5], [array_to_string(l[6:], ' ')]) END AS options FROM block_b)
+"""
+
+
 def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
-        r"""
-        WITH d AS (SELECT doc_id, source, lang, l FROM {documents}
-                   LATERAL VIEW explode(array(filter(split(text, '\\n'), x -> trim(x) <> ''))) lines AS l)
-        SELECT d.doc_id AS ID, source AS Subject, CASE WHEN lang <> 'en' THEN lang END AS Level,
-               concat(' ', l[0], '  ') AS Question, p.url AS Context,
-               concat(substring('ABCDE', 1 + CAST(d.doc_id % least(5, size(l) - 1) AS INT), 1), ' ') AS `Answer Key`,
-               get(l, 1) AS `Option 1`, get(l, 2) AS `Option 2`, get(l, 3) AS `Option 3`,
-               get(l, 4) AS `Option 4`, get(l, 5) AS `Option 5`,
+        "WITH " + BLOCKS + r"""
+        SELECT d.id AS ID, source AS Subject, CASE WHEN lang <> 'en' THEN lang END AS Level,
+               concat(' ', question, '  ') AS Question, p.url AS Context,
+               concat(substring('ABCDE', 1 + CAST(d.id % size(options) AS INT), 1), ' ') AS `Answer Key`,
+               get(options, 0) AS `Option 1`, get(options, 1) AS `Option 2`, get(options, 2) AS `Option 3`,
+               get(options, 3) AS `Option 4`, get(options, 4) AS `Option 5`,
                CASE WHEN lang = 'es' THEN 'dev' ELSE 'test' END AS split
-        FROM d LEFT JOIN {pages} p ON p.page_id = d.doc_id WHERE size(l) >= 3
+        FROM lines d LEFT JOIN {pages} p ON p.page_id = d.doc_id
         """,
         documents=table(spark, sf, "documents"),
         pages=table(spark, sf, "pages"),
     )
 
 
-RAW = r"""
-raw_d AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
-raw AS (SELECT d.doc_id AS id, source AS subject, CASE WHEN lang <> 'en' THEN lang END AS level, l[1] AS question,
-               p.url AS context, substring('ABCDE', (1 + d.doc_id % least(5, len(l) - 1))::INT, 1) AS answer_letter,
-               l[2:6] AS options, CASE WHEN lang = 'es' THEN 'dev' ELSE 'test' END AS split
-        FROM raw_d d LEFT JOIN pages p ON p.page_id = d.doc_id WHERE len(l) >= 3)
+RAW = BLOCKS_SQL + r""",
+raw AS (SELECT d.id, source AS subject, CASE WHEN lang <> 'en' THEN lang END AS level, question,
+               p.url AS context, substring('ABCDE', (1 + d.id % len(options))::INT, 1) AS answer_letter,
+               options, CASE WHEN lang = 'es' THEN 'dev' ELSE 'test' END AS split
+        FROM blocks d LEFT JOIN pages p ON p.page_id = d.doc_id)
 """
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
-        r"""
-        WITH d AS (SELECT doc_id, source, lang, l FROM {documents}
-                   LATERAL VIEW explode(array(filter(split(text, '\\n'), x -> trim(x) <> ''))) lines AS l),
-        q AS (SELECT d.doc_id AS id, concat(source, ' (', lang, ')') AS subject, l[0] AS question, p.url AS context,
-                     slice(l, 2, 5) AS options
-              FROM d LEFT JOIN {pages} p ON p.page_id = d.doc_id WHERE size(l) >= 3)
+        "WITH " + BLOCKS + r""",
+        q AS (SELECT d.id, concat(source, ' (', lang, ')') AS subject, question, p.url AS context, options
+              FROM lines d LEFT JOIN {pages} p ON p.page_id = d.doc_id)
         SELECT *, substring('ABCDE', 1 + CAST(id % size(options) AS INT), 1) AS answer_letter FROM q
         """,
         documents=table(spark, sf, "documents"),
@@ -67,10 +91,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUESTIONS = r"""
-question_d AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
-question_q AS (SELECT d.doc_id AS id, concat(source, ' (', lang, ')') AS subject, l[1] AS question, p.url AS context, l[2:6] AS options
-               FROM question_d d LEFT JOIN pages p ON p.page_id = d.doc_id WHERE len(l) >= 3),
+QUESTIONS = BLOCKS_SQL + r""",
+question_q AS (SELECT d.id, concat(source, ' (', lang, ')') AS subject, question, p.url AS context, options
+               FROM blocks d LEFT JOIN pages p ON p.page_id = d.doc_id),
 questions AS (SELECT *, substring('ABCDE', (1 + id % len(options))::INT, 1) AS answer_letter FROM question_q)
 """
 
@@ -185,9 +208,8 @@ SELECT user_id AS id, model, seq, seconds,
 FROM (SELECT user_id, event_id AS seq, value AS seconds, k, substring('ABCDE', 1 + k % 5, 1) AS L,
         substring('أبجده', 1 + k % 5, 1) AS A,
         CASE event_type WHEN 'click' THEN 'small-v1' WHEN 'purchase' THEN 'large-v1'
-             WHEN 'view' THEN 'small-v0' WHEN 'signup' THEN 'large-v0' END AS model
-      FROM (SELECT *, CAST({k} AS INT) AS k FROM {events}) e0
-      WHERE event_type <> 'error') e1
+             WHEN 'view' THEN 'small-v0' WHEN 'signup' THEN 'large-v0' WHEN 'error' THEN 'other-v0' END AS model
+      FROM (SELECT *, CAST({k} AS INT) AS k FROM {events}) e0) e1
 """
 
 

@@ -108,15 +108,21 @@ def test_folds_equal_the_greedy_rule(spark):
     assert {r.g: r.fold for r in got} == lightest_first(sizes, 5)[0]
 
 
-def test_many_groups_are_dealt_in_bulk_and_stay_even(spark):
+@pytest.mark.parametrize("k", [2, 5, 7])
+def test_many_groups_follow_the_same_rule(spark, k):
     rng = random.Random(4)
-    sizes = [(f"g{i:04d}", 2000 if i == 0 else rng.randint(1, 9)) for i in range(3000)]
-    got = sampling.fold_of_groups(spark.createDataFrame(sizes, "g string, size long"), "g", 5, head=50).collect()
-    assert sorted(r.g for r in got) == sorted(g for g, _ in sizes)
-    load = Counter()
-    for r in got:
-        load[r.fold] += r.size
-    assert max(load.values()) - min(load.values()) <= 20
+    sizes = [(f"g{i:04d}", 2000 if i == 0 else rng.randint(1, 9)) for i in range(3000)] + [("h", 777), ("empty", 0)]
+    got = sampling.fold_of_groups(spark.createDataFrame(sizes, "g string, size long"), "g", k, rows_per_bucket=100).collect()
+    assert {r.g: r.fold for r in got} == lightest_first(sizes, k)[0]
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(i, None if i % 10 < 3 else f"s{i % 4}", None if i % 10 == 0 else i % 3 == 0) for i in range(100)], "id long, subject string, need_strong boolean")
+    assert sampling.stratified_sample(df, "subject", 20).count() == 20
+    folds = sampling.group_folds(df).collect()
+    assert len(folds) == 100 and len({r.fold for r in folds if r.subject is None}) == 1
+    parts = Counter(r.part for r in sampling.random_split(df).collect())
+    assert parts == {"test": 30, "train": 70}
 
 
 def test_split_table_has_no_leak(spark):

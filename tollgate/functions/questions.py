@@ -34,13 +34,16 @@ def is_ambiguous(options: Column, letter: Column) -> Column:
 def build_prompt(
     question: Column, options: Column, context: Column | None = None, instruction: str = INSTRUCTION
 ) -> Column:
-    """Context (when it holds text), question, lettered options, instruction; one per line."""
+    """Context (when it holds text), question, lettered options, instruction; one per line. Options
+    beyond the last letter are an error."""
     head = F.array(strip(question))
     if context is not None:
         passage = strip(context)
         head = F.when(passage != "", F.array(passage, strip(question))).otherwise(head)
     lettered = F.transform(options, lambda o, i: F.concat(index_letter(i + 1), F.lit(". "), strip(o)))
-    return F.array_join(F.concat(head, lettered, F.array(F.lit(instruction))), "\n")
+    prompt = F.array_join(F.concat(head, lettered, F.array(F.lit(instruction))), "\n")
+    too_many = F.raise_error(F.concat(F.lit(f"more than {len(LETTERS)} options: "), F.size(options).cast("string")))
+    return F.when(F.size(options) > len(LETTERS), too_many).otherwise(prompt)
 
 
 def text_lines(text: Column) -> Column:

@@ -1,10 +1,11 @@
 """Confidence interval of APGR from resampled rows.
 
-Two forms. For tables up to ``exact_up_to`` rows, each replicate draws n rows with
-replacement, as column expressions. Beyond that a row's count in a replicate is drawn from
-Poisson(1), which differs from the former only in the random total: each row needs just
-its own key, so nothing of size n * replicates is ever shuffled. Both depend on row keys
-and the seed only, so the layout of the table does not matter.
+Two forms, chosen by the caller and never by the size of the table. ``poisson``, the usual one: a
+row's count in a replicate is drawn from Poisson(1). Each row needs just its own key, so nothing
+of size n * replicates is ever shuffled, and a group's interval does not depend on what other groups
+the table has. ``drawn``: each replicate draws n rows with replacement, as column expressions; it differs
+only in the fixed total and shuffles n * replicates rows. Both depend on row keys and the seed only,
+so the layout of the table does not matter.
 
 The Poisson form makes two passes over buckets of the routing order. The first sums
 the drawn weights per bucket and replicate. Their running totals tell in which bucket each
@@ -25,7 +26,6 @@ from tollgate.functions.draws import uniform
 from tollgate.operators.metrics import apgr, cum_gain, rows_at
 from tollgate.operators.ordered import BUCKET, HEADS, KEY, descending, with_buckets, with_sort_key
 
-EXACT_UP_TO = 20_000
 POISSON_BUCKET = 100_000
 CELLS_PER_CHUNK = 2_000_000
 
@@ -38,13 +38,14 @@ def replicate_apgr(
     score: str = "score",
     tie: Sequence[str] = ("id",),
     pcts: Sequence[int] = STRONG_PCTS,
-    exact_up_to: int = EXACT_UP_TO,
+    method: str = "poisson",
     rows_per_bucket: int = POISSON_BUCKET,
 ) -> DataFrame:
     """(by..., replicate, apgr) with a null where a replicate has no accuracy gap."""
-    total = scored.select(F.lit(1)).count()
-    if total <= exact_up_to:
+    if method == "drawn":
         return _drawn(scored, list(by), replicates, seed, score, tie, pcts)
+    if method != "poisson":
+        raise ValueError(f"no such method: {method}")
     return _weighted(scored, list(by), replicates, seed, score, tie, pcts, rows_per_bucket)
 
 
@@ -58,7 +59,7 @@ def bootstrap_apgr(scored: DataFrame, by: Sequence[str] = (), **options) -> Data
 
 
 def _drawn(scored, by, replicates, seed, score, tie, pcts) -> DataFrame:
-    """Each replicate draws n rank positions; the table is small (checked by the caller)."""
+    """Each replicate draws n rank positions."""
     gains = cum_gain(scored, by, score, tie).select(
         *by, "rank", "n", F.col("weak_correct").cast("int").alias("weak"), F.col("strong_correct").cast("int").alias("strong")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tollgate.defaults import MIN_SUBJECT_POSITIVES, MIN_SUBJECT_ROWS, ROWS_PER_BUCKET, WORST_EXAMPLES
 from tollgate.functions.outcomes import share
+from tollgate.operators.keys import join_null_safe
 from tollgate.operators.ordered import auroc, descending, exact_quantiles, running_totals
 
 FEATURES = ("n_options", "has_context", "prompt_chars")
@@ -87,7 +88,7 @@ def subject_failures(
         & (F.col("need_strong") >= min_positives)
         & (F.col("need_strong") < F.col("n"))
     )
-    table = rates.join(areas, "subject").withColumn("auroc", F.when(enough, F.col("auroc")))
+    table = join_null_safe(rates, areas, ["subject"]).withColumn("auroc", F.when(enough, F.col("auroc")))
     return table.orderBy(F.asc_nulls_last("auroc"), "subject")
 
 

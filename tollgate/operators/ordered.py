@@ -18,6 +18,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tollgate.defaults import MAX_BUCKETS, ROWS_PER_BUCKET, SAMPLES_PER_BUCKET
+from tollgate.operators.keys import join_null_safe
 
 KEY, BUCKET, ALL_ROWS = "__key", "__bucket", "__all"
 HEADS, CHUNKS = "__heads", "__chunks"
@@ -61,7 +62,7 @@ def split_points(keyed: DataFrame, group: list[str], rows_per_bucket: int) -> Da
     rates = [T.StructField("buckets", T.IntegerType()), T.StructField("rate", T.DoubleType())]
     plan = spark.createDataFrame(wanted, T.StructType(group_fields + rates))
     unit = F.pmod(F.xxhash64(KEY), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = keyed.select(*group, KEY).join(F.broadcast(plan), group).where(unit < F.col("rate"))
+    sample = join_null_safe(keyed.select(*group, KEY), plan, group, broadcast=True).where(unit < F.col("rate"))
     window = Window.partitionBy(*group)
     slot = F.floor(F.row_number().over(window.orderBy(KEY)) * F.col("buckets") / F.count("*").over(window))
     chosen = (
@@ -95,7 +96,7 @@ def with_buckets(keyed: DataFrame, group: list[str], rows_per_bucket: int) -> tu
     inside = F.size(F.filter(F.get(F.col(CHUNKS), chunk - 1), lambda p: p <= key))
     width = F.size(F.get(F.col(CHUNKS), F.lit(0)))
     joined = (
-        keyed.join(F.broadcast(points), group, "left")
+        join_null_safe(keyed, points, group, "left", broadcast=True)
         .withColumn("__chunk", F.size(F.filter(F.col(HEADS), lambda p: p <= key)))
         .withColumn(BUCKET, F.when(chunk > 0, (chunk - 1) * width + inside).otherwise(0))
     )
@@ -138,7 +139,7 @@ def running_totals(
             *[F.sum(v).over(before).alias(f"__before_{n}") for n, v in values.items()],
             *[F.sum(values[n]).over(buckets).alias(f"__total_{n}") for n in group_totals],
         )
-        keyed = keyed.join(F.broadcast(offsets), [*group, BUCKET], "left")
+        keyed = join_null_safe(keyed, offsets, [*group, BUCKET], "left", broadcast=True)
         added = {n: c + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n, c in local.items()}
         added |= {f"{n}_all": F.coalesce(F.col(f"__total_{n}"), entire[f"{n}_all"]) for n in group_totals}
     return keyed.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in added.items()])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tollgate.defaults import INSTRUCTION
+from tollgate.defaults import INSTRUCTION, LETTERS
 from tollgate.functions import questions as q
 from tollgate.functions.letters import letter_index
 from tollgate.functions.text import strip
@@ -34,6 +34,7 @@ def quality_gate(questions: DataFrame) -> DataFrame:
         (F.count("*") - F.count_distinct("id")).alias("repeated_id"),
         F.count_if(index.isNull()).alias("bad_letter"),
         F.count_if(size < 2).alias("too_few_options"),
+        F.count_if(size > len(LETTERS)).alias("too_many_options"),
         F.count_if(index > size).alias("answer_without_option"),
     )
 

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tollgate.defaults import GROUP_FOLDS, ROWS_PER_BUCKET, SEED, TEST_SIZE
 from tollgate.functions.draws import uniform
+from tollgate.operators.keys import join_null_safe
 from tollgate.operators.ordered import running_totals
 from tollgate.session import measured, written
 
 # A stratum is cut into slots of about this many rows; only one slot of it is ever sorted.
 ROWS_PER_SLOT = 100_000
-# Groups placed one by one when folds are balanced; the rest are dealt in bulk.
-HEAD_GROUPS = 2_000
 
 
 def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -98,7 +97,7 @@ def mark_lowest(
     slots = F.ceil(F.col("size") / rows_per_slot)
     plan = quotas.select(*by, "quota", slots.alias("__slots"))
     drawn = df.withColumn("__draw", draw)
-    keyed = drawn.join(plan, by).withColumn("__slot", F.floor(F.col("__draw") * F.col("__slots")))
+    keyed = join_null_safe(drawn, plan, by).withColumn("__slot", F.floor(F.col("__draw") * F.col("__slots")))
     counts = keyed.groupBy(*by, "quota", "__slot").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
@@ -106,7 +105,7 @@ def mark_lowest(
         .where((F.col("__before") < F.col("quota")) & (F.col("__before") + F.col("__n") >= F.col("quota")))
         .select(*by, "__slot", (F.col("quota") - F.col("__before")).alias("__still"))
     )
-    contested = keyed.select(*by, "__slot", "__draw", tie).join(measured(cut), [*by, "__slot"])
+    contested = join_null_safe(keyed.select(*by, "__slot", "__draw", tie), measured(cut), [*by, "__slot"])
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("__draw", tie))
     last = (
         contested.withColumn("__rank", rank)
@@ -116,7 +115,7 @@ def mark_lowest(
     # A group with quota 0 has no last row, and none of its rows is picked.
     here = F.struct("__draw", F.col(tie).alias("__tie"))
     picked = F.coalesce(here <= F.col("__last"), F.lit(False))
-    return drawn.join(measured(last), by, "left").withColumn("picked", picked).select(*df.columns, "picked")
+    return join_null_safe(drawn, measured(last), by, "left").withColumn("picked", picked).select(*df.columns, "picked")
 
 
 def stratified_sample(
@@ -153,85 +152,62 @@ def random_split(
     return marked.withColumn("part", F.when(F.col("picked"), "test").otherwise("train")).drop("picked")
 
 
-def _place_one_by_one(groups: DataFrame, group: str, k: int) -> DataFrame:
-    """Largest first, each to the lightest fold (the first one on a tie)."""
-    entry = F.struct((-F.col("size")).alias("order"), F.col(group).alias("name"))
-    listed = groups.agg(F.array_sort(F.collect_list(entry)).alias("groups"))
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"),
-        F.array().cast("array<int>").alias("folds"),
-    )
-
-    def place(state, g):
-        fold = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        load = F.transform(state["load"], lambda w, i: F.when(i == fold, w - g["order"]).otherwise(w))
-        return F.struct(load.alias("load"), F.array_append(state["folds"], fold).alias("folds"))
-
-    placed = listed.select("groups", F.aggregate("groups", start, place, lambda s: s["folds"]).alias("folds"))
-    pairs = placed.select(F.explode(F.arrays_zip("groups", "folds")).alias("p"))
-    return pairs.select(
-        F.col("p.groups.name").alias(group), (-F.col("p.groups.order")).alias("size"), F.col("p.folds").alias("fold")
-    )
+def loads_before(runs: Sequence[tuple[int, int]], k: int) -> list[list[int]]:
+    """Fold loads at the start of each run of equally large groups, given (size, groups) from large to small.
+
+    In a run of size s the groups go to the folds in the order of the numbers load + i * s (then of
+    the folds), so what a whole run adds is counted without placing its groups one by one."""
+    loads, out = [0] * k, []
+    for size, groups in runs:
+        out.append(loads)
+        if size == 0:
+            continue
+        taken = lambda top: [max(0, (top - x) // size + 1) for x in loads]  # noqa: B023, E731
+        low, high = min(loads) - 1, max(loads) + size * groups
+        while low < high:  # the highest level at which not more than ``groups`` are placed
+            middle = -((-low - high) // 2)
+            low, high = (middle, high) if sum(taken(middle)) <= groups else (low, middle - 1)
+        placed = taken(low)
+        spare = groups - sum(placed)
+        for fold in range(k):
+            if spare and loads[fold] <= low + 1 and (low + 1 - loads[fold]) % size == 0:
+                placed[fold], spare = placed[fold] + 1, spare - 1
+        loads = [x + n * size for x, n in zip(loads, placed)]
+    return out
 
 
 def fold_of_groups(
-    sizes: DataFrame,
-    group: str,
-    k: int = GROUP_FOLDS,
-    head: int = HEAD_GROUPS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    sizes: DataFrame, group: str, k: int = GROUP_FOLDS, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """(group, size, fold): groups by size, each to the lightest fold so far.
+    """(group, size, fold): largest first, each group to the lightest fold (the first one on a tie).
 
-    The ``head`` largest groups are placed one by one. Any further groups are small
-    beside them; laid end to end in size order they fill the folds up to a common
-    level, which keeps the folds within one such group of each other.
+    The same rule at any number of groups: groups of one size form a run, and where the j-th group of a
+    run goes follows from the loads at its start. Only distinct sizes reach the driver, and n rows have
+    at most sqrt(2 n) of them.
     """
-    order = [-F.col("size"), F.col(group)]
-    placed_in = running_totals(
-        sizes, [], order, {"__turn": F.lit(1), "__upto": F.col("size")}, rows_per_bucket=rows_per_bucket
-    )
-    first = _place_one_by_one(placed_in.where(F.col("__turn") <= head).select(group, "size"), group, k)
-    if sizes.count() <= head:
-        return first
-    load = first.groupBy("fold").agg(F.sum("size").alias("load"))
-    loads = dict(load.collect())  # k numbers
-    total = sizes.agg(F.sum("size")).first()[0]
-    heaviest = sum(loads.values())
-    bounds, level = [], _common_level(list(loads.values()), total - heaviest)
-    upto = float(heaviest)
-    for fold in range(k):
-        upto += max(0.0, level - loads.get(fold, 0))
-        bounds.append(upto)
-    middle = F.col("__upto") - F.col("size") / 2
-    fold = F.lit(k - 1)
-    for f in range(k - 2, -1, -1):
-        fold = F.when(middle <= bounds[f], f).otherwise(fold)
-    rest = placed_in.where(F.col("__turn") > head).select(group, "size", fold.cast("int").alias("fold"))
-    return first.unionByName(rest)
-
-
-def _common_level(loads: list[int], extra: int) -> float:
-    """The level to which the lightest loads rise when ``extra`` is poured in."""
-    loads = sorted(loads)
-    for i in range(1, len(loads) + 1):
-        level = (sum(loads[:i]) + extra) / i
-        if i == len(loads) or level <= loads[i]:
-            return level
-    return float(extra)
+    runs = [tuple(r) for r in sizes.groupBy("size").agg(F.count("*").alias("groups")).orderBy(F.desc("size")).collect()]
+    starts = [(size, loads) for (size, _), loads in zip(runs, loads_before(runs, k))]
+    starts = sizes.sparkSession.createDataFrame(starts, "size long, __loads array<bigint>")
+    turns = running_totals(sizes, ["size"], [F.col(group)], {"__turn": F.lit(1)}, rows_per_bucket=rows_per_bucket)
+    rows = turns.join(starts, "size")
+    placed = "aggregate(__loads, 0L, (n, x) -> n + CASE WHEN {v} >= x THEN ({v} - x) div size + 1 ELSE 0L END)"
+    # The highest level at which fewer than __turn groups are placed, bit by bit.
+    step = placed.format(v="(v + shiftleft(1L, b))")
+    level = f"aggregate(sequence(60, 0, -1), array_min(__loads) - 1L, (v, b) -> CASE WHEN {step} < __turn THEN v + shiftleft(1L, b) ELSE v END)"
+    rows = rows.withColumn("__level", F.when(F.col("size") > 0, F.expr(level)))
+    ties = "filter(sequence(0, cardinality(__loads) - 1), f -> __loads[f] <= __level + 1 AND (__level + 1 - __loads[f]) % size = 0)"
+    fold = F.expr(f"get({ties}, CAST(__turn - {placed.format(v='__level')} - 1 AS INT))")
+    lightest = F.array_position("__loads", F.array_min("__loads")) - 1
+    return rows.select(group, "size", F.when(F.col("size") > 0, fold).otherwise(lightest).cast("int").alias("fold"))
 
 
 def group_folds(
-    df: DataFrame,
-    group: str = "subject",
-    k: int = GROUP_FOLDS,
-    head: int = HEAD_GROUPS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, group: str = "subject", k: int = GROUP_FOLDS, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Add ``fold``: every row is tested once, and no group spans two folds."""
+    """Add ``fold``: every row is tested once, and no group spans two folds. A null group is a group."""
     sizes = measured(group_sizes(df, [group]))
-    folds = fold_of_groups(sizes, group, k, head, rows_per_bucket)
-    return df.join(measured(folds.drop("size")), group).select(*df.columns, "fold")
+    folds = fold_of_groups(sizes, group, k, rows_per_bucket)
+    return join_null_safe(df, measured(folds.drop("size")), [group]).select(*df.columns, "fold")
 
 
 def make_splits(

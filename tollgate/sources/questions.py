@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,12 +28,14 @@ def read_questions(spark: SparkSession, path: str, fmt: str = "parquet", split:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table can be read there."""
+    """Whether a table is there. One that is there but cannot be read is an error, not a missing one."""
     try:
         spark.read.parquet(path)
         return True
-    except (AnalysisException, Py4JJavaError):
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def materialize_sample(
