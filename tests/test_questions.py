@@ -58,7 +58,7 @@ def test_gate_names_each_violation(spark):
     good = (1, "s", "q", None, ["x", "y"], "B")
     assert quality.assert_quality(table(spark, good)).count() == 1
     bad = [good, good, (2, "s", "q", None, ["x"], "A"), (3, "s", "q", None, ["x", "y"], "C"), (4, "s", "q", None, ["x", "y"], "Z")]
-    assert quality.quality_gate(table(spark, *bad)).first()[1:] == (1, 1, 1, 1)
+    assert quality.quality_gate(table(spark, *bad)).first()[1:] == (1, 1, 1, 0, 1)
     with pytest.raises(ValueError, match="bad_letter"):
         quality.assert_quality(table(spark, *bad))
 
@@ -85,3 +85,19 @@ def test_whole_long_texts_are_processed(spark):
     text = "word " * 60_000 + "\nA. " + "x" * 50_000 + "\nB. y"
     row = quality.split_questions(spark.createDataFrame([(1, text)], "id long, text string")).first()
     assert len(row.question) == 299_999 and [len(o) for o in row.options] == [50_000, 1]
+
+
+def test_a_sixth_option_is_an_error_and_counted(spark):
+    six = table(spark, (1, "s", "q", None, list("uvwxyz"), "A"))
+    assert quality.quality_gate(six).first().too_many_options == 1
+    with pytest.raises(Exception, match="more than 5 options"):
+        quality.with_prompts(six).collect()
+
+
+def test_a_damaged_table_is_not_a_missing_one(spark, tmp_path):
+    from tollgate.sources.questions import path_exists
+
+    assert not path_exists(spark, str(tmp_path / "none"))
+    (tmp_path / "part.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception, match="parquet|Parquet|footer"):
+        path_exists(spark, str(tmp_path))

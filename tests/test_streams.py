@@ -1,12 +1,13 @@
 import pytest
 
+from checks.on_routers import letter_encoder
 from tollgate.plans.route import train_router
-from tollgate.routers import LengthRouter, TfidfRouter
+from tollgate.routers import EmbeddingRouter, LengthRouter, TfidfRouter
 from tollgate.streaming.ingest import ingest_stream
 from tollgate.streaming.route import route_stream
 
 
-@pytest.mark.parametrize("router", [LengthRouter(), TfidfRouter()])
+@pytest.mark.parametrize("router", [LengthRouter(), TfidfRouter(), EmbeddingRouter(make_encoder=letter_encoder)])
 def test_texts_are_routed_as_they_arrive(spark, tmp_path, router):
     train = spark.createDataFrame([(i, "long winded " * (i % 2 * 9) + "q", i % 2 == 1) for i in range(20)], "id long, prompt string, need_strong boolean")
     bundle = train_router(train, router, 50.0)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tollgate.routers.base import balanced_lr, positive_score, register_router, save_params
 from tollgate.session import written
+from tollgate.sources.vectors import MakeEncoder, with_encoding
 
 
 def with_embeddings(df: DataFrame, store: DataFrame) -> DataFrame:
@@ -20,6 +21,12 @@ def with_embeddings(df: DataFrame, store: DataFrame) -> DataFrame:
     return df.join(store.select("id", "embedding"), "id")
 
 
+def with_vectors(df: DataFrame, store: DataFrame | None, make_encoder: MakeEncoder | None) -> DataFrame:
+    if "embedding" in df.columns:
+        return df
+    return with_encoding(df, make_encoder) if make_encoder else with_embeddings(df, store)
+
+
 def vector_column(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>")))
 
@@ -35,26 +42,30 @@ def mean_pool(df: DataFrame, key: str, vector: str = "embedding", weight: str |
 
 
 class EmbeddingRouter:
-    """``store`` holds (id, embedding) for every row to be fitted or scored by id."""
+    """Vectors come with the rows, from an encoder of their prompts, or from ``store``, which holds (id, embedding)."""
 
-    def __init__(self, store: DataFrame | None = None):
-        self.store = store
+    def __init__(self, store: DataFrame | None = None, make_encoder: MakeEncoder | None = None):
+        self.store, self.make_encoder = store, make_encoder
 
     def fit(self, train: DataFrame) -> "FittedEmbeddingRouter":
-        rows = train if "embedding" in train.columns else with_embeddings(train, self.store)
-        features = vector_column(rows).select("features", "need_strong")
-        return FittedEmbeddingRouter(balanced_lr(written(features, "features")), self.store)
+        features = vector_column(with_vectors(train, self.store, self.make_encoder)).select("features", "need_strong")
+        return FittedEmbeddingRouter(balanced_lr(written(features, "features")), self.store, self.make_encoder)
 
 
 class FittedEmbeddingRouter:
-    def __init__(self, model: LogisticRegressionModel, store: DataFrame | None = None):
-        self.model, self.store = model, store
+    def __init__(
+        self, model: LogisticRegressionModel, store: DataFrame | None = None, make_encoder: MakeEncoder | None = None
+    ):
+        self.model, self.store, self.make_encoder = model, store, make_encoder
+
+    def with_encoder(self, make_encoder: MakeEncoder) -> "FittedEmbeddingRouter":
+        """The router for new texts: a saved one does not hold its encoder."""
+        return FittedEmbeddingRouter(self.model, self.store, make_encoder)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Score rows that carry an ``embedding``, or look it up by id."""
-        if "embedding" in df.columns:
-            return positive_score(self.model, vector_column(df))
-        return positive_score(self.model, vector_column(with_embeddings(df, self.store))).drop("embedding")
+        """Score rows that carry an ``embedding``, or encode their prompts, or look it up by id."""
+        scored = positive_score(self.model, vector_column(with_vectors(df, self.store, self.make_encoder)))
+        return scored if "embedding" in df.columns else scored.drop("embedding")
 
     def save(self, path: str) -> None:
         from pyspark.sql import SparkSession

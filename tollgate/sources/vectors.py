@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tollgate.defaults import ENCODE_BATCH, ENCODE_PREFIX
 from tollgate.session import written
@@ -15,27 +15,37 @@ from tollgate.sources.questions import path_exists
 STORE = "id bigint, embedding array<float>"
 
 
-def encode(
+MakeEncoder = Callable[[], Callable[[Sequence[str]], np.ndarray]]
+
+
+def with_encoding(
     df: DataFrame,
-    make_encoder: Callable[[], Callable[[Sequence[str]], np.ndarray]],
+    make_encoder: MakeEncoder,
     text: str = "prompt",
     batch_size: int = ENCODE_BATCH,
     prefix: str = ENCODE_PREFIX,
 ) -> DataFrame:
-    """(id, embedding) of unit length. ``make_encoder`` runs once per partition and returns
-    a function from a batch of texts to their vectors; each text gets the prefix."""
+    """All columns and ``embedding``, of unit length; a null text is encoded as an empty one. Needs no join, so new
+    texts can be scored in a batch and in a stream. ``make_encoder`` runs once per partition and returns a
+    function from a batch of texts to their vectors; each text gets the prefix."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<float>")
+    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for batch in batches:
-            texts = [prefix + t for t in batch["text"]]
+            texts, out = [prefix + (t or "") for t in batch], []
             for i in range(0, len(texts), batch_size):
                 vectors = np.asarray(encoder(texts[i : i + batch_size]), dtype=np.float64)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-                unit = (vectors / np.where(norms > 0, norms, 1.0)).astype(np.float32)
-                yield pd.DataFrame({"id": batch["id"].iloc[i : i + batch_size].to_numpy(), "embedding": list(unit)})
+                out += list((vectors / np.where(norms > 0, norms, 1.0)).astype(np.float32))
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn("embedding", vectors_of(F.col(text)))
+
 
-    return df.selectExpr("id", f"`{text}` AS text").mapInPandas(run, STORE)
+def encode(df: DataFrame, make_encoder: MakeEncoder, text: str = "prompt", **options) -> DataFrame:
+    """(id, embedding) of each row."""
+    return with_encoding(df.select("id", text), make_encoder, text, **options).select("id", "embedding")
 
 
 def read_vectors(spark, path: str) -> DataFrame:
