@@ -15,6 +15,8 @@ a row each. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,63 +67,80 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(items, start, step, lambda done: done["spans"])).otherwise(F.array().cast(SPAN))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def two_sided(z: Column) -> Column:
     """Probability that a standard normal value lies further out than z."""
-    z = F.least(F.abs(z), F.lit(30.0))
-    t = 1 / (1 + TAIL_SCALE * z)
-    poly = F.lit(0.0)
-    for c in reversed(TAIL):
-        poly = (poly + c) * t
-    return F.greatest(2 * 0.3989422804014327 * F.exp(-z * z / 2) * poly, F.lit(1e-300))
+
+    def tail(z: Column, t: Column) -> Column:
+        poly = F.lit(0.0)
+        for c in reversed(TAIL):
+            poly = (poly + c) * t
+        return F.greatest(2 * 0.3989422804014327 * F.exp(-z * z / 2) * poly, F.lit(1e-300))
+
+    return _let(F.least(F.abs(z), F.lit(30.0)), lambda z: _let(1 / (1 + TAIL_SCALE * z), lambda t: tail(z, t)))
 
 
 def upper(z: Column) -> Column:
-    half = two_sided(z) / 2
-    return F.when(z > 0, half).otherwise(1 - half)
+    """Probability that a standard normal value is greater than z."""
+    return _let(z, lambda z: _let(two_sided(z) / 2, lambda half: F.when(z > 0, half).otherwise(1 - half)))
+
+
+def alphabet(body: Column) -> Column:
+    """The characters of the first encoding that fits, in order; null if none does."""
+    out = F.lit(None).cast("string")
+    for pattern, letters in reversed(ENCODINGS):
+        out = F.when(F.rlike(body, F.lit(pattern)), F.lit(letters)).otherwise(out)
+    return out
 
 
 def p_random(token: Column) -> Column:
     """The combined p-value of a token under randomness in its inferred encoding; null if it has no
     encoding, or no digit or no letter, as words and numbers do."""
-    body = F.regexp_replace(token, "=+$", "")
-    alphabet = F.lit(None).cast("string")
-    for pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(F.rlike(body, F.lit(pattern)), F.lit(letters)).otherwise(alphabet)
-    return F.when(F.rlike(body, F.lit("[0-9]")) & F.rlike(body, F.lit("[A-Za-z]")), _tests(body, alphabet))
 
+    def judged(body: Column) -> Column:
+        codes = lambda a: F.transform(F.split(body, ""), lambda c: (F.instr(a, c) - 1).cast("double"))
+        both = F.rlike(body, F.lit("[0-9]")) & F.rlike(body, F.lit("[A-Za-z]"))
+        tested = _let(alphabet(body), lambda a: _let(F.length(a).cast("double"), lambda size: _let(codes(a), lambda c: _battery(c, size))))
+        return F.when(both, tested)
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return _let(F.regexp_replace(token, "=+$", ""), judged)
+
+
+def _battery(codes: Column, size: Column) -> Column:
+    """Three tests of codes 0 ... size - 1 for randomness, as one p-value."""
+    add = lambda s, x: s + x
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), add)
+    pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
+    def uniform(n: Column) -> Column:
+        times = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
+        chi = total(F.transform(times, lambda t: t * t)) * size / n - n
+        spread = 2 / (9 * (size - 1))
+        return upper((F.pow(F.greatest(chi, F.lit(0.0)) / (size - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
 
-def _tests(body: Column, alphabet: Column) -> Column:
-    chars = F.filter(F.split(body, ""), lambda c: c != "")
-    size = F.length(alphabet).cast("double")
-
-    def battery(codes: Column) -> Column:
-        n = F.size(codes).cast("double")
-        mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-        squares = F.aggregate(
-            F.array_distinct(codes), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0))
-        )
-        freedom = size - 1
-        chi = squares * size / n - n
-        spread = 2 / (9 * freedom)
-        p_chi = upper((F.pow(F.greatest(chi, F.lit(0.0)) / freedom, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
-        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def runs(n: Column) -> Column:
         above = F.size(F.filter(codes, lambda x: x >= size / 2)).cast("double")
         changes = F.size(F.filter(pairs, lambda x: (x["a"] >= size / 2) != (x["b"] >= size / 2))).cast("double")
-        mu = 2 * above * (n - above) / n
-        var = F.greatest(mu * (mu - 1) / (n - 1), F.lit(1e-9))
-        p_runs = two_sided((changes - mu) / F.sqrt(var))
-        total = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-        cross = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - mean) * (x["b"] - mean))
-        p_serial = two_sided((cross / F.greatest(total, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
-        half = -(F.ln(F.greatest(p_chi, F.lit(1e-300))) + F.ln(p_runs) + F.ln(p_serial))
-        return F.exp(-half) * (1 + half + half * half / 2)
-
-    return _let(F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double")), battery)
+        mean = _let(above, lambda k: 2 * k * (n - k) / n)
+        return two_sided(_let(mean, lambda m: (changes - m) / F.sqrt(F.greatest(m * (m - 1) / (n - 1), F.lit(1e-9)))))
+
+    def serial(n: Column) -> Column:
+        def z(m: Column) -> Column:
+            spread = total(F.transform(codes, lambda x: (x - m) * (x - m)))
+            cross = total(F.transform(pairs, lambda x: (x["a"] - m) * (x["b"] - m)))
+            return (cross / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+
+        return two_sided(_let(total(codes) / n, z))
+
+    def combined(n: Column) -> Column:
+        logs = F.ln(F.greatest(uniform(n), F.lit(1e-300))) + F.ln(runs(n)) + F.ln(serial(n))
+        return _let(-logs, lambda half: F.exp(-half) * (1 + half + half * half / 2))
+
+    return _let(F.size(codes).cast("double"), combined)
 
 
 def length_class(length: Column) -> Column:
