@@ -101,3 +101,14 @@ def test_a_damaged_table_is_not_a_missing_one(spark, tmp_path):
     (tmp_path / "part.parquet").write_bytes(b"not a table")
     with pytest.raises(Exception, match="parquet|Parquet|footer"):
         path_exists(spark, str(tmp_path))
+
+
+def test_clean_removes_what_was_written(spark):
+    from tollgate.session import clean, written
+    from tollgate.sources.questions import path_exists
+
+    held = written(spark.range(5).toDF("id"), "numbers")
+    path = held.inputFiles()[0].rsplit("/", 1)[0]
+    assert held.count() == 5 and path_exists(spark, path)
+    clean(spark)
+    assert not path_exists(spark, path)
