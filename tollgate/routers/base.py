@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -12,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Stopping rule of the optimiser.
 MAX_ITERATIONS = 2000
-TOLERANCE = 1e-6
-# An iteration over fewer rows than this costs less than starting another task for it.
-ROWS_PER_TASK = 1_000
+TOLERANCE = 1e-9
 
 
 class FittedRouter(Protocol):
@@ -67,7 +64,7 @@ def balanced_lr(train: DataFrame, features: str = "features", c: float = 1.0) ->
     ``train`` should be stored: it is read twice, then iterated over in memory.
     """
     weighted, n = with_class_weights(train)
-    weighted = weighted.select(features, "label", "weight").coalesce(math.ceil(n / ROWS_PER_TASK))
+    weighted = weighted.select(features, "label", "weight")
     lr = LogisticRegression(
         featuresCol=features,
         labelCol="label",
