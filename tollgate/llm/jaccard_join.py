@@ -6,11 +6,12 @@
    is done; most are.
 3. The others are linked to pivots: classes with a common minimum hash are compared with one of them. What is linked forms
    components, so copies and near copies by the thousand never meet in pairs.
-4. Components are cut into groups of at most ``GROUP`` members. A group's row of the matrix is the union of its shingles. A
-   pair at the threshold shares one of the rarest shingles of either, so a class is asked of a group only if one of its rarest is among
-   the group's, the group is in another component, and position and size allow it. The group is opened if the overlap of the class with the union reaches
-   what its smallest member needs. Of two components the smaller one asks.
-5. The first member that passes the exact test links both components.
+4. Classes are partitioned into groups of similar ones, of about ``GROUP`` members: pieces of a large component, or small components
+   with a common minimum hash. A group's row of the matrix is the union of its shingles. A pair at the threshold shares one of the rarest
+   shingles of either, so a class is asked of a group only if one of its rarest is among the group's, the group has another
+   component, and position and size allow it. The group is opened if the overlap of the class with the union reaches what its smallest
+   member needs. Of two groups the smaller one asks, and each asks itself.
+5. An opened group gives the exact links of the class, but those only that join components still apart in that group.
 
 So every two classes at the threshold end in one component, and no two below it are linked. Sets hold 64-bit
 hashes of shingles; classes are told apart by 128 bits.
@@ -41,7 +42,7 @@ CELLS_PER_BYTE = 8
 SKIP = -1  # the slice number of rows that name a class listed by another part
 U64 = np.uint64
 CLASSES = "doc_id long, part long, n_shingles long, node binary"
-SETS = "node binary, n long, unique long, tokens array<long>, rarest array<long>"
+SETS = "node binary, n long, unique long, sharing long, tokens array<long>, rarest array<long>"
 
 
 class Shingles:
@@ -137,18 +138,20 @@ def near_sets(stage: census.Stage, classes: DataFrame, shingle: int, percent: in
             own = often > 1
             often, tokens = often[own], tokens[own]
             order = np.lexsort((tokens, often))[: max(int(look[i]), 0)]
-            rows.append((sets.names[i], int(b - a), int(b - a - len(tokens)), tokens.view(np.int64), tokens[order].view(np.int64)))
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return census.rows_table(rows, ["node", "n", "unique", "tokens", "rarest"], types)
+            rows.append((sets.names[i], int(b - a), int(b - a - len(tokens)), int(often.sum()), tokens.view(np.int64), tokens[order].view(np.int64)))
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return census.rows_table(rows, ["node", "n", "unique", "sharing", "tokens", "rarest"], types)
 
     return census.per_part(stage.docs, counted.unionByName(skip), survivors, SETS)
 
 
 def pivot_links(sets: DataFrame, percent: int, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Links of classes with the pivot of those that share a minimum hash (step 3)."""
+    """Links of classes with the pivot of those that share a minimum hash (step 3). The pivot is the member whose shingles
+    most other classes have: where copies were changed here and there, that is the text they were made from."""
     smallest = [F.array_min(F.transform("tokens", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(rounds)]
-    keyed = sets.where("size(tokens) > 0").select("node", F.posexplode(F.array(*smallest)).alias("round", "key"))
-    pivots = keyed.groupBy("round", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    keyed = sets.where("size(tokens) > 0").select("node", "sharing", F.posexplode(F.array(*smallest)).alias("round", "key"))
+    pivots = keyed.groupBy("round", "key").agg(F.max(F.struct("sharing", "node")).alias("first"), F.count("*").alias("members"))
+    pivots = pivots.where("members > 1").select("round", "key", F.col("first.node").alias("pivot"))
     pairs = keyed.join(pivots, ["round", "key"]).where("node <> pivot").select("node", "pivot").distinct()
     left = sets.select("node", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     right = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
@@ -157,22 +160,38 @@ def pivot_links(sets: DataFrame, percent: int, rounds: int = PIVOT_ROUNDS) -> Da
     return both.where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
+def grouped(sets: DataFrame, group: int = GROUP) -> DataFrame:
+    """Groups of similar classes (step 4): a large component is cut into groups of its own; the classes of small
+    ones are pooled by minimum hash, whole components together. ``weight`` is a group's size and name."""
+    key = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(0))))
+    large = F.col("members") >= max(group // 4, 2)
+    rows = sets.withColumn("key", F.when(~large, key))
+    pools = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("pool"))
+    rows = rows.join(pools, "key", "left")
+    pieces = F.ceil(F.coalesce("pool", "members") / group).cast("long")
+    piece = F.pmod(F.when(large, F.xxhash64("node")).otherwise(F.xxhash64("component")), pieces)
+    name = F.concat_ws("-", F.when(large, F.hex("component")).otherwise(F.hex("key")), F.when(large, F.lit("c")).otherwise(F.lit("m")), piece.cast("string"))
+    rows = written(rows.withColumn("group", name).select("node", "component", "n", "unique", "tokens", "rarest", "group"), "groups")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
+    return written(rows.join(sizes, "group").withColumn("weight", F.struct("size", "group")).drop("size"), "grouped")
+
+
 def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
     """Links between components, from opened groups (steps 4 and 5). ``sets`` also has component and members."""
-    chunks = F.ceil(F.col("members") / group).cast("long")
-    placed = sets.withColumn("group", F.concat_ws("-", F.hex("component"), F.pmod(F.xxhash64("node"), chunks).cast("string")))
-    placed = written(placed.withColumn("weight", F.struct("members", "component")), "placed")
-    posts = placed.select("node", "group", "weight", "n", "unique", F.posexplode("rarest").alias("place", "token"))
+    placed = grouped(sets, group)
+    posts = placed.select("node", "component", "group", "weight", "n", "unique", F.posexplode("rarest").alias("place", "token"))
     posts = written(posts.withColumn("rest", F.col("n") - F.col("unique") - F.col("place")), "posts")  # members from here on, in order of rarity
-    tokens = posts.groupBy("token").agg(F.min("weight").alias("least"), F.max("weight").alias("most")).where("least <> most")
-    asking = posts.join(tokens.select("token", "most"), "token").where("weight < most")
-    rows = posts.join(tokens.select("token"), "token").groupBy("token", "group", "weight")
-    rows = rows.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most_rest"))
-    asking = asking.select("token", "node", F.col("weight").alias("mine"), "n", "rest")
+    tokens = posts.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    posts = posts.join(tokens.select("token"), "token")
+    rows = posts.groupBy("token", "group", "weight").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most_rest"), F.min("component").alias("one"), F.max("component").alias("other")
+    )
+    asking = posts.select("token", "node", F.col("weight").alias("mine"), "component", "n", "rest")
     need = percent * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * percent / 100)))
     fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     fits &= (100 + percent) * F.least("rest", "most_rest") >= need
-    asked = asking.join(rows, "token").where((F.col("mine") < F.col("weight")) & fits).select("node", "group").distinct()
+    fits &= (F.col("mine") <= F.col("weight")) & ((F.col("one") != F.col("component")) | (F.col("other") != F.col("component")))
+    asked = asking.join(rows, "token").where(fits).select("node", "group").distinct()
     schema = "group string, kind int, node binary, component binary, n long, tokens array<long>"
     members = placed.join(asked.select("group").distinct(), "group", "left_semi").select("group", F.lit(0).alias("kind"), "node", "component", "n", "tokens")
     queries = asked.join(placed.select("node", "component", "n", "tokens"), "node").select("group", F.lit(1).alias("kind"), "node", "component", "n", "tokens")
@@ -182,7 +201,7 @@ def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, opened = None, [], None
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found: list[tuple[bytes, bytes]] = []
             lists = batch.column(5)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
@@ -195,8 +214,7 @@ def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
                     held.append((component, size, tokens))
                     continue
                 opened = opened or Group(held, percent)
-                if opened.has_partner(size, tokens):
-                    found.add((component, opened.component))
+                found += opened.links(component, size, tokens)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
@@ -204,29 +222,48 @@ def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
 
 
 class Group:
-    """A group of classes: the union of their tokens, and who has which."""
+    """A group of classes: the union of their tokens, who has which, and which components are known to be one."""
 
     def __init__(self, members: list[tuple[bytes, int, np.ndarray]], percent: int):
-        self.component, self.percent = members[0][0], percent
+        self.percent = percent
+        self.components = [component for component, _, _ in members]
         self.sizes = np.array([size for _, size, _ in members], dtype=np.int64)
         tokens = np.concatenate([t for _, _, t in members])
         order = np.argsort(tokens, kind="stable")
         self.owner = np.repeat(np.arange(len(members)), [len(t) for _, _, t in members])[order]
         self.union, self.first = np.unique(tokens[order], return_index=True)
         self.last = np.append(self.first[1:], len(tokens))
+        self.leader: dict[bytes, bytes] = {}
+
+    def lead(self, component: bytes) -> bytes:
+        while (up := self.leader.get(component, component)) != component:
+            component = up
+        return component
 
-    def has_partner(self, size: int, tokens: np.ndarray) -> bool:
+    def partners(self, size: int, tokens: np.ndarray) -> np.ndarray:
+        """Members at the threshold."""
         fit = (100 * self.sizes >= self.percent * size) & (100 * size >= self.percent * self.sizes)
         if not fit.any():
-            return False
+            return np.zeros(0, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
         at = at[self.union[at] == tokens]
         if (100 + self.percent) * len(at) < self.percent * (size + self.sizes[fit].min()):
-            return False  # the bound: the group stays closed
+            return np.zeros(0, dtype=np.int64)  # the bound: the group stays closed
         length = self.last[at] - self.first[at]
         owner = self.owner[np.repeat(self.first[at] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
         common = np.bincount(owner, minlength=len(self.sizes))
-        return bool((100 * common >= self.percent * (size + self.sizes - common)).any())
+        return np.flatnonzero(100 * common >= self.percent * (size + self.sizes - common))
+
+    def links(self, component: bytes, size: int, tokens: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links of the asking component that join what was apart so far."""
+        out = []
+        for i in self.partners(size, tokens).tolist():
+            other = self.components[i]
+            mine, theirs = self.lead(component), self.lead(other)
+            if mine != theirs:
+                self.leader[max(mine, theirs)] = min(mine, theirs)
+                out.append((component, other))
+        return out
 
 
 def join(
