@@ -15,19 +15,37 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets
 from tollgate.llm.queries import table, vocabulary
-from tollgate.session import written
+from tollgate.session import remove, scratch, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Ids made from texts begin here.
 MADE_IDS = 1 << 62
+#: Folders with the intermediate tables of the latest stage.
+LEFT: list[str] = []
 
 
+def tidy(stage: Stage) -> Stage:
+    """When a stage begins, the result of the one before has been stored, so its intermediate tables can go."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while LEFT:
+            remove(spark, LEFT.pop())
+        with scratch(spark) as folder:
+            LEFT.append(folder)
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@tidy
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
@@ -37,19 +55,23 @@ def new_name() -> str:
     return f"c_{uuid.uuid4().hex}"
 
 
+@tidy
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = new_name()
     made = F.lit(MADE_IDS) + F.pmod(F.xxhash64("text"), F.lit(MADE_IDS))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
-    joined = jaccard_join.join(named, id_col=key)
+    with scratch(spark) as folder:
+        joined = jaccard_join.join(named, id_col=key)
     first = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key))
     first = written(first.groupBy(key).agg(F.count("*").alias("rows")), "first")
+    remove(spark, folder)
     kept = named.join(first.select(key), key, "left_semi")
     if first.where("rows > 1").limit(1).count():
         kept = kept.dropDuplicates([key])
     return kept.select(docs.columns)
 
 
+@tidy
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row, clean = new_name(), new_name()
     found = secrets.scan(docs, carry=row)
@@ -59,11 +81,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*[new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
 
 
+@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = new_name()
     return mixing.curriculum(mixing.plan(docs, carry=row)).select(f"{row}.*")
 
 
+@tidy
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
