@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm import plain
 from tollgate.llm import mixing, queries, secrets, topk, url_filter
+from tollgate.session import written
 
 
 def url_verdict(url):
@@ -165,7 +166,7 @@ def test_pipeline_against_plain_stages(spark, table_of):
 def test_pipeline_of_nothing(spark, table_of):
     docs = table_of([(None, None), (1, ""), (1, "")])
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
+        docs = written(stage(spark, docs, ""), "stage")
     assert docs.collect() == []
 
 
