@@ -1,5 +1,6 @@
 """Passages, strings, near copies and quality rules against plain versions."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -43,6 +44,26 @@ def test_kept_bytes(table_of):
     assert all(plain.sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_edges_of_a_passage_in_many_documents(table_of, monkeypatch):
+    """No task gets more rows of a key than are put in order, though all documents hold the passage, some with the same beside it."""
+    rnd, ordered = random.Random(5), suffix_dedup.ordered
+    own = lambda: "".join(rnd.choice("abcdef ") for _ in range(rnd.randint(60, 120)))
+    passage, some = own() + own() + own(), [own() for _ in range(4)]
+    docs = [(i, (own() + rnd.choice(some))[-rnd.randint(3, 150) :] + passage + (rnd.choice(some) + own())[: rnd.randint(3, 150)]) for i in range(150)]
+    docs += [docs[0], (500, own()), (None, passage)]
+
+    def few(table):
+        if max(Counter(table.column("key").to_pylist()).values()) > 20:
+            raise ValueError("all rows of a key in one task")
+        return ordered(table)
+
+    monkeypatch.setattr(suffix_dedup, "ordered", few)
+    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", 20)
+    monkeypatch.setattr(suffix_dedup, "KEY_ROWS", 20, raising=False)
+    got = suffix_dedup.remove_repeats(table_of(docs), 90, 4, part_bytes=4000)
+    assert rows(got) == plain.without_strings(docs, 90)
+
+
 def test_corpus_order_finds_partners_on_both_sides():
     """Rows of one core: the first two share four bytes left and two right, the third shares only its right side."""
     found = suffix_dedup.corpus_order([b"k"] * 3 + [b"other"], [b"abcd", b"abcd", b"xxcd", b"abcd"], [b"efgh", b"efzz", b"efgh", b"efgh"], np.full(4, 6), np.zeros(4, bool))

@@ -14,7 +14,9 @@ the parse. Neighbours in that corpus order have the longest common prefix, which
 between their places; a window repeats if it reaches 400 bytes with a neighbour.
 
 A core with very many surroundings is split by half of what a window needs beside it: each window has that half on the left or
-the rest on the right, so no pair is parted. Windows without a mark are counted one by one.
+the rest on the right, so no pair is parted. At the edge of a passage in many documents that half lies in the passage and is the same for
+all. So the rows of each key are counted first, and the windows of a key with more than ``KEY_ROWS`` are counted one by one by their
+hashes, like windows without a mark: no task gets all rows of such a key.
 
 Windows stay within a document and are judged on the input. Null text is empty. Repeated rows and ids keep a row each and count as
 further occurrences. An empty table gives no rows.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import census
-from tollgate.llm.words import Texts, covered, prefix_hashes, ranges, span_hashes, table_chunks
+from tollgate.llm.words import Texts, covered, mixed, prefix_hashes, ranges, span_hashes, table_chunks
 from tollgate.session import written
 
 LENGTH = 400
@@ -41,6 +43,8 @@ MARK = 16
 GAP_BITS = 6
 CELLS_PER_BYTE = 1  # about one core in 32 bytes
 SHARD_ROWS = 40_000
+KEY_ROWS = 5_000  # of a key that is put in order; a shard holds some eight of them on average
+HASH_ROWS = 4_000
 ANSWER = 1 << 40  # the slice number of answers from the corpus order
 U64 = np.uint64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -232,11 +236,63 @@ def ordered(table: pa.Table) -> pa.Table:
     keys, before, after = (table.column(c).to_pylist() for c in ("key", "before", "after"))
     need = table.column("need").to_numpy().astype(np.int64)
     found = corpus_order(keys, before, after, need, table.column("many").to_numpy().astype(bool))
-    columns = (table.column(c).to_pylist() for c in ("part", "ref"))
-    rows = [(p, ANSWER, ref, np.packbits(f).tobytes()) for p, ref, f in zip(*columns, found, strict=True) if f.any()]
+    return answer_table(table.column("part").to_pylist(), table.column("ref").to_pylist(), found)
+
+
+def answer_table(parts: list[int], refs: list[int], found: list[np.ndarray]) -> pa.Table:
+    rows = [(p, ANSWER, ref, np.packbits(f).tobytes()) for p, ref, f in zip(parts, refs, found, strict=True) if f.any()]
     return census.rows_table(rows, ["part", "slice", "n", "flags"], [pa.int64()] * 3 + [pa.binary()])
 
 
+class Windows:
+    """The single windows of some rows of a part, known by hashes of their key, their place at the core and what they hold beside it."""
+
+    def __init__(self, table: pa.Table):
+        self.refs = table.column("ref").to_numpy().astype(np.int64)
+        self.many = table.column("many").to_numpy(zero_copy_only=False).astype(bool)
+        self.count = np.zeros(len(self.refs), dtype=np.int64)
+        found = []
+        for at in range(0, len(self.refs), HASH_ROWS):
+            some = table.slice(at, HASH_ROWS)
+            keys, before, after = (some.column(c).to_pylist() for c in ("key", "before", "after"))
+            need = some.column("need").to_numpy().astype(np.int64)
+            low = need - np.array([len(x) for x in after], dtype=np.int64)
+            high = np.array([len(x) for x in before], dtype=np.int64)
+            count = self.count[at : at + HASH_ROWS] = high - low + 1
+            bounds = np.concatenate([[0], np.cumsum(high + need - low)])
+            data = np.frombuffer(b"".join(x for pair in zip(before, after, strict=True) for x in pair), dtype=np.uint8)
+            left = ranges(low, count)
+            begin = np.repeat(bounds[:-1] + high, count) - left
+            names = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
+            hashes = []
+            for which in (0, 1):
+                beside = span_hashes(prefix_hashes(data.astype(np.uint64) + U64(1), which), begin, begin + np.repeat(need, count), which)
+                hashes.append(mixed(beside + mixed(np.repeat(names[:, which], count) + left.astype(np.uint64))))
+            found.append((hashes[0], (hashes[1] >> U64(32)).astype(np.uint32)))
+        self.keys = census.Keys(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def repeats(self, flags: pa.Table) -> list[np.ndarray]:
+        """For each row what ``corpus_order`` says."""
+        found = census.counts(flags)[self.keys.which] > 1
+        return np.split(found | np.repeat(self.many, self.count), np.cumsum(self.count)[:-1])
+
+
+def counted(ends: DataFrame) -> DataFrame:
+    """Answers for the rows of keys with many rows: their windows are counted one by one."""
+    windows = ends.agg(F.sum(F.octet_length("before") + F.octet_length("after") - F.col("need") + 1)).first()[0] or 0
+    slices = max(1, math.ceil(windows / census.SLICE_KEYS))
+
+    def count(part: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
+        return census.list_table(list(Windows(table).keys.lists(part, slices)))
+
+    def answer(part: int, table: pa.Table, flags: pa.Table) -> pa.Table:
+        mine = Windows(table)
+        return answer_table([part] * len(mine.refs), mine.refs.tolist(), mine.repeats(flags))
+
+    counts = written(census.answered(census.per_part(ends, None, count, census.LISTS)), "windows")
+    return census.per_part(ends, counts, answer, census.FLAGS)
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
@@ -274,9 +330,15 @@ def remove_repeats(
         return census.rows_table(rows, [f.split(" ")[0] for f in ENDS.split(", ")], types)
 
     ends = written(census.per_part(stage.docs, flags, send_ends, ENDS), "ends")
+    # At most one key for each KEY_ROWS rows, so this table is small.
+    large = written(ends.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS).select("key"), "large")
+    some = large.limit(1).count() > 0
+    small = ends.join(large, "key", "left_anti") if some else ends
     shards = max(1, math.ceil(ends.count() / SHARD_ROWS))
-    answers = ends.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(ordered, census.FLAGS)
+    answers = small.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(ordered, census.FLAGS)
     flags = flags.unionByName(written(answers, "answers"))
+    if some:
+        flags = flags.unionByName(written(counted(ends.join(large, "key", "left_semi")), "large_answers"))
 
     def cut(part: int, table: pa.Table, flags: pa.Table) -> pa.Table:
         parsed = read(table)
