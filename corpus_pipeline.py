@@ -4,7 +4,7 @@ quality    rejects documents by the quality rules
 near       keeps one document, the one with the smallest id, of each group of near copies
 secrets    replaces every secret in the texts
 mix        repeats and drops documents so that sources meet their target weights, in training order
-pieces     encodes each copy with merge-dropout
+pieces     encodes each copy with merge-dropout, varied from copy to copy
 
 All but the last return the columns of ``documents``, further ones included. Null texts and texts without words go with
 the quality rules. In the near stage a row without id gets one made from its text, beyond all given ones, and of rows with
@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets
@@ -89,7 +89,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")) - 1
+    numbered = docs.select("doc_id", "text", copy.alias("copy"))
+    return pieces.encode_pieces(numbered, vocabulary("piece_bpe_32k.model"), copy=F.col("copy"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,8 +6,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import plain
 from tollgate.llm import pieces, token_files
 from tollgate.llm.queries import vocabulary
@@ -52,6 +54,44 @@ def test_dropout_varies_but_loses_nothing(table_of):
     assert len(one.ids) < len(mine.ids) and cut.count(",".join(map(str, one.ids[:8]))) < 300
 
 
+def test_each_occurrence_is_varied_by_itself(table_of):
+    """A unit with one merge loses it in a tenth of its places, a longer one has many segmentations, and copies have others."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = [(i, f"{c} " * 3999 + c) for i, c in enumerate("abcdefgh")] + [(50, "segmentations " * 3000)]
+    rows = {r.doc_id: r.ids for r in pieces.encode_pieces(table_of(docs), path, with_ids=True).collect()}
+    assert all(4300 < len(rows[i]) < 4500 for i in range(8))
+    tables = pieces.Pieces(path)
+    starts = np.flatnonzero(tables.out_bytes[tables.out_begin[rows[50]]] == 0x20)
+    assert len({tuple(x) for x in np.split(rows[50], starts[1:])}) > 20
+    df = table_of([(4, "internationalization of segmentations " * 20)] * 3)
+    nth = F.row_number().over(Window.orderBy("doc_id")) - 1
+    copies = pieces.encode_pieces(df.withColumn("nth", nth), path, copy=F.col("nth")).collect()
+    assert len({r.ids_crc32 for r in copies}) == 3 and all(r.lossless for r in copies)
+
+
+def test_copies_in_the_pipeline_are_varied(spark, table_of):
+    docs = table_of([(4, "internationalization of segmentations " * 20)] * 3 + [(None, "internationalization of segmentations " * 20)])
+    found = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert len({r.ids_crc32 for r in found}) == 4 and all(r.lossless for r in found)
+
+
+def test_kept_ids_are_those_of_the_agenda():
+    """With candidates noted that every key skips, all occurrences go through the agenda; the ids stay the same."""
+
+    class All(pieces.Pieces):
+        def agenda(self, symbols, length, keys, dropout, met=None):
+            out = super().agenda(symbols, length, keys, dropout, met)
+            if met is not None:
+                met.extend([(np.repeat(np.arange(len(length)), 200), np.tile(np.arange(200, dtype=np.uint64), len(length)))])
+            return out
+
+    path = vocabulary("piece_bpe_32k.model")
+    texts = Texts(pa.array([t for t in ODD if t] + [t for _, t in plain.texts_with_repeats(1, 40) if t]))
+    keys = np.arange(texts.n, dtype=np.uint64)
+    (some, counts), (every, more) = (kind(path).encode(texts, keys, 1, 0.1, 0) for kind in (pieces.Pieces, All))
+    assert some.tolist() == every.tolist() and counts.tolist() == more.tolist()
+
+
 def test_full_dropout_leaves_characters():
     path = vocabulary("piece_bpe_32k.model")
     ids, counts = pieces.Pieces(path).encode(Texts(pa.array(["abc"])), np.zeros(1, np.uint64), 1, 1.0, 8)

@@ -7,13 +7,14 @@ varied segmentations, the same ones in each run. Merges change only how a text i
 decoding gives the text back. With ``dropout`` 0 the ids are those of the library.
 
 No piece has a space behind another character, so a text falls into units (spaces, then other characters)
-that can be encoded by themselves. The key of a unit is one of ``variants`` and is drawn from
-seed, document and place of the unit; ids of (unit, key) are kept by the Python worker. All new units of a chunk
-go through the agenda together: each round takes the best candidate of every unit.
+that can be encoded by themselves. The key of a unit is drawn from seed, document, copy of the document and place of the unit, so each
+occurrence is varied by itself. The Python worker keeps of each unit its ids without dropout and the candidates its agenda meets. An
+occurrence whose key skips none of them has these ids; the others go through the agenda again, all of a chunk
+together: each round takes the best candidate of every unit.
 
 A space and U+2581 share a piece in this format; U+2581 is written as its bytes, so it is not lost either.
 Null and empty texts have no ids and decode to the empty text. Documents are encoded one by one; with equal ids and
-equal texts they get equal ids, a null id counting as a value of its own.
+equal texts they get equal ids, a null id counting as a value of its own, unless ``copy`` numbers them.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.vocab import IdStore
+from tollgate.llm.vocab import IdStore, distinct_pairs
 from tollgate.llm.words import Texts, chunks, mixed, ranges
 
 DROPOUT = 0.1
-VARIANTS = 8
+VARIANTS = 0  # keys that occurrences of a unit share; 0 gives each its own
 SEED = 17
 SPACE = "▁"
 NONE = 1 << 30
@@ -84,8 +85,8 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.ranks[at], NONE)
 
-    def agenda(self, symbols: np.ndarray, length: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the symbols of all units; returns symbols and their number for each unit."""
+    def agenda(self, symbols: np.ndarray, length: np.ndarray, keys: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of all units; returns symbols and their number for each unit. ``met`` gets the candidates: units and spots."""
         bar = np.uint64(round(dropout * (1 << 53)))
         unit = np.repeat(np.arange(len(length)), length)
         first = np.arange(len(symbols)) - np.repeat(np.cumsum(length) - length, length)
@@ -95,9 +96,14 @@ class Pieces:
             """Ranks of the merges of the symbols at these places with the next ones."""
             right = np.minimum(at + 1, len(symbols) - 1)
             rank = np.where((unit[right] == unit[at]) & (right > at), self.rank_of(symbols[at], symbols[right]), NONE)
-            if dropout:
-                spot = first[at].astype(np.uint64) * A + first[right].astype(np.uint64) * B + last[right].astype(np.uint64) * C
-                rank[mixed(keys[unit[at]] ^ mixed(spot)) >> np.uint64(11) < bar] = NONE
+            if dropout or met is not None:
+                real = np.flatnonzero(rank < NONE)
+                at, right = at[real], right[real]
+                spot = mixed(first[at].astype(np.uint64) * A + first[right].astype(np.uint64) * B + last[right].astype(np.uint64) * C)
+                if met is not None:
+                    met.append((unit[at], spot))
+                if dropout:
+                    rank[real[mixed(keys[unit[at]] ^ spot) >> np.uint64(11) < bar]] = NONE
             return rank
 
         rank = candidates(np.arange(len(symbols)))
@@ -162,22 +168,47 @@ class Pieces:
         padded.end = np.append(padded.begin[1:], len(data))
         padded.words = np.searchsorted(padded.begin, padded.bounds)
         owner = padded.text_of_words()
-        place = (np.arange(len(owner)) - padded.words[owner]).astype(np.uint64)
-        variant = mixed(mixed(doc_keys[owner] + np.uint64(seed)) + place * A) % np.uint64(variants if dropout else 1)
-        first = mixed(padded.word_hashes() + variant * B + np.uint64(seed))
-        second = mixed(padded.word_hashes(which=1) + variant * C + np.uint64(seed))
         char = (data & 0xC0) != 0x80
         chars_before = np.concatenate([[0], np.cumsum(char)])
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
 
-        def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        def segment(at: np.ndarray, keys: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
             begin = chars_before[padded.begin[at]]
             length = chars_before[padded.end[at]] - begin
             symbols = self.id_of_char[codes[ranges(begin, length)]]
-            return self.with_bytes(*self.agenda(symbols, length, first[at], dropout))
+            return self.with_bytes(*self.agenda(symbols, length, keys, dropout, met))
+
+        def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """A unit's record: how many ids it has without dropout, the ids, and its candidates in two numbers each."""
+            met: list = []
+            ids, length = segment(at, np.zeros(len(at), dtype=np.uint64), 0.0, met)
+            unit, spots = (np.concatenate(x) for x in zip(*met, strict=True))
+            number = np.bincount(unit, minlength=len(at))
+            spots = np.ascontiguousarray(spots[np.argsort(unit, kind="stable")]).view(np.uint32)
+            sizes = np.stack([np.ones(len(at), dtype=np.int64), length, 2 * number])
+            begin = np.cumsum(sizes, axis=1) - sizes + np.array([[0], [len(at)], [len(at) + len(ids)]])
+            pool = np.concatenate([length.astype(np.uint32), ids, spots])
+            return pool[ranges(begin.T.ravel(), sizes.T.ravel())], sizes.sum(axis=0)
 
-        ids, length = self.store.lookup(first, second, fresh)
-        return ids, padded.per_text(length)
+        hashes, second = padded.word_hashes(), padded.word_hashes(which=1)
+        at, which = distinct_pairs(hashes, second)
+        pool, size = self.store.lookup(hashes[at], second[at], lambda new: fresh(at[new]))
+        begin = np.cumsum(size) - size
+        number = pool[begin].astype(np.int64)
+        length, begin = number[which], begin[which] + 1
+        if dropout:
+            place = (np.arange(len(owner)) - padded.words[owner]).astype(np.uint64)
+            draw = mixed(mixed(doc_keys[owner] + np.uint64(seed)) + place * A)
+            keys = mixed(hashes + (draw % np.uint64(variants) if variants else draw) * B + np.uint64(seed))
+            spots = (size - 1 - number) // 2
+            spot = pool[ranges(np.cumsum(size) - 2 * spots, 2 * spots)].view(np.uint64)[ranges((np.cumsum(spots) - spots)[which], spots[which])]
+            unit = np.repeat(np.arange(len(owner)), spots[which])
+            skips = mixed(keys[unit] ^ spot) >> np.uint64(11) < np.uint64(round(dropout * (1 << 53)))
+            varied = np.flatnonzero(np.bincount(unit[skips], minlength=len(owner)))
+            ids, length[varied] = segment(varied, keys[varied], dropout)
+            begin[varied] = len(pool) + np.cumsum(length[varied]) - length[varied]
+            pool = np.concatenate([pool, ids])
+        return pool[ranges(begin, length)], padded.per_text(length)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts, and their bounds; the space in front of a text is taken off."""
@@ -191,8 +222,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str, seed: int = 0, dropout: float = 0.0, variants: int = 1) -> Pieces:
-    """The tables of a model; kept ids belong to one way to drop merges."""
+def pieces(path: str) -> Pieces:
+    """The tables of a model."""
     return Pieces(path)
 
 
@@ -205,15 +236,17 @@ def encode_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    copy: Column | None = None,
 ) -> DataFrame:
     """One row per document: its id, bytes and tokens, unsigned crc32 of the ids (little-endian, 32 bits each), sha256 of the
-    text decoded from them, whether that is the text itself, and, if wanted, the ``ids``. ``model`` is at the same path on every machine."""
+    text decoded from them, whether that is the text itself, and, if wanted, the ``ids``. ``model`` is at the same path on every machine.
+    ``copy`` is the number, from 0, of a row among those with one id and text: each is varied by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
-            tables = pieces(model, seed, dropout, variants)
-            key = part.column(0)
-            keys = mixed(pc.fill_null(key, -1).to_numpy(zero_copy_only=False).astype(np.uint64) + key.is_null().to_numpy(zero_copy_only=False) * A)
+            tables = pieces(model)
+            key, number = part.column(0), part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            keys = mixed(pc.fill_null(key, -1).to_numpy(zero_copy_only=False).astype(np.uint64) + key.is_null().to_numpy(zero_copy_only=False) * A + number * C)
             ids, counts = tables.encode(texts, keys, seed, dropout, variants)
             data, bounds = tables.decode(ids, counts)
             same = bool(np.array_equal(bounds, texts.bounds) and np.array_equal(data, texts.data))
@@ -231,7 +264,7 @@ def encode_pieces(
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0) if copy is None else copy).cast("long").alias("copy"))
     return rows.mapInArrow(run, f"doc_id long, {COLUMNS}" + (", ids array<int>" if with_ids else ""))
 
 
