@@ -20,6 +20,7 @@ from tollgate.routers.scoring import score_splits
 from tollgate.routers.tfidf import damped_counts, gram_counts, vocabulary, weighted_features
 from tollgate.session import new_path, written
 from tollgate.sources.bundle import load_bundle, save_router
+from tollgate.sources.vectors import upsert_embeddings
 
 LENGTH_SHARE = "(SELECT count(*) FROM labelled t WHERE length(t.prompt) <= length(r.prompt)) / (SELECT count(*) FROM labelled)"
 
@@ -107,10 +108,35 @@ def tfidf_router(spark, sf):
     return TfidfRouter().fit(table).score(table).select("id", "score")
 
 
+def letter_encoder():
+    """Stands in for a sentence encoder: how often characters of each class modulo 64 occur."""
+
+    def encode(texts):
+        return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") % 64, minlength=64) for t in texts])
+
+    return encode
+
+
+def unit_encoder():
+    """The same as vectors of unit length, as sentence encoders give."""
+    encode = letter_encoder()
+
+    def unit(texts):
+        counts = encode(texts).astype(np.float64)
+        return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1.0)
+
+    return unit
+
+
+def filled_store(spark, table):
+    """A store with a vector for every row; the given one has only some ids, and vectors of another encoder cannot be mixed in."""
+    return upsert_embeddings(new_path(spark, "vectors"), table, unit_encoder)
+
+
 @check("embedding_router")
 def embedding_router(spark, sf):
-    table = v.labelled_with_vectors(spark, sf)
-    return EmbeddingRouter(v.vectors(spark, sf)).fit(table).score(table).select("id", "score")
+    table = v.labelled(spark, sf)
+    return EmbeddingRouter(filled_store(spark, table)).fit(table).score(table).select("id", "score")
 
 
 @check(
@@ -169,8 +195,8 @@ def score_splits_tfidf(spark, sf):
 
 @check("score_splits_embedding")
 def score_splits_embedding(spark, sf):
-    table = v.labelled_with_vectors(spark, sf)
-    return score_splits(table, make_splits(table), "embedding", store=v.vectors(spark, sf))
+    table = v.labelled(spark, sf)
+    return score_splits(table, make_splits(table), "embedding", store=filled_store(spark, table))
 
 
 def _scores(spark, sf):
@@ -191,9 +217,9 @@ def router_auroc(spark, sf):
 
 @check("report_all_routers")
 def report_all_routers(spark, sf):
-    table, store = v.labelled_with_vectors(spark, sf), v.vectors(spark, sf)
+    table = v.labelled(spark, sf)
     routers = ["random", "length", "tfidf", "embedding", "oracle"]
-    scores = analyse.score_all(table, written(make_splits(table), "splits"), routers, embedding={"store": store})
+    scores = analyse.score_all(table, written(make_splits(table), "splits"), routers, embedding={"store": filled_store(spark, table)})
     return analyse.report(scores, replicates=200)
 
 
@@ -239,15 +265,6 @@ def route_batch(spark, sf):
     return route.route_batch(v.free_texts(spark, sf), length_bundle(spark, sf)).select("id", "prompt", "score", "role")
 
 
-def letter_encoder():
-    """Stands in for a sentence encoder: how often characters of each class modulo 64 occur."""
-
-    def encode(texts):
-        return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") % 64, minlength=64) for t in texts])
-
-    return encode
-
-
 @check("route_batch_embedding")
 def route_batch_embedding(spark, sf):
     """Every routable text gets a role, also one that no store knows."""
