@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import jaccard_join, mixing, pieces, quality, secrets, substring_dedup, suffix_dedup, token_files, topk, url_filter
+from tollgate.llm import (
+    jaccard_join,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    secrets,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+    topk,
+    url_filter,
+    vector_codes,
+    whitening,
+)
 from tollgate.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +228,47 @@ def _covered_sql(name: str, m: int) -> str:
 )
 def op10_quality(spark, sf):
     return quality.quality(table(spark, sf, "documents")).drop("longest_repeat")
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))[0]
+
+
+@query("op12_packing")
+def op12_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and update as views, one after the other."""
+    out = []
+    for i in range(vector_codes.ROUNDS + 1):
+        near = f"(SELECT r, p, min([list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k]) AS best FROM parts JOIN book{i} USING (p) GROUP BY r, p)"
+        out.append(f"near{i} AS MATERIALIZED (SELECT r, p, best[1] AS d, best[2] AS k, part FROM {near} JOIN parts USING (r, p))")
+        if i < vector_codes.ROUNDS:
+            sums = f"(SELECT p, k, j, floor(sum(part[j])::DOUBLE / count(*))::BIGINT AS m FROM near{i}, dims GROUP BY p, k, j)"
+            out.append(
+                f"book{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(means, entry) AS entry FROM book{i} LEFT JOIN (SELECT p, k, list(m ORDER BY j) AS means FROM {sums} GROUP BY p, k) USING (p, k))"
+            )
+    return ",\n    ".join(out)
+
+
+SQL["op13_vector_codes"] = f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+                      list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS e, len(embedding) // {vector_codes.PARTS} AS w
+                  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    dims AS MATERIALIZED (SELECT unnest(range(1, (SELECT max(w) FROM kept) + 1)) AS j),
+    parts AS MATERIALIZED (SELECT r, p, e[p * w + 1:(p + 1) * w] AS part FROM kept, range({vector_codes.PARTS}) t(p)),
+    book0 AS MATERIALIZED (SELECT p, r - 1 AS k, part AS entry FROM parts WHERE r <= {vector_codes.ENTRIES}),
+    {_codes_sql()},
+    coded AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{vector_codes.ROUNDS} GROUP BY r),
+    digest AS (SELECT sha256(string_agg(entry[j]::VARCHAR, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM book{vector_codes.ROUNDS}, dims)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (r), digest
+    """
+
+
+@query("op13_vector_codes")
+def op13_vector_codes(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings"))
