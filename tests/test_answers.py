@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tollgate.operators import answers
 from tollgate.plans.collect import collect_answers
+from tollgate.sources import replies
 from tollgate.sources.responses import append_responses, read_responses
 from tollgate.sources.vectors import upsert_embeddings
 
@@ -99,6 +100,95 @@ def test_a_stopped_run_keeps_its_answers_and_is_resumed(spark, sample, tmp_path)
     assert collect_answers(one, path, "weak", PAIR, flaky(1), seq=3) == 0
 
 
+@pytest.fixture
+def calls(tmp_path):
+    """A folder with an entry for each call; counts and sorts them by prompt."""
+    folder = tmp_path / "calls"
+    folder.mkdir()
+
+    class Calls:
+        path = str(folder)
+
+        def prompts(self):
+            return sorted(p.read_text() for p in folder.iterdir())
+
+    return Calls()
+
+
+def paying(path, dies_at=None, stops_at=None, wait=0.0):
+    """Notes each call in a folder that all tasks share; dies or gives up when so many were made."""
+
+    def make():
+        import os
+        import time
+        import uuid
+
+        def answer(prompt):
+            made = len(os.listdir(path))
+            if dies_at is not None and made >= dies_at:
+                os._exit(1)
+            if stops_at is not None and made >= stops_at:
+                raise answers.StopCalls("no credit")
+            with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            time.sleep(wait)
+            return "B"
+
+        return answer
+
+    return make
+
+
+def test_a_run_that_dies_pays_for_nothing_twice(spark, sample, tmp_path, calls):
+    path = str(tmp_path / "log")
+    with pytest.raises(Exception, match="(?i)python worker|abort"):
+        collect_answers(sample.coalesce(1), path, "weak", PAIR, paying(calls.path, dies_at=13), seq=1, rows_per_slice=5, commit_rows=1)
+    paid = calls.prompts()
+    assert len(paid) == 13
+    assert collect_answers(sample, path, "weak", PAIR, paying(calls.path), seq=2, rows_per_slice=5) == 17
+    assert len(calls.prompts()) == 30 == len(set(calls.prompts()))
+    rows = read_responses(spark, path, "parquet").collect()
+    assert sorted(r.id for r in rows) == list(range(30)) and {r.raw for r in rows} == {"B"}
+
+
+def test_a_stop_ends_all_partitions(spark, tmp_path, calls):
+    rows = [(i, "s", f"question {i}", None, ["x", "y", "z"], "A") for i in range(400)]
+    many = spark.createDataFrame(rows, "id long, subject string, question string, context string, options array<string>, answer_letter string")
+    path = str(tmp_path / "log")
+    with pytest.raises(answers.StopCalls):
+        collect_answers(many, path, "strong", PAIR, paying(calls.path, stops_at=40, wait=0.02), seq=1, rows_per_slice=10)
+    made = len(calls.prompts())
+    assert 40 <= made <= 60  # a call or two for each of the tasks at work
+    assert read_responses(spark, path, "parquet").count() == made
+    assert collect_answers(many, path, "strong", PAIR, paying(calls.path), seq=2, rows_per_slice=100) == 400 - made
+
+
+def test_a_slice_that_is_tried_again_skips_what_it_committed(tmp_path):
+    files = replies.SliceFiles(str(tmp_path), 3, commit_rows=2, commit_seconds=1e9)
+    assert files.asked() == set()
+    for i in (5, 6, 7):
+        files.add((i, "m", "A", 0.1, 1.0))
+    assert replies.SliceFiles(str(tmp_path), 3, 2, 1e9).asked() == {5, 6}  # the third one waits
+    files.commit()
+    assert replies.SliceFiles(str(tmp_path), 3, 2, 1e9).asked() == {5, 6, 7}
+
+
+def test_refused_calls_are_not_repeated():
+    tries = []
+
+    def refuse(prompt):
+        tries.append(prompt)
+        raise answers.StopCalls("no credit")
+
+    assert replies.call(refuse, "p", 5, 0.0) == (None, "StopCalls: no credit", True) and len(tries) == 1
+
+
+def test_unknown_ids_are_told(spark, sample):
+    rows = spark.createDataFrame([(1, "w1", "A"), (77, "w1", "B")], "id long, model string, raw string")
+    assert [r.id for r in answers.grade_replies(rows, sample).collect()] == [1]
+    assert [r.id for r in answers.unknown_replies(rows, sample).collect()] == [77]
+
+
 def test_json_log_skips_blank_lines(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"id": 1, "model": "w1", "raw": "ب"}\n\n   \n{"id": 2, "model": "w1", "raw": null}\n', encoding="utf-8")
     rows = read_responses(spark, str(tmp_path / "log.jsonl")).orderBy("id").collect()

@@ -30,9 +30,51 @@ def test_split_groups_give_the_same_ranks(scored, by, rows_per_bucket, parts):
 
 def test_buckets_are_even_under_heavy_ties(scored):
     keyed, group = ordered.with_sort_key(scored, [], [ordered.descending("score"), F.col("id")])
-    bucketed, is_split = ordered.with_buckets(keyed, group, 200)
-    sizes = [r["count"] for r in bucketed.groupBy(ordered.BUCKET).count().collect()]
-    assert is_split and len(sizes) == 20 and max(sizes) < 400
+    bucketed, levels = ordered.with_buckets(keyed, group, 200)
+    sizes = [r["count"] for r in bucketed.groupBy(*levels).count().collect()]
+    assert len(levels) == 1 and len(sizes) == 20 and max(sizes) < 400
+
+
+def test_buckets_keep_their_size_over_several_levels(scored):
+    order = [ordered.descending("score"), F.col("id")]
+    keyed, group = ordered.with_sort_key(scored, ["g"], order)
+    bucketed, levels = ordered.with_buckets(keyed, group, 60, fan_out=4)
+    sizes = [r["count"] for r in bucketed.groupBy(*group, *levels).count().collect()]
+    assert len(levels) >= 3 and max(sizes) <= 120 and sum(sizes) == 4000
+    totals = {"rank": F.lit(1), "positives": F.col("need_strong").cast("int")}
+    run = lambda **o: sorted(ordered.running_totals(scored, ["g"], order, totals, ["rank"], **o).collect())
+    assert run(rows_per_bucket=60, fan_out=4) == run()
+
+
+def test_rows_with_equal_keys_end_the_levels(spark):
+    df = spark.range(500).withColumn("score", F.lit(1.0))
+    rows = ordered.running_totals(df, [], [F.col("score")], {"rank": F.lit(1)}, rows_per_bucket=20)
+    assert sorted(r["rank"] for r in rows.collect()) == list(range(1, 501))
+
+
+def test_a_split_reads_its_input_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 3000, 1, 4).mapInArrow(count, "id long").withColumn("score", F.col("id") % 7)
+    ranks = ordered.ranked(rows, [], rows_per_bucket=100)
+    assert ranks.count() == 3000 and ranks.agg(F.max("rank")).first()[0] == 3000
+    assert seen.value == 6000  # once to count the groups, once to store it
+
+
+def test_auroc_from_ranks_equals_auroc(spark, scored):
+    odd = spark.createDataFrame([(9000, "g1", None, True), (9001, "g1", None, False), (9002, "g9", 0.5, True)], scored.schema)
+    rows = scored.union(odd)
+    plain = sorted(ordered.auroc(rows, ["g"]).collect(), key=str)
+    ranks = ordered.ranked(rows, ["g"], rows_per_bucket=300)
+    again = sorted(ordered.auroc_of_ranks(ranks, ["g"]).collect(), key=str)
+    assert [(r.g, r.n, r.positives) for r in again] == [(r.g, r.n, r.positives) for r in plain]
+    assert [r.auroc for r in again if r.g != "g9"] == pytest.approx([r.auroc for r in plain if r.g != "g9"])
+    assert next(r for r in again if r.g == "g9").auroc is None
 
 
 def test_auroc_counts_pairs(scored):

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import char_grams
 from tollgate.operators import sampling
+from tollgate.operators.sums import summed
 from tollgate.plans import route
 from tollgate.routers import ROUTERS, EmbeddingRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter, register_router
 from tollgate.routers.base import balanced_lr, positive_score
+from tollgate.routers.baselines import FittedLengthRouter
 from tollgate.routers.embedding import with_embeddings
+from tollgate.routers.regression import fit_balanced, score_of
 from tollgate.routers.scoring import score_splits
 from tollgate.routers.tfidf import damped_counts, gram_counts, vocabulary, weighted_features
 from tollgate.sources.bundle import Bundle, load_bundle, save_router
@@ -87,24 +90,80 @@ def test_random_router_is_seeded_and_ignores_layout(toy):
 def test_length_scores_count_equal_lengths_and_cover_all_lengths(spark):
     train = spark.createDataFrame([("b" * n,) for n in (2, 3, 3, 6)], "prompt string")
     asked = spark.createDataFrame([("c" * n,) for n in (1, 2, 3, 5, 6, 9)], "prompt string")
-    scored = LengthRouter().fit(train).score(asked).collect()
-    assert {len(r.prompt): r.score for r in scored} == {1: 0.0, 2: 0.25, 3: 0.75, 5: 0.75, 6: 1.0, 9: 1.0}
+    fitted = LengthRouter().fit(train)
+    for router in (fitted, FittedLengthRouter(fitted.counts, 1), FittedLengthRouter(fitted.counts, 2, 1)):
+        assert {len(r.prompt): r.score for r in router.score(asked).collect()} == {1: 0.0, 2: 0.25, 3: 0.75, 5: 0.75, 6: 1.0, 9: 1.0}
 
 
-def test_regression_equals_newton(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(200, 3))
-    y = rng.random(200) < 1 / (1 + np.exp(-x @ [1.0, -2.0, 0.3] + 1))
-    df = spark.createDataFrame([(Vectors.dense(r), bool(l)) for r, l in zip(x.tolist(), y)], ["features", "need_strong"])
-    model = balanced_lr(df)
-    a = np.c_[x, np.ones(200)]
-    weight = np.where(y, 200 / (2 * y.sum()), 200 / (2 * (~y).sum()))
-    w, ridge = np.zeros(4), np.diag([1.0, 1.0, 1.0, 0.0])
-    for _ in range(30):
+def test_a_very_long_prompt_adds_one_step(spark):
+    counts = spark.createDataFrame([(3, 2), (10**8, 1)], "length int, m bigint")
+    fitted = FittedLengthRouter(counts)
+    assert fitted.steps.count() == 1 and len(fitted.steps.first()["__steps"]) == 2
+    asked = spark.createDataFrame([("x" * 3,), ("x" * 5000,), (None,)], "prompt string")
+    assert [r.score for r in fitted.score(asked).orderBy("prompt").collect()] == [None, pytest.approx(2 / 3), pytest.approx(2 / 3)]
+
+
+def plain_newton(x, y):
+    """Coefficients and intercept of the balanced regression, one full step after the other."""
+    a = np.c_[x, np.ones(len(y))]
+    weight = np.where(y, len(y) / (2 * y.sum()), len(y) / (2 * (~y).sum()))
+    w, ridge = np.zeros(a.shape[1]), np.diag([1.0] * x.shape[1] + [0.0])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-a @ w))
         w -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ w)
-    assert np.r_[model.coefficients.toArray(), model.intercept] == pytest.approx(w, abs=2e-3)
-    assert positive_score(model, df).count() == 200
+    return w
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)) * [1, 1, 20, 1]
+    y = rng.random(300) < 1 / (1 + np.exp(-x @ [1.0, -2.0, 0.3, 0.0] + 1))
+    side = rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(r, bool(c), int(s)) for r, c, s in zip(x.tolist(), y, side)], "embedding array<double>, need_strong boolean, side int")
+    return x, y, side, df.repartition(5)
+
+
+def test_dense_regression_equals_a_plain_solution(points):
+    x, y, side, df = points
+    sides = [F.lit(True), *[F.col("side") != s for s in range(3)]]
+    models = fit_balanced(df, sides=sides)
+    for model, rows in zip(models, [np.ones(300, bool), *[side != s for s in range(3)]]):
+        assert np.r_[model.coefficients, model.intercept] == pytest.approx(plain_newton(x[rows], y[rows]), abs=1e-8)
+    here = [F.col("side") == s for s in range(3)]
+    for r in df.withColumn("score", score_of(F.col("embedding"), models[1:], here)).collect():
+        m = models[1 + r.side]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-np.dot(r.embedding, m.coefficients) - m.intercept)))
+
+
+def test_far_steps_are_halved(spark):
+    x = np.array([[1000.0], [999.0], [-1000.0], [-998.0], [3.0], [1.0]])
+    y = np.array([True, False, False, True, True, False])
+    df = spark.createDataFrame([(r, bool(c)) for r, c in zip(x.tolist(), y)], "embedding array<double>, need_strong boolean")
+    (model,) = fit_balanced(df)
+    a, w = np.c_[x, np.ones(6)], np.r_[model.coefficients, model.intercept]
+    gradient = a.T @ (1 / (1 + np.exp(-a @ w)) - y) + w * [1, 0]
+    assert np.abs(gradient).max() < 1e-6
+
+
+def test_uneven_vectors_are_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0], True), ([1.0], False)], "embedding array<double>, need_strong boolean")
+    with pytest.raises(Exception, match="one length"):
+        fit_balanced(df)
+
+
+def test_sums_of_tasks_are_added_in_levels(spark):
+    df = spark.range(0, 1000, 1, 40)
+    measure = lambda b: b.column(0).to_numpy().sum(keepdims=True).astype(float)
+    assert summed(df, measure, (1,), driver_bytes=8)[0] == summed(df, measure, (1,))[0] == 499500
+
+
+def test_sparse_regression_equals_newton(points, spark):
+    x, y, _, _ = points
+    df = spark.createDataFrame([(Vectors.dense(r), bool(c)) for r, c in zip(x.tolist(), y)], ["features", "need_strong"])
+    model = balanced_lr(df)
+    assert np.r_[model.coefficients.toArray(), model.intercept] == pytest.approx(plain_newton(x, y), abs=2e-3)
+    assert positive_score(model, df).count() == 300
 
 
 def test_one_class_cannot_be_fitted(toy, store):
@@ -113,8 +172,9 @@ def test_one_class_cannot_be_fitted(toy, store):
 
 
 def test_missing_vectors_are_an_error(toy, store):
-    with pytest.raises(ValueError, match="no stored vector"):
-        with_embeddings(toy, store.where("id > 3"))
+    with pytest.raises(Exception, match="no stored vector"):
+        with_embeddings(toy, store.where("id > 3")).collect()
+    assert with_embeddings(toy, store).count() == 80
 
 
 def test_every_row_is_scored_out_of_sample(toy, store):

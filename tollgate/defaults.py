@@ -23,5 +23,6 @@ MAX_FEATURES = 50_000
 
 # Sizing of the distributed ordering (see operators/ordered.py).
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
+FAN_OUT = 4096
+MAX_LEVELS = 6
 SAMPLES_PER_BUCKET = 64

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -11,18 +12,13 @@ from tollgate.defaults import ROWS_PER_BUCKET
 from tollgate.functions.outcomes import need_strong, share
 from tollgate.functions.replies import chosen_letter, latin_labels, reply_labels
 from tollgate.operators.ordered import exact_quantiles
+from tollgate.session import measured
+from tollgate.sources.replies import StopCalls as StopCalls, call
 
 ROLES = ("weak", "strong")
 ANSWER_SCHEMA = "id bigint, model string, raw string, seconds double, error string, stop boolean"
 
 
-class StopCalls(Exception):
-    """Raised by an answer function when further calls are pointless (no credit left)."""
-
-    # Looked up by name: a worker may hold its own copy of this class.
-    stops_calls = True
-
-
 def role_of(model: Column, pair: Mapping[str, str]) -> Column:
     """The role of a model in the current pair, null for any other model."""
     return F.when(model == pair["weak"], "weak").when(model == pair["strong"], "strong")
@@ -52,12 +48,21 @@ def grade(parsed: DataFrame) -> DataFrame:
     )
 
 
-def grade_replies(replies: DataFrame, questions: DataFrame) -> DataFrame:
-    """Attach the answer key to raw replies, parse and grade them."""
-    key = questions.select(
+def answer_key(questions: DataFrame) -> DataFrame:
+    return questions.select(
         "id", F.col("answer_letter").alias("answer"), F.size("options").cast("bigint").alias("n_options")
     )
-    return grade(parse_answers(replies.join(key, "id")))
+
+
+def grade_replies(replies: DataFrame, questions: DataFrame) -> DataFrame:
+    """Attach the answer key to raw replies, parse and grade them. Replies to unknown ids are left out:
+    ``unknown_replies`` has them."""
+    return grade(parse_answers(replies.join(answer_key(questions), "id")))
+
+
+def unknown_replies(replies: DataFrame, questions: DataFrame) -> DataFrame:
+    """Replies whose id the question table does not hold."""
+    return replies.join(questions.select("id"), "id", "left_anti")
 
 
 def answer_pending(
@@ -72,32 +77,19 @@ def answer_pending(
     ``make_answer`` runs once per partition and returns the function that maps a prompt
     to a reply. A failed call is tried again after a growing wait and then reported in
     ``error``; the next rows go on. ``StopCalls`` marks its row and the rest of the
-    partition, so what was answered before it is kept.
+    partition. For calls that must not be paid twice see ``sources/replies``.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
         answer = make_answer()
         stopped = None
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["id"], batch["prompt"]):
-                raw = error = None
-                started = time.perf_counter()
-                for attempt in range(1, attempts + 1):
-                    if stopped:
-                        error = stopped
-                        break
-                    try:
-                        raw, error = answer(prompt), None
-                        break
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                        if getattr(e, "stops_calls", False):
-                            stopped = error
-                        elif attempt < attempts:
-                            time.sleep(wait_seconds * attempt)
+                raw, error, started = None, stopped, time.perf_counter()
+                if not stopped:
+                    raw, error, stop = call(answer, prompt, attempts, wait_seconds)
+                    stopped = error if stop else None
                 seconds = round(time.perf_counter() - started, 2)
                 rows.append((key, model, raw, seconds, error, stopped is not None))
             yield pd.DataFrame(rows, columns=["id", "model", "raw", "seconds", "error", "stop"])
@@ -113,14 +105,19 @@ def current_responses(responses: DataFrame, sample: DataFrame, pair: Mapping[str
 
 
 def response_summary(current: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Per role, over all logged replies: answered, accuracy, parse failures, median seconds."""
-    counts = current.groupBy("role", "model").agg(
-        F.count("*").alias("answered"),
-        share(F.col("correct")).alias("accuracy"),
-        F.count_if("parse_failed").alias("parse_failures"),
-        share(F.col("parse_failed")).alias("parse_failure_rate"),
+    """Per role, over all logged replies: answered, accuracy, parse failures, median seconds. The replies are
+    parsed and graded once, for counts by duration, from which all of it follows."""
+    cells = current.groupBy("role", "model", "seconds").agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("right"), F.count_if("parse_failed").alias("failed")
+    )
+    cells = measured(cells)
+    counts = cells.groupBy("role", "model").agg(
+        F.sum("n").alias("answered"),
+        F.try_divide(F.sum("right"), F.sum("n")).alias("accuracy"),
+        F.sum("failed").alias("parse_failures"),
+        F.try_divide(F.sum("failed"), F.sum("n")).alias("parse_failure_rate"),
     )
-    medians = exact_quantiles(current, ["role"], "seconds", {"median_seconds": 0.5}, rows_per_bucket)
+    medians = exact_quantiles(cells, ["role"], "seconds", {"median_seconds": 0.5}, rows_per_bucket, F.col("n"))
     return counts.join(medians, "role", "left")
 
 

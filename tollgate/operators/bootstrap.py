@@ -7,8 +7,8 @@ the table has. ``drawn``: each replicate draws n rows with replacement, as colum
 only in the fixed total and shuffles n * replicates rows. Both depend on row keys and the seed only,
 so the layout of the table does not matter.
 
-The Poisson form makes two passes over buckets of the routing order. The first sums
-the drawn weights per bucket and replicate. Their running totals tell in which bucket each
+The Poisson form starts from rows that know their rank and makes two passes over runs of ranks, the
+buckets. The first sums the drawn weights per bucket and replicate. Their running totals tell in which bucket each
 cut-off of each replicate falls, and the second pass visits only those buckets.
 """
 
@@ -19,14 +19,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tollgate.defaults import REPLICATES, SEED, STRONG_PCTS
 from tollgate.functions.draws import uniform
 from tollgate.operators.metrics import apgr, cum_gain, rows_at
-from tollgate.operators.ordered import BUCKET, HEADS, KEY, descending, with_buckets, with_sort_key
+from tollgate.session import written
 
 POISSON_BUCKET = 100_000
+BUCKET = "__bucket"
 CELLS_PER_CHUNK = 2_000_000
 
 
@@ -46,12 +47,15 @@ def replicate_apgr(
         return _drawn(scored, list(by), replicates, seed, score, tie, pcts)
     if method != "poisson":
         raise ValueError(f"no such method: {method}")
-    return _weighted(scored, list(by), replicates, seed, score, tie, pcts, rows_per_bucket)
+    return replicate_gains(cum_gain(scored, by, score, tie), by, replicates, seed, tie, pcts, rows_per_bucket)
 
 
 def bootstrap_apgr(scored: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
     """95% percentile interval of APGR per group; null where no replicate defines it."""
-    values = replicate_apgr(scored, by, **options)
+    return interval(replicate_apgr(scored, by, **options), by)
+
+
+def interval(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return values.groupBy(*by).agg(
         F.percentile("apgr", 0.025).alias("apgr_ci_low"),
         F.percentile("apgr", 0.975).alias("apgr_ci_high"),
@@ -133,19 +137,35 @@ def _chunks(rows: pd.DataFrame, replicates: int) -> Iterator[tuple[np.ndarray, n
         yield keys[start : start + size], slice(start, start + size)
 
 
-def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -> DataFrame:
-    order = [descending(score), *[F.col(c) for c in tie]]
-    keyed, group = with_sort_key(scored, by, order)
-    bucketed, _ = with_buckets(keyed, group, rows_per_bucket)
+def draw_key(seed: int, tie: Sequence[str]) -> Column:
+    """The first 60 bits of an MD5 digest of seed and row key; null columns are empty texts."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tie])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def replicate_gains(
+    gains: DataFrame,
+    by: Sequence[str] = (),
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    tie: Sequence[str] = ("id",),
+    pcts: Sequence[int] = STRONG_PCTS,
+    rows_per_bucket: int = POISSON_BUCKET,
+) -> DataFrame:
+    """The Poisson form for a table that has been ordered already (see ``metrics.cum_gain``)."""
+    group = list(by)
     cell = [*group, BUCKET]
-    key_fields = [f"__k{i}" for i in range(len(order))]
-    rows = bucketed.drop(HEADS).select(
-        *cell,
-        *[F.col(f"{KEY}.k{i}").alias(c) for i, c in enumerate(key_fields)],
-        F.xxhash64(F.lit(seed), *tie).alias("draw_key"),
-        F.col("weak_correct").cast("int").alias("weak"),
-        F.col("strong_correct").cast("int").alias("strong"),
-    ).repartition(*cell).persist()
+    rows = written(
+        gains.select(
+            *group,
+            F.floor((F.col("rank") - 1) / F.lit(rows_per_bucket)).cast("bigint").alias(BUCKET),
+            "rank",
+            draw_key(seed, tie).alias("draw_key"),
+            F.col("weak_correct").cast("int").alias("weak"),
+            F.col("strong_correct").cast("int").alias("strong"),
+        ),
+        "ranks",
+    )
     fields = [T.StructField(c, rows.schema[c].dataType) for c in cell]
     sums_schema = T.StructType(
         fields
@@ -165,7 +185,8 @@ def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -
     per_bucket = rows.groupBy(*cell).applyInPandas(sum_bucket, sums_schema)
     flat = per_bucket.select(
         *cell, F.posexplode(F.arrays_zip("weight", "n_weak", "n_strong")).alias("replicate", "s")
-    ).select(*cell, "replicate", "s.weight", "s.n_weak", "s.n_strong").persist()
+    ).select(*cell, "replicate", "s.weight", "s.n_weak", "s.n_strong")
+    flat = written(flat, "sums")
     each = Window.partitionBy(*group, "replicate")
     before = each.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     gain = F.col("n_strong") - F.col("n_weak")
@@ -198,7 +219,7 @@ def _weighted(scored, by, replicates, seed, score, tie, pcts, rows_per_bucket) -
         empty = pd.DataFrame({f.name: [] for f in found_schema})
         if wanted.empty:
             return empty
-        pdf = pdf.sort_values(key_fields)
+        pdf = pdf.sort_values("rank")
         step = (pdf["strong"] - pdf["weak"]).to_numpy(dtype=np.int64)
         which = wanted["replicate"].to_numpy()
         target = wanted["target"].to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tollgate.defaults import MIN_SUBJECT_POSITIVES, MIN_SUBJECT_ROWS, ROWS_PER_BUCKET, WORST_EXAMPLES
 from tollgate.functions.outcomes import share
@@ -14,6 +14,18 @@ from tollgate.operators.ordered import auroc, descending, exact_quantiles, runni
 FEATURES = ("n_options", "has_context", "prompt_chars")
 
 
+def decide_ranked(ranked: DataFrame, pct: float | Column, rank: str = "rank", n: str = "n") -> DataFrame:
+    """Send the top pct percent of rows that know their rank among ``n`` to strong; flag missed and wasted decisions."""
+    fraction = pct / 100 if isinstance(pct, Column) else F.lit(pct / 100)
+    sent = F.col(rank) <= F.rint(fraction * F.col(n))
+    return ranked.withColumn("sent_to_strong", sent).withColumns(
+        {
+            "missed": ~F.col("sent_to_strong") & F.col("need_strong"),
+            "wasted": F.col("sent_to_strong") & F.col("weak_correct"),
+        }
+    )
+
+
 def mark_decisions(
     scored: DataFrame,
     pct: float | Column,
@@ -25,14 +37,7 @@ def mark_decisions(
     """Send the top pct percent to strong; flag missed and wasted decisions."""
     order = [descending(score), *[F.col(c) for c in tie]]
     run = running_totals(scored, by, order, {"__rank": F.lit(1)}, ["__rank"], rows_per_bucket)
-    fraction = pct / 100 if isinstance(pct, Column) else F.lit(pct / 100)
-    sent = F.col("__rank") <= F.rint(fraction * F.col("__rank_all"))
-    return run.withColumn("sent_to_strong", sent).withColumns(
-        {
-            "missed": ~F.col("sent_to_strong") & F.col("need_strong"),
-            "wasted": F.col("sent_to_strong") & F.col("weak_correct"),
-        }
-    ).drop("__rank", "__rank_all")
+    return decide_ranked(run, pct, "__rank", "__rank_all").drop("__rank", "__rank_all")
 
 
 def decision_totals(decided: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -46,15 +51,19 @@ def decision_totals(decided: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def worst_examples(decided: DataFrame, n: int = WORST_EXAMPLES, tie: Sequence[str] = ("id",)) -> DataFrame:
-    """The n most confident mistakes: missed with the lowest scores, wasted with the highest."""
-    totals = decided.agg(F.count_if("missed"), F.count_if("wasted")).first()
-    n_missed = min(totals[0], (n + 1) // 2)
-    n_wasted = min(totals[1], n - n_missed)
-    missed = decided.where("missed").orderBy("score", *tie).limit(n_missed)
-    wasted = decided.where("wasted").orderBy(F.desc("score"), *tie).limit(n_wasted)
-    return missed.withColumn("error", F.lit("missed")).unionByName(
-        wasted.withColumn("error", F.lit("wasted"))
-    )
+    """The n most confident mistakes: missed with the lowest scores, wasted with the highest; undefined scores are
+    the lowest. One pass: each task keeps its first n rows of either kind. Half of the n, rounded up, are missed ones
+    if there are so many, and the wasted ones fill up."""
+    place, kind = "__place", F.when(F.col("missed"), "missed").when(F.col("wasted"), "wasted")
+    low = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(None)), F.lit(float("-inf")))
+    confidence = F.when(F.col("missed"), low).otherwise(-low)
+    along = Window.partitionBy("error").orderBy(confidence, *tie)
+    first = decided.withColumn("error", kind).where(F.col("error").isNotNull())
+    first = first.withColumn(place, F.row_number().over(along)).where(F.col(place) <= n)
+    n_missed = F.count_if((F.col("error") == "missed") & (F.col(place) <= (n + 1) // 2)).over(Window.partitionBy())
+    first = first.withColumn("__missed", n_missed)  # over 2 n rows
+    room = F.when(F.col("error") == "missed", F.col("__missed")).otherwise(n - F.col("__missed"))
+    return first.where(F.col(place) <= room).drop(place, "__missed")
 
 
 def with_features(decided: DataFrame, questions: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:

@@ -121,7 +121,17 @@ def evaluate(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One metric row per group: size, accuracies, area, APGR and calls-to-target."""
-    table = _summary(cum_gain(scored, by, score, tie, rows_per_bucket), by, pcts, targets)
+    return evaluate_gains(cum_gain(scored, by, score, tie, rows_per_bucket), by, pcts, targets)
+
+
+def evaluate_gains(
+    gains: DataFrame,
+    by: Sequence[str] = (),
+    pcts: Sequence[int] = STRONG_PCTS,
+    targets: Sequence[float] = TARGETS,
+) -> DataFrame:
+    """The same for a table that has been ordered already (see ``cum_gain``)."""
+    table = _summary(gains, by, pcts, targets)
     return table.select(
         *by,
         F.col("n").alias("n_test"),

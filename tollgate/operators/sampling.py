@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,60 +26,51 @@ def allocate(
     by: Sequence[str],
     n: int | Callable[[Column], Column],
     at_least_one: bool = True,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``quota``: n shared out in proportion to ``size`` by largest remainder.
 
     Never more than a group's size; with ``at_least_one`` each group gets a row when n
-    allows it, and what that overshoots is taken back from the largest quotas. Both
-    corrections are closed forms over one sorted pass of the (small) size table:
+    allows it, and what that overshoots is taken back from the largest quotas. Either
+    correction is a closed form over one ordered pass of the size table, cut into buckets like any other:
     leftovers go one each to the largest remainders, and taking back one by one from
     the current maximum lowers the largest k quotas to a common level.
-    ``n`` may be a function of the total.
+    ``n`` may be a function of the total. ``sizes`` is read several times.
     """
-    everything = Window.partitionBy()
-    total = F.sum("size").over(everything)
-    want = n(F.col("__total")) if callable(n) else F.lit(n)
-    table = sizes.withColumns({"__total": total, "__groups": F.count("*").over(everything)})
-    table = table.withColumn("__want", F.least(want.cast("bigint"), F.col("__total")))
-    table = table.withColumn("__raw", F.col("size") / F.col("__total") * F.col("__want"))
+    sums = sizes.agg(F.sum("size").alias("total"), F.count("*").alias("groups"))
+    sums = sums.select("*", F.least((n(F.col("total")) if callable(n) else F.lit(n)).cast("bigint"), "total").alias("want")).first()
+    total, groups, want = sums["total"] or 0, sums["groups"], sums["want"] or 0
+    table = sizes.withColumn("__raw", F.col("size") / F.lit(total) * F.lit(want))
     base = F.floor("__raw")
-    if at_least_one:
-        base = F.when(F.col("__want") >= F.col("__groups"), F.greatest(base, F.lit(1))).otherwise(base)
+    if at_least_one and want >= groups:
+        base = F.greatest(base, F.lit(1))
     table = table.withColumn("__base", F.least(base, F.col("size")))
-    table = table.withColumn("__left", F.col("__want") - F.sum("__base").over(everything))
+    left = want - (table.agg(F.sum("__base")).first()[0] or 0) if groups else 0
     names = [F.col(c) for c in by]
-    by_remainder = Window.orderBy((F.col("__raw") - F.col("__base")).desc(), F.col("size").desc(), *names)
-    by_quota = Window.orderBy(F.col("__base").desc(), F.col("size").desc(), *names)
-    table = table.withColumns(
-        {
-            "__turn": F.row_number().over(by_remainder),
-            "__k": F.row_number().over(by_quota),
-            "__upto": F.sum("__base").over(by_quota.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    # The k-th largest quota is lowered when levelling the first k down to it costs less
-    # than the overshoot.
-    lowered = -F.col("__left") > F.col("__upto") - F.col("__k") * F.col("__base")
-    table = table.withColumns(
-        {
-            "__lowered": F.sum(F.when(lowered, 1).otherwise(0)).over(everything),
-            "__kept": F.max(F.when(lowered, F.col("__upto"))).over(everything) + F.col("__left"),
-        }
-    )
-    level = F.floor(F.try_divide(F.col("__kept"), F.col("__lowered")))
-    spare = F.col("__kept") - F.col("__lowered") * level
-    quota = (
-        F.when((F.col("__left") > 0) & (F.col("__turn") <= F.col("__left")), F.col("__base") + 1)
-        .when(
-            (F.col("__left") < 0) & (F.col("__k") <= F.col("__lowered")),
-            level + F.when(F.col("__k") > F.col("__lowered") - spare, 1).otherwise(0),
-        )
-        .otherwise(F.col("__base"))
-    )
+    if left > 0:
+        by_remainder = [F.col("__base") - F.col("__raw"), -F.col("size"), *names]
+        table = running_totals(table, [], by_remainder, {"__turn": F.lit(1)}, rows_per_bucket=rows_per_bucket)
+        quota = F.when(F.col("__turn") <= left, F.col("__base") + 1).otherwise(F.col("__base"))
+    elif left < 0:
+        by_quota = [-F.col("__base"), -F.col("size"), *names]
+        sums = {"__k": F.lit(1), "__upto": F.col("__base")}
+        table = running_totals(table, [], by_quota, sums, rows_per_bucket=rows_per_bucket)
+        # The k-th largest quota is lowered when levelling the first k down to it costs less
+        # than the overshoot.
+        lowered = -left > F.col("__upto") - F.col("__k") * F.col("__base")
+        count, upto = table.where(lowered).agg(F.count("*"), F.max("__upto")).first()
+        level, spare = divmod(upto + left, count)
+        cut = level + F.when(F.col("__k") > count - spare, 1).otherwise(0)
+        quota = F.when(F.col("__k") <= count, cut).otherwise(F.col("__base"))
+    else:
+        quota = F.col("__base")
     return table.select(*sizes.columns, quota.cast("bigint").alias("quota"))
 
 
-def mark_lowest(
+LAST = "__last"
+
+
+def last_picked(
     df: DataFrame,
     by: Sequence[str],
     quotas: DataFrame,
@@ -86,17 +78,17 @@ def mark_lowest(
     tie: str = "id",
     rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
-    """Add ``picked``: the ``quota`` rows per group with the lowest draw in [0, 1).
+    """(by..., last): of the ``quota`` rows per group with the lowest draw in [0, 1), the one with the highest.
 
     The draw is uniform, so equal slices of it hold about equally many rows. Slices are
     counted per group, and only the slice in which the quota runs out is sorted, to find
     the group's last picked row. A group holding a third of a huge table thus sorts about
-    ``rows_per_slot`` rows; the rows themselves are compared with that one row and not moved.
+    ``rows_per_slot`` rows. A group with quota 0 has no row here.
     """
     by = list(by)
     slots = F.ceil(F.col("size") / rows_per_slot)
     plan = quotas.select(*by, "quota", slots.alias("__slots"))
-    drawn = df.withColumn("__draw", draw)
+    drawn = df.select(*dict.fromkeys([*by, tie]), draw.alias("__draw"))
     keyed = join_null_safe(drawn, plan, by).withColumn("__slot", F.floor(F.col("__draw") * F.col("__slots")))
     counts = keyed.groupBy(*by, "quota", "__slot").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +97,34 @@ def mark_lowest(
         .where((F.col("__before") < F.col("quota")) & (F.col("__before") + F.col("__n") >= F.col("quota")))
         .select(*by, "__slot", (F.col("quota") - F.col("__before")).alias("__still"))
     )
-    contested = join_null_safe(keyed.select(*by, "__slot", "__draw", tie), measured(cut), [*by, "__slot"])
+    contested = join_null_safe(keyed.select(*dict.fromkeys([*by, "__slot", "__draw", tie])), measured(cut), [*by, "__slot"])
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("__draw", tie))
     last = (
         contested.withColumn("__rank", rank)
         .where(F.col("__rank") == F.col("__still"))
-        .select(*by, F.struct("__draw", F.col(tie).alias("__tie")).alias("__last"))
+        .select(*by, F.struct("__draw", F.col(tie).alias("__tie")).alias(LAST))
     )
-    # A group with quota 0 has no last row, and none of its rows is picked.
-    here = F.struct("__draw", F.col(tie).alias("__tie"))
-    picked = F.coalesce(here <= F.col("__last"), F.lit(False))
-    return join_null_safe(drawn, measured(last), by, "left").withColumn("picked", picked).select(*df.columns, "picked")
+    return measured(last)
+
+
+def mark_picked(df: DataFrame, by: Sequence[str], last: DataFrame, draw: Column, tie: str = "id") -> DataFrame:
+    """Add ``picked``: whether a row comes no later than its group's last one. The rows are compared
+    with that one row and, while ``last`` is small enough to be broadcast, not moved."""
+    here = F.struct(draw.alias("__draw"), F.col(tie).alias("__tie"))
+    picked = F.coalesce(here <= F.col(LAST), F.lit(False))
+    return join_null_safe(df, last, by, "left").withColumn("picked", picked).drop(LAST)
+
+
+def mark_lowest(
+    df: DataFrame,
+    by: Sequence[str],
+    quotas: DataFrame,
+    draw: Column,
+    tie: str = "id",
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
+    """Add ``picked``: the ``quota`` rows per group with the lowest draw in [0, 1)."""
+    return mark_picked(df, by, last_picked(df, by, quotas, draw, tie, rows_per_slot), draw, tie)
 
 
 def stratified_sample(
@@ -136,6 +145,21 @@ def stratified_sample(
     return running_totals(sample, [], order, {"sample_rank": F.lit(1)}, rows_per_bucket=rows_per_bucket)
 
 
+def last_test_rows(
+    df: DataFrame, test_size: float, seed: int, strat: str, tie: str, rows_per_slot: int = ROWS_PER_SLOT
+) -> DataFrame:
+    """Of each class, the last row by draw that goes to the test side."""
+    sizes = measured(group_sizes(df, [strat]))
+    train = allocate(sizes, [strat], lambda t: t - F.ceil(F.lit(test_size) * t), at_least_one=False)
+    test = measured(train.withColumn("quota", F.col("size") - F.col("quota")))
+    return last_picked(df, [strat], test, uniform(F.col(tie), seed), tie, rows_per_slot)
+
+
+def _with_part(df: DataFrame, last: DataFrame, seed: int, strat: str, tie: str) -> DataFrame:
+    marked = mark_picked(df, [strat], last, uniform(F.col(tie), seed), tie)
+    return marked.withColumn("part", F.when(F.col("picked"), "test").otherwise("train")).drop("picked")
+
+
 def random_split(
     df: DataFrame,
     test_size: float = TEST_SIZE,
@@ -145,11 +169,7 @@ def random_split(
     rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """Add ``part``: exactly ceil(test_size * n) test rows, classes in proportion."""
-    sizes = measured(group_sizes(df, [strat]))
-    train = allocate(sizes, [strat], lambda t: t - F.ceil(F.lit(test_size) * t), at_least_one=False)
-    test = measured(train.withColumn("quota", F.col("size") - F.col("quota")))
-    marked = mark_lowest(df, [strat], test, uniform(F.col(tie), seed), tie, rows_per_slot)
-    return marked.withColumn("part", F.when(F.col("picked"), "test").otherwise("train")).drop("picked")
+    return _with_part(df, last_test_rows(df, test_size, seed, strat, tie, rows_per_slot), seed, strat, tie)
 
 
 def loads_before(runs: Sequence[tuple[int, int]], k: int) -> list[list[int]]:
@@ -210,21 +230,46 @@ def group_folds(
     return join_null_safe(df, measured(folds.drop("size")), [group]).select(*df.columns, "fold")
 
 
+@dataclass(frozen=True)
+class SplitPlan:
+    """Both evaluation setups as functions of a row: the last test row of each class, and the fold of each group.
+    Rows get their part and fold where they are; nothing is joined by id."""
+
+    last: DataFrame
+    folds: DataFrame
+    seed: int
+    strat: str = "need_strong"
+    group: str = "subject"
+    tie: str = "id"
+
+    def assign(self, table: DataFrame) -> DataFrame:
+        """Add ``part`` (train or test in the random setup) and ``fold`` (where the row is tested in the unseen one)."""
+        return join_null_safe(_with_part(table, self.last, self.seed, self.strat, self.tie), self.folds, [self.group], "left")
+
+    def splits(self, table: DataFrame) -> DataFrame:
+        """(setup, id, fold, part). ``random`` lists every row as train or test. ``unseen_subjects`` lists every row
+        once, as a test row of its fold; that fold's training rows are all rows of the other folds."""
+        setups = F.array(
+            F.struct(F.lit("random").alias("setup"), F.lit(0).alias("fold"), F.col("part").alias("part")),
+            F.struct(F.lit("unseen_subjects").alias("setup"), F.col("fold").alias("fold"), F.lit("test").alias("part")),
+        )
+        assigned = self.assign(table.select(*dict.fromkeys([self.tie, self.strat, self.group])))
+        return assigned.select(F.col(self.tie).alias("id"), F.inline(setups)).select("setup", "id", "fold", "part")
+
+
+def plan_splits(
+    table: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE, k: int = GROUP_FOLDS
+) -> SplitPlan:
+    sizes = measured(group_sizes(table, ["subject"]))
+    folds = measured(fold_of_groups(sizes, "subject", k).drop("size"))
+    return SplitPlan(last_test_rows(table, test_size, seed, "need_strong", "id"), folds, seed)
+
+
 def make_splits(
     table: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE, k: int = GROUP_FOLDS
 ) -> DataFrame:
-    """Both evaluation setups as one table (setup, id, fold, part).
-
-    ``random`` lists every row as train or test. ``unseen_subjects`` lists every row once,
-    as a test row of its fold; that fold's training rows are all rows of the other folds.
-    """
-    random = random_split(table, test_size, seed).select(
-        F.lit("random").alias("setup"), "id", F.lit(0).alias("fold"), "part"
-    )
-    unseen = group_folds(table, "subject", k).select(
-        F.lit("unseen_subjects").alias("setup"), "id", "fold", F.lit("test").alias("part")
-    )
-    return random.unionByName(unseen)
+    """Both evaluation setups as one table (setup, id, fold, part)."""
+    return plan_splits(table, seed, test_size, k).splits(table)
 
 
 def split_balance(table: DataFrame, splits: DataFrame) -> DataFrame:

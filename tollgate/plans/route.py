@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, functions as F
 from tollgate.functions.questions import answer_text
 from tollgate.operators.decisions import routable, route, threshold
 from tollgate.operators.quality import split_questions, with_prompts
-from tollgate.routers import Router
+from tollgate.operators.metrics import operating_point
+from tollgate.routers import ROUTERS, Router
+from tollgate.session import written
 from tollgate.sources.bundle import Bundle
 
 
 def train_router(table: DataFrame, router: Router, pct: float) -> Bundle:
-    """Fit on all rows; the cut-off sends pct percent of them to strong."""
+    """Fit on all rows; the cut-off sends pct percent of them to strong. The table is read twice, to fit and to score."""
     fitted = router.fit(table)
-    cut = threshold(fitted.score(table), pct).first()["threshold"]
-    return Bundle(fitted, float(cut), float(pct), table.count())
+    scores = written(fitted.score(table).select("score"), "scores")
+    cut = threshold(scores, pct).first()["threshold"]
+    return Bundle(fitted, float(cut), float(pct), scores.count())
+
+
+def final_router(table: DataFrame, report: DataFrame, name: str, setup: str = "random", **options) -> Bundle:
+    """The router that goes into use: ``name`` fitted on all rows, cut off where the report of the
+    evaluation says that it reaches the target."""
+    point = operating_point(report.where(F.col("setup") == setup), name).first()
+    if point is None:
+        raise ValueError(f"the report has no router {name} in setup {setup}")
+    return train_router(table, ROUTERS[name](**options), point["pct"])
 
 
 def prepare(texts: DataFrame, text: str = "text") -> DataFrame:

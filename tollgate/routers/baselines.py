@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tollgate.defaults import SEED
+from tollgate.functions.arrays import in_lists, last_not_above, once
 from tollgate.functions.draws import uniform
 from tollgate.operators.ordered import running_totals
 from tollgate.routers.base import register_router, save_params
@@ -55,28 +56,38 @@ class LengthRouter:
         return FittedLengthRouter(measured(length_counts(train)))
 
 
+# Lengths that one row of the step table holds, in lists of STEPS_PER_LIST.
+STEPS_PER_ROW, STEPS_PER_LIST = 1024, 32
+
+
 class FittedLengthRouter:
-    """Scores by a table with one row per whole length between the shortest and the longest
-    training prompt, so that any new prompt finds its share by an equi-join and a stream
-    can be scored. It has as many rows as the longest prompt has characters; its true size
-    decides whether it is broadcast."""
+    """Scores by a step function: the share of training prompts that are no longer.
+
+    The table has a row for every ``STEPS_PER_ROW`` distinct training lengths, however long a prompt
+    is: which row a prompt needs follows from the first lengths of the rows, a short list, and
+    the step within it from the row's own lists. So a new prompt is scored by an equi-join
+    with a small table, and a stream can be scored."""
 
-    def __init__(self, counts: DataFrame):
+    def __init__(self, counts: DataFrame, steps_per_row: int = STEPS_PER_ROW, steps_per_list: int = STEPS_PER_LIST):
         self.counts = counts
-        by_length = Window.orderBy("length")  # distinct lengths, not rows
-        upto = running_totals(counts, [], [F.col("length")], {"upto": F.col("m")}, ["upto"])
-        steps = upto.withColumn("next", F.coalesce(F.lead("length").over(by_length), F.col("length") + 1))
-        every = F.explode(F.sequence(F.col("length"), F.col("next") - 1)).alias("length")
-        self.shares = measured(steps.select(every, F.try_divide("upto", "upto_all").alias("score")))
-        self.shortest, self.longest = self.shares.agg(F.min("length"), F.max("length")).first()
+        sums = {"upto": F.col("m"), "place": F.lit(1)}
+        steps = running_totals(counts, [], [F.col("length")], sums, ["upto"])
+        row = F.floor((F.col("place") - 1) / F.lit(steps_per_row)).cast("int").alias("__row")
+        step = F.struct("length", F.try_divide("upto", "upto_all").alias("share"))
+        rows = steps.select(row, step.alias("step")).groupBy("__row").agg(F.array_sort(F.collect_list("step")).alias("all"))
+        self.steps = measured(rows.select("__row", F.col("all").alias("__steps"), in_lists(F.col("all"), steps_per_list).alias("__lists")))
+        first = self.steps.select(F.get("__steps", F.lit(0))["length"].alias("first")).orderBy("first")
+        self.firsts = [r["first"] for r in first.collect()]  # one number a row
 
     def score(self, df: DataFrame) -> DataFrame:
         length = F.length("prompt")
-        scored = df.withColumn("__length", length).join(
-            self.shares.withColumnRenamed("length", "__length"), "__length", "left"
-        )
-        outside = F.when(F.col("__length") < self.shortest, 0.0).when(F.col("__length") > self.longest, 1.0)
-        return scored.withColumn("score", F.coalesce("score", outside)).drop("__length")
+        firsts = F.array(*[F.lit(x) for x in self.firsts]) if self.firsts else F.array().cast("array<int>")
+        # Lengths below the first step have row -1, which the table lacks.
+        row = once(length, lambda n: F.size(F.filter(firsts, lambda x: x <= n)) - 1)
+        joined = df.withColumn("__row", row).join(self.steps, "__row", "left")
+        upto = once(length, lambda n: last_not_above(F.col("__lists"), n, lambda step: step["length"]))
+        share = F.coalesce(F.get("__steps", upto - 1)["share"], F.lit(0.0))
+        return joined.withColumn("score", F.when(F.col("prompt").isNotNull(), share)).drop("__row", "__steps", "__lists")
 
     def save(self, path: str) -> None:
         self.counts.write.mode("overwrite").parquet(f"{path}/lengths")

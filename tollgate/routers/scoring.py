@@ -9,18 +9,23 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tollgate.operators.sampling import SplitPlan
 from tollgate.routers.base import ROUTERS, Router, balanced_lr, positive_score
 from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
-from tollgate.routers.embedding import EmbeddingRouter, with_embeddings
+from tollgate.routers.embedding import EmbeddingRouter, with_vectors
+from tollgate.routers.regression import fit_balanced, score_of
 from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, weighted_features
 from tollgate.session import measured, spread, written
 
 COLUMNS = ("setup", "router", "fold", "id", "subject", "weak_correct", "strong_correct", "need_strong", "score")
 
 
-def with_assignment(table: DataFrame, splits: DataFrame) -> DataFrame:
+def with_assignment(table: DataFrame, splits: DataFrame | SplitPlan) -> DataFrame:
     """One row per question with its ``part`` in the random setup and its test ``fold`` in
-    the unseen one: all that any of the models needs to tell training rows from test rows."""
+    the unseen one: all that any of the models needs to tell training rows from test rows.
+    A plan tells both from the row itself; a stored table of splits has to be joined by id."""
+    if isinstance(splits, SplitPlan):
+        return splits.assign(table)
     by_id = splits.groupBy("id").agg(
         F.max(F.when(F.col("setup") == "random", F.col("part"))).alias("part"),
         F.max(F.when(F.col("setup") == "unseen_subjects", F.col("fold"))).alias("fold"),
@@ -50,7 +55,7 @@ def _models(assigned: DataFrame) -> list[tuple[str, int, object, object]]:
     return [("random", 0, F.col("part") == "train", F.col("part") == "test"), *unseen]
 
 
-def score_splits(table: DataFrame, splits: DataFrame, name: str, **options) -> DataFrame:
+def score_splits(table: DataFrame, splits: DataFrame | SplitPlan, name: str, **options) -> DataFrame:
     """Fit a router on each training side and score its test side; long form."""
     assigned = with_assignment(table, splits)
     router = ROUTERS[name](**options)
@@ -60,6 +65,8 @@ def score_splits(table: DataFrame, splits: DataFrame, name: str, **options) -> D
         scored = router.score(test_rows(assigned))
     elif isinstance(router, TfidfRouter):
         scored = _tfidf_scores(assigned, router)
+    elif isinstance(router, EmbeddingRouter):
+        scored = _embedding_scores(assigned, router)
     else:
         scored = _fitted_scores(assigned, router)
     return scored.withColumn("router", F.lit(name)).select(*COLUMNS)
@@ -109,11 +116,18 @@ def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
     return reduce(DataFrame.unionByName, _at_once(score, len(models)))
 
 
+def _embedding_scores(assigned: DataFrame, router: EmbeddingRouter) -> DataFrame:
+    """All models are fitted in the same passes, and one pass scores every row by the model of its setup and fold."""
+    rows = with_vectors(assigned, router.store, router.make_encoder).drop("prompt")
+    rows = written(rows, "rows")
+    models = _models(rows)
+    fitted = fit_balanced(rows, sides=[is_train for _, _, is_train, _ in models])
+    here = [(F.col("setup") == setup) & (F.col("fold") == fold) for setup, fold, _, _ in models]
+    return test_rows(rows).withColumn("score", score_of(F.col("embedding"), fitted, here))
+
+
 def _fitted_scores(assigned: DataFrame, router: Router) -> DataFrame:
-    """One fit per training side; the scores of the test sides are put together. Vectors are
-    looked up and checked once for all of them."""
-    if isinstance(router, EmbeddingRouter) and "embedding" not in assigned.columns:
-        assigned = written(with_embeddings(assigned, router.store).drop("prompt"), "rows")
+    """One fit per training side; the scores of the test sides are put together."""
     models = _models(assigned)
 
     def score(index: int) -> DataFrame:

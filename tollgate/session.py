@@ -1,4 +1,4 @@
-"""Shared folder and size-checked small tables."""
+"""Shared folder, files in it, and size-checked small tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -59,6 +60,20 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return [f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()]
+
+
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """How a task reaches a shared folder, and the folder's path there."""
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application, once its results have been stored elsewhere."""
     remove(spark, own_folder(spark))
@@ -73,12 +88,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """Materialise an aggregated table so that its true size is known to the
-    optimizer, which then broadcasts it below ``autoBroadcastJoinThreshold`` and
-    shuffles it otherwise. It is a cache, so a lost block is recomputed."""
-    df = df.persist()
-    df.count()
-    return df
+    """Store an aggregated table so that its true size is known to the optimizer, which then
+    broadcasts it below ``autoBroadcastJoinThreshold`` and shuffles it otherwise. It is neither
+    computed twice nor held in memory, and plans over it stay short."""
+    return written(df, "small")
 
 
 def spread(df: DataFrame, n: int, rows_per_core: int = 10_000) -> DataFrame:
