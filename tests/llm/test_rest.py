@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,34 @@ def test_top_k(spark):
     assert len(topk.top_k(df.where("vec_id in (100, 101)"), F.col("vec_id") % 100 == 0).collect()) == 1
 
 
+def test_top_k_of_odd_vectors(spark):
+    huge = [(100, [1e300, 1.0]), (1, [1e300, -5.0]), (2, [-1e300, 1.0]), (3, [2.0, 1.0]), (200, [1.0, 1e15]), (4, [3.0, 1e15])]
+    again = [(300, [0.5, 2.0]), (300, [0.25, 9.0]), (300, [0.5, 2.0])]  # the smaller vector asks
+    df = spark.createDataFrame(huge + again, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    scale = lambda v: [max(-(1 << 63), min((1 << 63) - 1, math.floor(1024 * x))) for x in v]
+    for q, v in {100: huge[0][1], 200: huge[4][1], 300: [0.25, 9.0]}.items():
+        best = sorted((max(-topk.DIGITS, -sum(a * b for a, b in zip(scale(v), scale(w), strict=True))), i) for i, w in huge + again if i != q)[:3]
+        want = [(n + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, i) in enumerate(best)]
+        assert sorted(got[q]) == want
+
+
+def test_reading_stops_early():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 100, (6000, 32)).astype(np.int64)
+    lists = topk.Lists(np.arange(6000), vectors)
+    asked = np.arange(0, 6000, 100)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(60), asked] = -(1 << 40)
+    bars = np.sort(scores, axis=1)[:, -10].astype(float)
+    for (ids, found), line in zip(lists.best(asked, vectors[asked], bars, 10), scores, strict=True):
+        order = np.lexsort((np.arange(6000), -line))[:10]
+        assert ids.tolist() == order.tolist() and found == line[order].tolist()
+    assert max(lists.depths) < 1 and np.mean(lists.depths) < 0.9
+
+
 def test_mix(table_of):
     docs = plain.texts_with_repeats(8, 200)
     df = table_of(docs).withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.lit("a")).when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.lit("é")))
