@@ -1,6 +1,8 @@
 """Pieces and token files: the libraries' ids, exact round trips, damaged and partly read files."""
 
+import heapq
 import io
+import re
 import zlib
 
 import numpy as np
@@ -92,6 +94,74 @@ def test_kept_ids_are_those_of_the_agenda():
     assert some.tolist() == every.tolist() and counts.tolist() == more.tolist()
 
 
+M64 = (1 << 64) - 1
+
+
+def scramble(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def agenda_with_a_heap(tables, text, key, dropout):
+    """One unit, character by character, with the same key: the best candidate of a heap is merged until none is left."""
+    n, merges = tables.n, dict(zip(tables.pairs.tolist(), tables.ranks.tolist(), strict=True))
+    symbols = {i: (int(tables.id_of_char[ord(c)]), i + 1) for i, c in enumerate(text)}  # by first character: symbol, end
+    before = {i + 1: i for i in range(len(text))}  # by end: first character
+    heap = []
+
+    def offer(i):
+        left, middle = symbols[i]
+        if middle in symbols:
+            right, end = symbols[middle]
+            rank = merges.get(left * n + right) if left < n and right < n else None
+            spot = scramble((i * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & M64)
+            if rank is not None and scramble(key ^ spot) >> 11 >= round(dropout * 2**53):
+                heapq.heappush(heap, (rank, i, middle, end))
+
+    for i in list(symbols):
+        offer(i)
+    while heap:
+        rank, i, middle, end = heapq.heappop(heap)
+        if symbols.get(i, (0, 0))[1] != middle or symbols.get(middle, (0, 0))[1] != end:
+            continue  # one of the two has been merged
+        symbols[i] = (int(tables.id_of_rank[rank]), end)
+        del symbols[middle]
+        before[end] = i
+        offer(i)
+        if i in before and symbols.get(before[i], (0, 0))[1] == i:
+            offer(before[i])
+    out = []
+    for i in sorted(symbols):
+        s = symbols[i][0]
+        out += [s] if s < n else [tables.byte_ids[b] for b in chr(s - n).encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.4])
+def test_dropout_equals_an_agenda_with_a_heap(dropout):
+    path = vocabulary("piece_bpe_32k.model")
+    tables = pieces.Pieces(path)
+    texts = [t for t in ODD if t and len(t) < 1000] + [t for _, t in plain.texts_with_repeats(1, 12) if t][:10] + ["segmentations of internationalization " * 40]
+    keys = np.arange(1, len(texts) + 1, dtype=np.uint64) * np.uint64(977)
+    seen = []
+    for chunk in (texts, texts[::-1]):  # the second time most records are known
+        order = keys if chunk is texts else keys[::-1]
+        ids, counts = tables.encode(Texts(pa.array(chunk)), order, 3, dropout, 0)
+        seen.append(dict(zip(order.tolist(), (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])), strict=True)))
+    assert seen[0] == seen[1]
+    for text, doc_key in zip(texts, keys.tolist(), strict=True):
+        units = [u for u in re.split(r"(?<=[^ ])(?= )|(?=\n)|(?<=\n)", " " + text) if u]
+        want = []
+        for place, unit in enumerate(units):
+            alone = Texts(pa.array([unit]))
+            alone.begin, alone.end = np.array([0]), np.array([len(alone.data)])
+            draw = scramble((scramble(doc_key + 3) + place * 0x9E3779B97F4A7C15) & M64)
+            key = scramble((int(alone.word_hashes()[0]) + draw * 0xC2B2AE3D27D4EB4F + 3) & M64)
+            want += agenda_with_a_heap(tables, unit, key, dropout)
+        assert seen[0][doc_key] == want, text
+
+
 def test_full_dropout_leaves_characters():
     path = vocabulary("piece_bpe_32k.model")
     ids, counts = pieces.Pieces(path).encode(Texts(pa.array(["abc"])), np.zeros(1, np.uint64), 1, 1.0, 8)

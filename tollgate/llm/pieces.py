@@ -39,9 +39,44 @@ SEED = 17
 SPACE = "▁"
 NONE = 1 << 30
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Units that a worker keeps; a record takes some hundred bytes.
+KEPT_UNITS = 400_000
 COLUMNS = "n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
 
+class PairTable:
+    """Ranks of pairs in a hash table with two places for each key, for lookups of whole arrays."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.bits = max(10, (4 * len(keys)).bit_length())
+        while not self.fill(keys, ranks):
+            self.bits += 1
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide, shift = keys.astype(np.uint64), np.uint64(64 - self.bits)
+        return (wide * A >> shift).astype(np.int64), (wide * B >> shift).astype(np.int64) + (1 << self.bits)
+
+    def fill(self, keys: np.ndarray, ranks: np.ndarray) -> bool:
+        self.keys, self.ranks = np.full(2 << self.bits, -2, dtype=np.int64), np.full(2 << self.bits, NONE, dtype=np.int64)
+        one, two = (x.tolist() for x in self.places(keys))
+        taken: dict[int, int] = {}
+        for i in range(len(one)):
+            place, turns = one[i], 0
+            while place in taken and turns < 100:  # whoever sat there goes to its other place
+                i, taken[place] = taken[place], i
+                place, turns = (two[i] if place == one[i] else one[i]), turns + 1
+            if place in taken:
+                return False
+            taken[place] = i
+        at, which = np.array(list(taken), dtype=np.int64), np.array(list(taken.values()), dtype=np.int64)
+        self.keys[at], self.ranks[at] = keys[which], ranks[which]
+        return True
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        one, two = self.places(keys)
+        return np.where(self.keys[one] == keys, self.ranks[one], np.where(self.keys[two] == keys, self.ranks[two], NONE))
+
+
 class Pieces:
     """Tables of a model: ids of characters, merges with their ranks, and the bytes of each piece."""
 
@@ -62,6 +97,7 @@ class Pieces:
                     merges[ids[text[:cut]] * n + ids[text[cut:]]] = rank[i]
         self.pairs = np.array(sorted(merges), dtype=np.int64)
         self.ranks = np.array([merges[k] for k in self.pairs.tolist()], dtype=np.int64)
+        self.table = PairTable(self.pairs, self.ranks)
         self.id_of_char = np.arange(0x110000, dtype=np.int64) + n  # others stand for themselves, beyond the pieces
         for text, i in ids.items():
             if len(text) == 1:
@@ -78,18 +114,17 @@ class Pieces:
         self.out_length = np.array([len(x) for x in out], dtype=np.int64)
         self.out_begin = np.cumsum(self.out_length) - self.out_length
         self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
-        self.store = IdStore()
+        self.store = IdStore(KEPT_UNITS)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = np.where((left < self.n) & (right < self.n), left * self.n + right, -1)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.ranks[at], NONE)
+        return self.table.get(np.where((left < self.n) & (right < self.n), left.astype(np.int64) * self.n + right, -1))
 
     def agenda(self, symbols: np.ndarray, length: np.ndarray, keys: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Merge the symbols of all units; returns symbols and their number for each unit. ``met`` gets the candidates: units and spots."""
         bar = np.uint64(round(dropout * (1 << 53)))
-        unit = np.repeat(np.arange(len(length)), length)
-        first = np.arange(len(symbols)) - np.repeat(np.cumsum(length) - length, length)
+        symbols = symbols.astype(np.int32)
+        unit = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        first = (np.arange(len(symbols)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
         last = first + 1
 
         def candidates(at: np.ndarray) -> np.ndarray:
@@ -135,7 +170,7 @@ class Pieces:
             rank[touched] = candidates(touched)
         unit, symbols = np.concatenate(done_units or [unit]), np.concatenate(done_symbols or [symbols])
         order = np.argsort(unit, kind="stable")
-        return symbols[order], np.bincount(unit, minlength=len(length))
+        return symbols[order].astype(np.int64), np.bincount(unit, minlength=len(length))
 
     def with_bytes(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Write characters that have no piece as their bytes."""

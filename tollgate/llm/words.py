@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # White space of the word pattern, odd multipliers of the hashes.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -48,6 +48,10 @@ class PowerTable:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def shrink(self, n: int = 1 << 18) -> None:
+        if len(self.up) > n:
+            self.up, self.down = self.up[:n].copy(), self.down[:n].copy()
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = -(-n // (1 << 18)) << 18
@@ -146,7 +150,7 @@ def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of the batches with at most ``limit`` bytes of text, or one text."""
+    """Slices of the batches with at most ``limit`` bytes of text, or one text. At the end memory that is not used goes back."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -157,6 +161,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             part = batch.slice(at, stop - at)
             yield part, Texts(part.column(batch.schema.get_field_index(text)))
             at = stop
+    release()
+
+
+def release() -> None:
+    """Give memory that this worker does not use any more back to the machine: idle workers wait for the next stage."""
+    for table in TABLES:
+        table.shrink()
+    pa.default_memory_pool().release_unused()
 
 
 def table_chunks(table: pa.Table, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
