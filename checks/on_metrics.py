@@ -180,10 +180,11 @@ def operating_point(spark, sf):
 
 # --- bootstrap ---------------------------------------------------------------------------
 
-DRAWN = 100
+REPLICATES = 1000
+M64 = "18446744073709551615::UHUGEINT"
 
 
-def drawn_sql(rows: str, replicates: int = DRAWN) -> str:
+def drawn_sql(rows: str, replicates: int = REPLICATES) -> str:
     """n draws with replacement per replicate, each replicate evaluated draw by draw."""
     u = v.draw("replicate, ':', draw")
     return f"""
@@ -203,22 +204,56 @@ replicate_apgr AS (SELECT replicate, CASE WHEN ns > nw THEN (area - 200 * nw) /
 """
 
 
+def poisson_sql(rows: str, by: str = "", tie: str = "id", replicates: int = REPLICATES, seed: int = 42) -> str:
+    """Each row counts Poisson(1) times in each replicate, drawn from its key. CTE ``replicate_apgr``; needs ``gains``."""
+    keys = f"{by}, " if by else ""
+    text = "concat_ws(':', '" + str(seed) + "', " + ", ".join(f"coalesce({c.strip()}::VARCHAR, '')" for c in tie.split(",")) + ")"
+    stages = [
+        f"row_keys AS (SELECT {keys}rank, weak_correct::INT AS w, strong_correct::INT AS s, ('0x' || substr(md5({text}), 1, 15))::UBIGINT AS key FROM {rows})",
+        f"salts0 AS (SELECT r::INT AS replicate, ((r + 1)::UHUGEINT * 11400714819323198485::UHUGEINT + {seed}) & {M64} AS salt FROM range({replicates}) t(r))",
+    ]
+    for name, source, first, rest in (("salts", "salts0", "salt::UBIGINT", "replicate"), ("mixed", "crossed", "x", "* EXCLUDE (x)")):
+        if name == "mixed":
+            stages.append("crossed AS (SELECT k.*, replicate, xor(key, salt) AS x FROM row_keys k, salts)")
+        stages.append(f"{name}_a AS (SELECT {rest}, xor({first}, {first} >> 30) AS x FROM {source})")
+        stages.append(f"{name}_b AS (SELECT {rest}, ((x::UHUGEINT * 13787848793156543929::UHUGEINT) & {M64})::UBIGINT AS x FROM {name}_a)")
+        stages.append(f"{name}_c AS (SELECT {rest}, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) & {M64})::UBIGINT AS x FROM {name}_b)")
+        stages.append(f"{name} AS (SELECT {rest}, xor(x, x >> 31) AS {'salt' if name == 'salts' else 'x'} FROM {name}_c)")
+    steps = " + ".join(f"(x >> 11 >= {int(step)})::INT" for step in bootstrap.poisson_steps())
+    group = f"{keys}replicate"
+    on = " AND ".join(f"r.{c.strip()} = s.{c.strip()}" for c in group.split(","))
+    stages.append(f"weights AS (SELECT {group}, rank, w, s, {steps} AS m FROM mixed)")
+    stages.append(f"upto AS (SELECT {group}, m, s - w AS step, sum(m) OVER o AS upto, sum(m * (s - w)) OVER o AS gained FROM weights WHERE m > 0 WINDOW o AS (PARTITION BY {group} ORDER BY rank ROWS UNBOUNDED PRECEDING))")
+    stages.append(f"replicate_sums AS (SELECT {group}, sum(m) AS n, sum(m * w) AS nw, sum(m * s) AS ns FROM weights GROUP BY {group})")
+    stages.append("replicate_cuts AS (SELECT *, round_even(pct / 100::DOUBLE * n, 0)::BIGINT AS k FROM replicate_sums, (SELECT unnest(range(0, 101, 5)) AS pct))")
+    stages.append(
+        f"replicate_curve AS (SELECT s.*, nw + coalesce(gained - (upto - k) * step, 0) AS correct FROM replicate_cuts s LEFT JOIN upto r ON {on} AND upto - m < k AND k <= upto)"
+    )
+    stages.append(f"replicate_areas AS (SELECT {group}, nw, ns, sum(area) AS area FROM (SELECT *, (pct - lag(pct) OVER o) * (correct + lag(correct) OVER o) AS area FROM replicate_curve WINDOW o AS (PARTITION BY {group} ORDER BY pct)) GROUP BY ALL)")
+    stages.append(f"replicate_apgr AS (SELECT {group}, CASE WHEN ns > nw THEN (area - 200 * nw) / (200 * (ns - nw)) END AS apgr FROM replicate_areas)")
+    return ",\n".join(stages)
+
+
+def interval_sql(by: str = "") -> str:
+    low, high = (f"round_even(quantile_cont(apgr, {q}), 6) AS apgr_ci_{n}" for q, n in ((0.025, "low"), (0.975, "high")))
+    return f"SELECT {f'{by}, ' if by else ''}{low}, {high} FROM replicate_apgr {f'GROUP BY {by}' if by else ''}"
+
+
 @check("bootstrap_replicates", f"WITH {BY_LENGTH}, {drawn_sql('by_length')} SELECT replicate::INT AS replicate, round_even(apgr, 6) AS apgr FROM replicate_apgr")
 def bootstrap_replicates(spark, sf):
-    return round6(bootstrap.replicate_apgr(by_length(spark, sf), replicates=DRAWN, method="drawn"), "apgr")
+    return round6(bootstrap.replicate_apgr(by_length(spark, sf), replicates=REPLICATES, method="drawn"), "apgr")
 
 
-@check(
-    "bootstrap_apgr",
-    f"""
-WITH {BY_LENGTH}, {drawn_sql('by_length')} SELECT round_even(quantile_cont(apgr, 0.025), 6) AS apgr_ci_low,
-       round_even(quantile_cont(apgr, 0.975), 6) AS apgr_ci_high FROM replicate_apgr
-""",
-)
+@check("bootstrap_apgr", f"WITH {BY_LENGTH}, {drawn_sql('by_length')} {interval_sql()}")
 def bootstrap_apgr(spark, sf):
-    return round6(bootstrap.bootstrap_apgr(by_length(spark, sf), replicates=DRAWN, method="drawn"), "apgr_ci_low", "apgr_ci_high")
+    return round6(bootstrap.bootstrap_apgr(by_length(spark, sf), replicates=REPLICATES, method="drawn"), "apgr_ci_low", "apgr_ci_high")
+
+
+@check("bootstrap_poisson", f"WITH {BY_LENGTH}, {gains_sql('by_length')}, {poisson_sql('gains')} SELECT replicate, round_even(apgr, 6) AS apgr FROM replicate_apgr")
+def bootstrap_poisson(spark, sf):
+    return round6(bootstrap.replicate_apgr(by_length(spark, sf), replicates=REPLICATES, rows_per_bucket=100), "apgr")
 
 
-@check("bootstrap_apgr_large")
+@check("bootstrap_apgr_large", f"WITH {v.orders_sql()}, {gains_sql('scored')}, {poisson_sql('gains')} {interval_sql()}")
 def bootstrap_apgr_large(spark, sf):
-    return bootstrap.bootstrap_apgr(v.orders_scored(spark, sf), replicates=1000)
+    return round6(bootstrap.bootstrap_apgr(v.orders_scored(spark, sf), replicates=REPLICATES), "apgr_ci_low", "apgr_ci_high")

@@ -44,27 +44,31 @@ for fmt in ("parquet", "csv", "json"):
     )
 
 
+OPTIONS = ", ".join(f"{{'name': 'Option {i}', 'val': options[{i}]}}" for i in range(1, 6))
+
+
 @check(
     "profile_splits",
     f"""
 WITH {v.RAW}, cells AS (
   SELECT split, unnest([
     {{'name': 'ID', 'val': id::VARCHAR}}, {{'name': 'Subject', 'val': subject}}, {{'name': 'Level', 'val': level}},
-    {{'name': 'Context', 'val': context}}, {{'name': 'Option 3', 'val': options[3]}}, {{'name': 'Option 5', 'val': options[5]}}]) AS c
+    {{'name': 'Question', 'val': ' ' || question || '  '}}, {{'name': 'Context', 'val': context}}, {{'name': 'Answer Key', 'val': answer_letter || ' '}}, {OPTIONS}]) AS c
   FROM raw)
 SELECT split, c.name AS "column", count(*) AS n, count(*) - count(c.val) AS nulls, count(DISTINCT c.val) AS distinct_values
 FROM cells GROUP BY ALL
 """,
 )
 def profile_splits(spark, sf):
-    raw = v.raw_questions(spark, sf).select("split", "ID", "Subject", "Level", "Context", "Option 3", "Option 5")
-    return quality.profile_splits(raw, "split", exact=True)
+    return quality.profile_splits(v.raw_questions(spark, sf), "split", exact=True)
 
 
 @check("profile_splits_sketch")
 def profile_splits_sketch(spark, sf):
+    """The profiles of two halves, merged."""
     raw = v.raw_questions(spark, sf)
-    return quality.profile_splits(raw.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in raw.columns]), "split")
+    halves = [quality.profile_sketches(raw.where(F.col("ID") % 2 == i), "split") for i in (0, 1)]
+    return quality.sketched_profile(halves[0].unionByName(halves[1]), "split")
 
 
 @check(

@@ -6,15 +6,16 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.on_metrics import METRICS, auroc_sql, curve_sql, gains_sql, round6
+from checks.on_metrics import METRICS, auroc_sql, curve_sql, gains_sql, interval_sql, poisson_sql, round6
 from checks.on_sampling import SPLITS
 from checks.registry import check
+from tollgate.defaults import MAX_FEATURES
 from tollgate.functions.text import char_grams
 from tollgate.operators import metrics
 from tollgate.operators.ordered import auroc
-from tollgate.operators.sampling import make_splits
+from tollgate.operators.sampling import make_splits, plan_splits
 from tollgate.plans import analyse, route
-from tollgate.routers import EmbeddingRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter
+from tollgate.routers import EmbeddingRouter, HashedTfidfRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter
 from tollgate.routers.embedding import mean_pool, with_embeddings
 from tollgate.routers.scoring import score_splits
 from tollgate.routers.tfidf import damped_counts, gram_counts, vocabulary, weighted_features
@@ -68,22 +69,34 @@ def counted_grams(spark, sf):
     "tfidf_vocabulary",
     f"""
 WITH {GRAMS} SELECT gram, tf, df, round_even(ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1, 6) AS idf
-FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT 5000
+FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT {MAX_FEATURES}
 """,
 )
 def tfidf_vocabulary(spark, sf):
     table = v.labelled(spark, sf)
-    return vocabulary(gram_counts(table), table.count(), 5000).select("gram", "tf", "df", F.bround("idf", 6).alias("idf"))
+    rows = vocabulary(written(gram_counts(table), "grams"), table.count())
+    return rows.select("gram", "tf", "df", F.bround("idf", 6).alias("idf"))
 
 
-TFIDF_TERMS = 3000
+# Terms whose number decides whether they are taken: a limit within the ties.
+@check(
+    "tfidf_vocabulary_ties",
+    f"""
+WITH {GRAMS} SELECT gram, tf, df, round_even(ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1, 6) AS idf
+FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT 1234
+""",
+)
+def tfidf_vocabulary_ties(spark, sf):
+    table = v.labelled(spark, sf)
+    rows = vocabulary(written(gram_counts(table), "grams"), table.count(), 1234, rows_per_bucket=300)
+    return rows.select("gram", "tf", "df", F.bround("idf", 6).alias("idf"))
 
 
 @check(
     "tfidf_weights",
     f"""
 WITH {GRAMS}, vocab AS (SELECT gram, ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1 AS idf
-                        FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT {TFIDF_TERMS}),
+                        FROM gram_counts WHERE df >= 2 ORDER BY tf DESC, gram LIMIT {MAX_FEATURES}),
 weighed AS (SELECT id, (1 + ln(count(*))) * any_value(idf) AS w FROM gram_list JOIN vocab USING (gram) GROUP BY id, gram)
 SELECT id, count(*) AS terms, round_even(sum(w) / sqrt(sum(w * w)), 6) AS total, round_even(max(w) / sqrt(sum(w * w)), 6) AS largest
 FROM weighed GROUP BY id
@@ -91,7 +104,7 @@ FROM weighed GROUP BY id
 )
 def tfidf_weights(spark, sf):
     table = v.labelled(spark, sf)
-    idf = TfidfRouter(TFIDF_TERMS).idf_of_terms(gram_counts(table), table.count())
+    idf = TfidfRouter().idf_of_terms(written(gram_counts(table), "grams"), table.count())
     rows = weighted_features(damped_counts(table, list(idf)), list(idf.values()))
     values = F.col("v.values")
     return rows.select("id", F.unwrap_udt("features").alias("v")).where(F.size("v.indices") > 0).select(
@@ -133,23 +146,87 @@ def filled_store(spark, table):
     return upsert_embeddings(new_path(spark, "vectors"), table, unit_encoder)
 
 
+@check("tfidf_hashed_router")
+def tfidf_hashed_router(spark, sf):
+    table = v.labelled(spark, sf)
+    return HashedTfidfRouter().fit(table).score(table).select("id", "score")
+
+
 @check("embedding_router")
 def embedding_router(spark, sf):
     table = v.labelled(spark, sf)
     return EmbeddingRouter(filled_store(spark, table)).fit(table).score(table).select("id", "score")
 
 
+# Two features of the prompt as a vector, and the regression over them by full Newton steps, each solved by determinants.
+FEATURED = f"""
+{v.LABELLED}, featured AS (SELECT *, length(prompt) / 1000::DOUBLE AS x1, len(string_split(prompt, 'e')) / 100::DOUBLE AS x2 FROM labelled)
+"""
+NEWTON_STEPS = 12
+
+
+def featured(spark, sf):
+    cells = [F.length("prompt") / 1000.0, F.size(F.split("prompt", "e", -1)) / 100.0]
+    return v.labelled(spark, sf).withColumn("embedding", F.array(*cells))
+
+
+def newton_sql(train: str, by: str = "") -> str:
+    """CTE ``fitted`` (by..., b1, b2, b0) from rows (by..., x1, x2, need_strong). Both classes weigh the same, the ridge
+    is 1 for b1 and b2."""
+    keys = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    stages = [
+        f"class_n AS (SELECT {keys}count(*) AS n, count(*) FILTER (need_strong) AS p FROM {train} {group})",
+        f"fit_rows AS MATERIALIZED (SELECT {keys}x1, x2, need_strong::INT AS y, CASE WHEN need_strong THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS cw FROM {train} {f'JOIN class_n USING ({by})' if by else ', class_n'})",
+        f"step0 AS (SELECT {keys}0::DOUBLE AS b1, 0::DOUBLE AS b2, 0::DOUBLE AS b0 FROM class_n)",
+    ]
+    same = f"JOIN step{{i}} USING ({by})" if by else ", step{i}"
+    for i in range(NEWTON_STEPS):
+        stages.append(f"at{i} AS (SELECT {keys}x1, x2, y, cw, b1, b2, b0, 1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))) AS q FROM fit_rows {same.format(i=i)})")
+        stages.append(
+            f"sums{i} AS (SELECT {keys}any_value(b1) AS b1, any_value(b2) AS b2, any_value(b0) AS b0, sum(cw * (q - y) * x1) + any_value(b1) AS g1, sum(cw * (q - y) * x2) + any_value(b2) AS g2, "
+            f"sum(cw * (q - y)) AS g0, sum(cw * q * (1 - q) * x1 * x1) + 1 AS h11, sum(cw * q * (1 - q) * x1 * x2) AS h12, sum(cw * q * (1 - q) * x2 * x2) + 1 AS h22, "
+            f"sum(cw * q * (1 - q) * x1) AS h10, sum(cw * q * (1 - q) * x2) AS h20, sum(cw * q * (1 - q)) AS h00 FROM at{i} {group})"
+        )
+        det = lambda a, b, c, d, e, f, g, h, k: f"({a} * ({e} * {k} - {f} * {h}) - {b} * ({d} * {k} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+        whole = det("h11", "h12", "h10", "h12", "h22", "h20", "h10", "h20", "h00")
+        d1 = det("g1", "h12", "h10", "g2", "h22", "h20", "g0", "h20", "h00")
+        d2 = det("h11", "g1", "h10", "h12", "g2", "h20", "h10", "g0", "h00")
+        d0 = det("h11", "h12", "g1", "h12", "h22", "g2", "h10", "h20", "g0")
+        stages.append(f"step{i + 1} AS MATERIALIZED (SELECT {keys}b1 - {d1} / {whole} AS b1, b2 - {d2} / {whole} AS b2, b0 - {d0} / {whole} AS b0 FROM sums{i})")
+    return ",\n".join([*stages, f"fitted AS (SELECT * FROM step{NEWTON_STEPS})"])
+
+
+LOGISTIC = "round_even(1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))), 6) AS score"
+
+
+@check("embedding_router_two_features", f"WITH {FEATURED}, {newton_sql('featured')} SELECT id, {LOGISTIC} FROM featured, fitted")
+def embedding_router_two_features(spark, sf):
+    table = featured(spark, sf)
+    return EmbeddingRouter().fit(table).score(table).select("id", F.bround("score", 6).alias("score"))
+
+
 @check(
     "with_embeddings",
     f"""
-WITH {v.LABELLED} SELECT l.id, len(embedding)::BIGINT AS dimensions, round_even(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS squares
-FROM labelled l JOIN embeddings ON vec_id = id
+WITH {v.LABELLED}, letters AS (SELECT id, unicode(c) % 64 AS place, count(*) AS n FROM (SELECT id, unnest(string_split('query: ' || prompt, '')) AS c FROM labelled) GROUP BY ALL)
+SELECT id, 64::BIGINT AS dimensions, round_even(sum(((n / sqrt(total))::FLOAT::DOUBLE) ** 2), 5) AS squares, round_even(max((n / sqrt(total))::FLOAT::DOUBLE), 5) AS largest,
+       count(*) AS filled
+FROM (SELECT *, sum(n * n) OVER (PARTITION BY id) AS total FROM letters) GROUP BY id
 """,
 )
 def embeddings_of(spark, sf):
-    rows = with_embeddings(v.labelled_with_vectors(spark, sf), v.vectors(spark, sf))
+    """Every labelled row with its vector from a filled store."""
+    table = v.labelled(spark, sf)
+    rows = with_embeddings(table, filled_store(spark, table))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return rows.select("id", F.size("embedding").cast("bigint").alias("dimensions"), F.bround(squares, 6).alias("squares"))
+    return rows.select(
+        "id",
+        F.size("embedding").cast("bigint").alias("dimensions"),
+        F.bround(squares, 5).alias("squares"),
+        F.bround(F.array_max("embedding").cast("double"), 5).alias("largest"),
+        F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("filled"),
+    )
 
 
 @check(
@@ -183,26 +260,49 @@ scores AS (SELECT p.* EXCLUDE (prompt), 'random' AS router, {v.draw('id')} AS sc
 
 for name in ("random", "length", "oracle"):
     check(f"score_splits_{name}", f"WITH RECURSIVE {v.LABELLED}, {PLACES} SELECT * FROM scores WHERE router = '{name}'")(
-        lambda spark, sf, name=name: score_splits(v.labelled(spark, sf), make_splits(v.labelled(spark, sf)), name)
+        lambda spark, sf, name=name: score_splits(v.labelled(spark, sf), plan_splits(v.labelled(spark, sf)), name)
     )
 
 
+# The same with a stored table of splits, which is joined by id.
+@check("score_splits_stored", f"WITH RECURSIVE {v.LABELLED}, {PLACES} SELECT * FROM scores WHERE router = 'length'")
+def score_splits_stored(spark, sf):
+    table = v.labelled(spark, sf)
+    return score_splits(table, written(make_splits(table), "splits"), "length")
+
+
+# One regression over two features for each training side.
+@check(
+    "score_splits_two_features",
+    f"""
+WITH RECURSIVE {FEATURED}, {PLACES}, train_sides AS (
+  SELECT s.setup, s.fold, x1, x2, need_strong FROM splits s JOIN featured USING (id) WHERE s.part = 'train'
+  UNION ALL SELECT s.setup, f.fold, x1, x2, need_strong FROM splits s JOIN featured USING (id) JOIN (SELECT DISTINCT fold FROM folds) f ON s.fold <> f.fold WHERE s.setup = 'unseen_subjects'),
+{newton_sql('train_sides', 'setup, fold')}
+SELECT s.setup, s.fold, e.id, {LOGISTIC} FROM splits s JOIN featured e USING (id) JOIN fitted USING (setup, fold) WHERE s.part = 'test'
+""",
+)
+def score_splits_two_features(spark, sf):
+    table = featured(spark, sf)
+    scores = score_splits(table, plan_splits(table), "embedding")
+    return scores.select("setup", "fold", "id", F.bround("score", 6).alias("score"))
+
+
 @check("score_splits_tfidf")
 def score_splits_tfidf(spark, sf):
     table = v.labelled(spark, sf)
-    return score_splits(table, make_splits(table), "tfidf")
+    return score_splits(table, plan_splits(table), "tfidf")
 
 
 @check("score_splits_embedding")
 def score_splits_embedding(spark, sf):
     table = v.labelled(spark, sf)
-    return score_splits(table, make_splits(table), "embedding", store=filled_store(spark, table))
+    return score_splits(table, plan_splits(table), "embedding", store=filled_store(spark, table))
 
 
 def _scores(spark, sf):
     table = v.labelled(spark, sf)
-    splits = written(make_splits(table), "splits")
-    return analyse.score_all(table, splits, ["random", "length", "oracle"])
+    return analyse.score_all(table, plan_splits(table), ["random", "length", "oracle"])
 
 
 @check("evaluate_routers", f"WITH RECURSIVE {v.LABELLED}, {PLACES}, {gains_sql('scores', 'setup, router', 'score DESC, fold, id')}, {curve_sql('setup, router')} SELECT * FROM metric")
@@ -215,12 +315,25 @@ def router_auroc(spark, sf):
     return round6(auroc(_scores(spark, sf), analyse.SETUPS), "auroc")
 
 
+@check(
+    "report",
+    f"""
+WITH RECURSIVE {v.LABELLED}, {PLACES}, {gains_sql('scores', 'setup, router', 'score DESC, fold, id')}, {curve_sql('setup, router')}, {auroc_sql('scores', 'setup, router')},
+{poisson_sql('gains', 'setup, router', 'fold, id')}, intervals AS ({interval_sql('setup, router')})
+SELECT * FROM metric JOIN intervals USING (setup, router) JOIN (SELECT setup, router, auroc FROM areas_roc) USING (setup, router)
+""",
+)
+def report(spark, sf):
+    """All numbers of three routers from scores that were ordered once."""
+    return round6(analyse.report(_scores(spark, sf)), *METRICS, "apgr_ci_low", "apgr_ci_high", "auroc")
+
+
 @check("report_all_routers")
 def report_all_routers(spark, sf):
     table = v.labelled(spark, sf)
     routers = ["random", "length", "tfidf", "embedding", "oracle"]
-    scores = analyse.score_all(table, written(make_splits(table), "splits"), routers, embedding={"store": filled_store(spark, table)})
-    return analyse.report(scores, replicates=200)
+    scores = analyse.score_all(table, plan_splits(table), routers, embedding={"store": filled_store(spark, table)})
+    return analyse.report(scores)
 
 
 # --- the final router -------------------------------------------------------------------

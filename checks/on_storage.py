@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.on_metrics import curve_sql, gains_sql
-from checks.on_routers import PLACES, _scores
+from checks.on_routers import LENGTH_SHARE, PLACES, ROUTED, TRAINED, _scores, length_bundle
 from checks.registry import check
 from tollgate.operators import metrics
 from tollgate.routers import RandomRouter
@@ -13,7 +13,7 @@ from tollgate.session import new_path
 from tollgate.sources import tables
 from tollgate.sources.bundle import Bundle
 from tollgate.sources.vectors import upsert_embeddings
-from tollgate.streaming.ingest import ingest_stream
+from tollgate.streaming.ingest import ingest_stream, unknown_path
 from tollgate.streaming.route import route_stream
 
 
@@ -31,11 +31,11 @@ def routing_table_parquet(spark, sf):
     return tables.read_routing_table(spark, path)
 
 
-@check("write_scores", f"WITH RECURSIVE {v.LABELLED}, {PLACES} SELECT * FROM scores WHERE setup = 'unseen_subjects'")
+@check("write_scores", f"WITH RECURSIVE {v.LABELLED}, {PLACES} SELECT * FROM scores")
 def write_scores(spark, sf):
     path = new_path(spark, "scores")
     tables.write_scores(_scores(spark, sf), path)
-    return tables.read_scores(spark, path).where(F.col("setup") == "unseen_subjects")
+    return tables.read_scores(spark, path)
 
 
 RESULT = "subject string, n_test bigint, weak_acc double, strong_acc double, auc double, apgr double, pct_strong_for_90 double, pct_strong_for_95 double"
@@ -92,21 +92,57 @@ def route_streamed(spark, sf):
     return spark.read.parquet(out).select("id", "role")
 
 
-# The replies arrive as two files; the first reply per question and model is kept.
 @check(
-    "ingest_stream",
+    "route_stream_length",
     f"""
-WITH {v.PARSE}, firsts AS (SELECT id, model, min(seq) AS seq FROM responses GROUP BY id, model)
-SELECT r.id, r.model, r.seq, r.raw, r.parsed, r.correct, r.parse_failed FROM responses r JOIN firsts USING (id, model, seq)
+WITH {ROUTED}, {TRAINED}, asked_scores AS (SELECT id, prompt, {LENGTH_SHARE} AS score FROM asked r)
+SELECT id, prompt, score, CASE WHEN score >= (SELECT threshold FROM cutoff) THEN 'strong' ELSE 'weak' END AS role FROM asked_scores
 """,
 )
-def ingest_streamed(spark, sf):
+def route_streamed_by_length(spark, sf):
+    """The trained length router, saved and loaded, over texts that arrive in two files."""
+    incoming, out = new_path(spark, "texts"), new_path(spark, "routed")
+    texts = v.free_texts(spark, sf)
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        texts.where(part).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema("id bigint, text string").parquet(incoming)
+    route_stream(stream, length_bundle(spark, sf), out, new_path(spark, "offsets"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("id", "prompt", "score", "role")
+
+
+# The replies arrive as two files; the first reply per question and model is kept.
+FIRSTS = "firsts AS (SELECT id, model, min(seq) AS seq FROM replies GROUP BY id, model)"
+
+
+def _ingested(spark, sf, questions):
     incoming, out = new_path(spark, "replies"), new_path(spark, "log")
     replies = v.replies(spark, sf)
     half = replies.agg(F.avg("seq")).first()[0]
     for part in (F.col("seq") < half, F.col("seq") >= half):
         replies.where(part).coalesce(1).write.mode("append").parquet(incoming)
     stream = spark.readStream.schema(replies.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    ingest_stream(stream, v.questions(spark, sf), out, new_path(spark, "offsets"), available_now=True).awaitTermination()
+    ingest_stream(stream, questions, out, new_path(spark, "offsets"), available_now=True).awaitTermination()
+    return out
+
+
+@check(
+    "ingest_stream",
+    f"""
+WITH {v.PARSE}, {FIRSTS}
+SELECT r.id, r.model, r.seq, r.raw, r.parsed, r.correct, r.parse_failed FROM responses r JOIN firsts USING (id, model, seq)
+""",
+)
+def ingest_streamed(spark, sf):
     columns = ["id", "model", "seq", "raw", "parsed", "correct", "parse_failed"]
-    return spark.read.parquet(out).select(*columns)
+    return spark.read.option("recursiveFileLookup", True).parquet(_ingested(spark, sf, v.questions(spark, sf))).select(*columns)
+
+
+@check(
+    "ingest_stream_unknown",
+    f"WITH {v.PARSE}, {FIRSTS} SELECT id, model, seq, raw FROM replies JOIN firsts USING (id, model, seq) WHERE id NOT IN (SELECT id FROM questions WHERE subject NOT LIKE '% (es)')",
+)
+def ingest_streamed_unknown(spark, sf):
+    """Graded by the questions of the test split: replies to those of the other one are kept aside."""
+    test = v.questions(spark, sf).where("subject NOT LIKE '% (es)'")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(unknown_path(_ingested(spark, sf, test)))
+    return rows.select("id", "model", "seq", "raw")

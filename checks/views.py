@@ -27,14 +27,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # Every non-blank line of a document is used: six lines make a question with five options, the last question of a
 # document has the rest (further lines belong to its last option). A text of fewer lines is taken word by
-# word, with all words from the third on as the second option. The first question of a document has its id.
+# word, with all words from the third on as the second option; one of two words has one option, and one of a single word has it as
+# question and option. The first question of a document has its id.
 NEXT_ID = 1 << 40
 
 BLOCKS = rf"""
 d AS (SELECT doc_id, source, lang, filter(split(text, '\\n'), x -> trim(x) <> '') AS l,
              filter(split(replace(text, '\n', ' '), ' '), x -> x <> '') AS w FROM {{documents}}),
 u AS (SELECT doc_id, source, lang, CASE WHEN size(l) >= 3 THEN l
-             WHEN size(w) >= 3 THEN array(w[0], w[1], array_join(slice(w, 3, size(w)), ' ')) END AS l FROM d),
+             WHEN size(w) >= 3 THEN array(w[0], w[1], array_join(slice(w, 3, size(w)), ' '))
+             WHEN size(w) >= 1 THEN array(w[0], w[size(w) - 1]) END AS l FROM d),
 k AS (SELECT *, explode(sequence(0, CAST(greatest(1, size(l) div 6) AS INT) - 1)) AS k FROM u WHERE l IS NOT NULL),
 b AS (SELECT doc_id + k * {NEXT_ID} AS id, doc_id, source, lang,
              CASE WHEN k < size(l) div 6 - 1 THEN slice(l, 6 * k + 1, 6) ELSE slice(l, 6 * k + 1, size(l)) END AS l FROM k),
@@ -46,7 +48,8 @@ BLOCKS_SQL = rf"""
 block_d AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l,
                    list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents),
 block_u AS (SELECT doc_id, source, lang, CASE WHEN len(l) >= 3 THEN l
-                   WHEN len(w) >= 3 THEN [w[1], w[2], array_to_string(w[3:], ' ')] END AS l FROM block_d),
+                   WHEN len(w) >= 3 THEN [w[1], w[2], array_to_string(w[3:], ' ')]
+                   WHEN len(w) >= 1 THEN [w[1], w[len(w)]] END AS l FROM block_d),
 block_k AS (SELECT *, unnest(range(0, greatest(1, len(l) // 6))) AS k FROM block_u WHERE l IS NOT NULL),
 block_b AS (SELECT doc_id + k * {NEXT_ID} AS id, doc_id, source, lang,
                    CASE WHEN k < len(l) // 6 - 1 THEN l[6 * k + 1:6 * k + 6] ELSE l[6 * k + 1:] END AS l FROM block_k),
@@ -126,6 +129,9 @@ free_texts AS (
           concat(substring('ABCDE', i::INT, 1), substring('.):', (1 + id % 3)::INT, 1), ' ', o)), chr(10))) AS by_line FROM questions))
 """
 
+# Fixed value: an option line, as its label and its text.
+OPTION_LINE = r"^\s*[\(\[]?([A-Ea-eأابجده]ـ?)\s*[\)\].:\-]\s*(.+)$"
+
 # The free texts taken apart again.
 SPLIT_TEXTS = FREE_TEXTS + r""",
 text_lines AS (SELECT id, list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '') AS l FROM free_texts),
@@ -133,14 +139,14 @@ text_parts AS (SELECT id, CASE WHEN len(l) = 1
         THEN string_split(regexp_replace(l[1], '\s+([\(\[]?[A-E]\s*[\)\].:]\s)', chr(1) || '\1', 'g'), chr(1))
         ELSE l END AS l FROM text_lines),
 text_marked AS (SELECT id, l[1] AS first_line,
-        list_filter(l[2:], lambda x: NOT regexp_matches(x, '^\s*[\(\[]?([A-Ea-eأابجده]ـ?)\s*[\)\].:\-]\s*(.+)$')) AS stem,
-        list_filter(l[2:], lambda x: regexp_matches(x, '^\s*[\(\[]?([A-Ea-eأابجده]ـ?)\s*[\)\].:\-]\s*(.+)$')) AS marked
+        list_filter(l[2:], lambda x: NOT regexp_matches(x, '{OPTION_LINE}')) AS stem,
+        list_filter(l[2:], lambda x: regexp_matches(x, '{OPTION_LINE}')) AS marked
         FROM text_parts),
 split_texts AS (SELECT id,
         array_to_string(list_transform(list_concat([first_line], stem), lambda x: trim(x)), ' ') AS question,
-        list_transform(marked, lambda x: trim(regexp_extract(x, '^\s*[\(\[]?([A-Ea-eأابجده]ـ?)\s*[\)\].:\-]\s*(.+)$', 2)))[1:5] AS options
+        list_transform(marked, lambda x: trim(regexp_extract(x, '{OPTION_LINE}', 2)))[1:5] AS options
         FROM text_marked)
-"""
+""".replace("{OPTION_LINE}", OPTION_LINE)
 
 
 # --- routing table -----------------------------------------------------------------------

@@ -112,3 +112,22 @@ def test_clean_removes_what_was_written(spark):
     assert held.count() == 5 and path_exists(spark, path)
     clean(spark)
     assert not path_exists(spark, path)
+
+
+def test_sketches_merge_and_stay_within_their_bound(spark):
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("split"),
+        F.col("id").alias("all"),
+        (F.col("id") % 977).alias("Option 1"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50).alias("some"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    exact = {(r.split, r.column): r for r in quality.profile_splits(rows, "split", exact=True).collect()}
+    halves = [quality.profile_sketches(rows.where(F.col("id") % 2 == i), "split") for i in (0, 1)]
+    for profile in (quality.profile_splits(rows, "split"), quality.sketched_profile(halves[0].unionByName(halves[1]), "split")):
+        got = {(r.split, r.column): r for r in profile.collect()}
+        assert got.keys() == exact.keys() and len(got) == 8
+        for key, r in got.items():
+            assert (r.n, r.nulls) == (exact[key].n, exact[key].nulls)
+            bound = 3 * 1.04 / (1 << quality.SKETCH_BITS) ** 0.5  # three standard errors
+            assert abs(r.distinct_values - exact[key].distinct_values) <= bound * exact[key].distinct_values + 0.5

@@ -15,8 +15,9 @@ from tollgate.routers.base import balanced_lr, positive_score
 from tollgate.routers.baselines import FittedLengthRouter
 from tollgate.routers.embedding import with_embeddings
 from tollgate.routers.regression import fit_balanced, score_of
-from tollgate.routers.scoring import score_splits
-from tollgate.routers.tfidf import damped_counts, gram_counts, vocabulary, weighted_features
+from tollgate.routers.scoring import score_splits, with_assignment
+from tollgate.routers.tfidf import HashedTfidfRouter, damped_counts, gram_counts, hashed_counts, vocabulary, weighted_features
+from tollgate.session import written
 from tollgate.sources.bundle import Bundle, load_bundle, save_router
 
 WORDS = ["river", "stone", "cloud", "lamp"]
@@ -54,7 +55,8 @@ def test_char_grams(spark, text):
 
 
 def test_features_equal_a_direct_computation(spark, toy):
-    idf = {r.gram: r.idf for r in vocabulary(gram_counts(toy), 80, 60).collect()}
+    chosen = vocabulary(written(gram_counts(toy), "grams"), 80, 60, rows_per_bucket=7).collect()
+    idf = {r.gram: r.idf for r in sorted(chosen, key=lambda r: (-r.tf, r.gram))}
     terms = list(idf)
     rows = toy.collect()
     docs = {r.id: Counter(python_grams(r.prompt)) for r in rows}
@@ -69,14 +71,47 @@ def test_features_equal_a_direct_computation(spark, toy):
         assert r.features.toArray() == pytest.approx(x / np.linalg.norm(x))
 
 
+def test_the_vocabularies_of_several_models_are_chosen_at_once(toy):
+    by_part = written(gram_counts(toy.withColumn("model", F.col("id") % 3), ["model"]), "grams")
+    n_docs = toy.groupBy((F.col("id") % 3).alias("model")).agg(F.count("*").alias("n_docs"))
+    for limit in (1, 17, 10**6):
+        got = {(r.model, r.gram, r.tf, round(r.idf, 9)) for r in vocabulary(by_part, n_docs, limit, ["model"]).collect()}
+        one = {m: by_part.where(F.col("model") == m).drop("model") for m in range(3)}
+        sizes = {r.model: r.n_docs for r in n_docs.collect()}
+        want = {(m, r.gram, r.tf, round(r.idf, 9)) for m in range(3) for r in vocabulary(one[m], sizes[m], limit).collect()}
+        assert got == want and (limit > 17 or len(got) == 3 * limit)
+
+
+def test_features_need_no_python(toy):
+    fitted = TfidfRouter(50).fit(toy)
+    for scored in (fitted.score(toy), HashedTfidfRouter(1 << 10).fit(toy).score(toy)):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_hashed_features_equal_a_direct_computation(toy):
+    from pyspark.ml.feature import HashingTF
+
+    buckets = 512
+    place = HashingTF(numFeatures=buckets, inputCol="x", outputCol="y").indexOf
+    rows = toy.collect()
+    docs = {r.id: Counter(place(g) for g in python_grams(r.prompt)) for r in rows}
+    df = Counter(b for d in docs.values() for b in d)
+    fitted = HashedTfidfRouter(buckets).fit(toy)
+    assert fitted.idf == pytest.approx([math.log(81 / (1 + df[b])) + 1 if df[b] >= 2 else 0.0 for b in range(buckets)])
+    for r in weighted_features(hashed_counts(toy, buckets), fitted.idf).collect():
+        x = np.array([(1 + math.log(docs[r.id][b])) * fitted.idf[b] if docs[r.id][b] else 0.0 for b in range(buckets)])
+        assert r.features.toArray() == pytest.approx(x / np.linalg.norm(x))
+
+
 def test_scores_lie_between_0_and_1(toy, store):
-    for router in (RandomRouter(), LengthRouter(), OracleRouter(), TfidfRouter(), EmbeddingRouter(store)):
+    for router in (RandomRouter(), LengthRouter(), OracleRouter(), TfidfRouter(), HashedTfidfRouter(1 << 12), EmbeddingRouter(store)):
         scores = router.fit(toy).score(toy).agg(F.count("score"), F.min("score"), F.max("score")).first()
         assert scores[0] == 80 and 0 <= scores[1] <= scores[2] <= 1
 
 
 def test_learned_routers_find_an_obvious_pattern(toy, store):
-    for router in (TfidfRouter(), EmbeddingRouter(store)):
+    for router in (TfidfRouter(), HashedTfidfRouter(1 << 12), EmbeddingRouter(store)):
         means = dict(router.fit(toy).score(toy).groupBy("need_strong").agg(F.avg("score")).collect())
         assert means[True] > means[False] + 0.3
 
@@ -177,6 +212,21 @@ def test_missing_vectors_are_an_error(toy, store):
     assert with_embeddings(toy, store).count() == 80
 
 
+def test_a_plan_assigns_like_a_table_of_splits_and_moves_no_prompt(toy, store):
+    plan = sampling.plan_splits(toy)
+    rows = sorted((r.id, r.part, r.fold) for r in plan.assign(toy).collect())
+    joined = with_assignment(toy, sampling.make_splits(toy))
+    assert rows == sorted((r.id, r.part, r.fold) for r in joined.collect())
+    text = plan.assign(toy)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+    scores = {(r.setup, r.id): r.score for r in score_splits(toy, plan, "embedding", store=store).collect()}
+    for fold in range(5):
+        part = joined.join(store, "id")
+        fitted = EmbeddingRouter().fit(part.where(F.col("fold") != fold))
+        for r in fitted.score(part.where(F.col("fold") == fold)).collect():
+            assert scores["unseen_subjects", r.id] == pytest.approx(r.score, abs=1e-9)
+
+
 def test_every_row_is_scored_out_of_sample(toy, store):
     splits = sampling.make_splits(toy).persist()
     for name, options in (("length", {}), ("tfidf", {}), ("embedding", {"store": store})):
@@ -211,7 +261,7 @@ def test_own_router_can_be_registered(toy):
         ROUTERS.pop("marker")
 
 
-@pytest.mark.parametrize("name", ["random", "length", "tfidf", "embedding"])
+@pytest.mark.parametrize("name", ["random", "length", "tfidf", "tfidf_hashed", "embedding"])
 def test_trained_routers_are_saved_and_loaded(spark, toy, store, tmp_path, name):
     router = ROUTERS[name](store) if name == "embedding" else ROUTERS[name]()
     bundle = route.train_router(toy, router, 40.0)

@@ -20,6 +20,7 @@ NO_LETTER = "(no valid letter)"
 ENCODE_PREFIX = "query: "
 ENCODE_BATCH = 16
 MAX_FEATURES = 50_000
+HASH_BUCKETS = 1 << 18
 
 # Sizing of the distributed ordering (see operators/ordered.py).
 ROWS_PER_BUCKET = 1_000_000

@@ -109,7 +109,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _poisson_steps() -> np.ndarray:
+def poisson_steps() -> np.ndarray:
     """Where a 53-bit uniform passes from one Poisson(1) count to the next."""
     probabilities = [math.exp(-1) / math.factorial(j) for j in range(18)]
     return (np.cumsum(probabilities) * 2.0**53).astype(np.uint64)
@@ -120,7 +120,7 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         salts = _mix(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         u = _mix(keys.astype(np.uint64)[:, None] ^ salts[None, :]) >> np.uint64(11)
-    steps = _poisson_steps()
+    steps = poisson_steps()
     counts = np.zeros(u.shape, dtype=np.uint8)
     for step in steps[:3]:
         counts += u >= step

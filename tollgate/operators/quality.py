@@ -91,24 +91,45 @@ def split_questions(texts: DataFrame, text: str = "text") -> DataFrame:
     return lines.select(*texts.columns, F.inline(pair))
 
 
+# Bits of a sketch's index: 4,096 registers, a standard error of 1.04 / sqrt(4096) = 1.6 %.
+SKETCH_BITS = 12
+
+
+def profile_sketches(df: DataFrame, split: str) -> DataFrame:
+    """(split, column, n, nulls, sketch) for every other column, in one aggregate. Profiles of parts of a table can
+    be stored and merged by ``sketched_profile``."""
+    columns = [f for f in df.columns if f != split]
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count("*").alias("n"),
+            (F.count("*") - F.count(F.col(f"`{c}`"))).alias("nulls"),
+            F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), SKETCH_BITS).alias("sketch"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    return df.groupBy(split).agg(*stats).select(split, F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
+
+
+def sketched_profile(sketches: DataFrame, split: str) -> DataFrame:
+    """(split, column, n, nulls, distinct_values) of one or more profiles together; distinct values are estimated."""
+    merged = sketches.groupBy(split, "column").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("sketch")
+    )
+    return merged.select(split, "column", "n", "nulls", F.hll_sketch_estimate("sketch").alias("distinct_values"))
+
+
 def profile_splits(df: DataFrame, split: str, exact: bool = False) -> DataFrame:
-    """(split, column, n, nulls, distinct) for every other column.
+    """(split, column, n, nulls, distinct_values) for every other column.
 
     The exact form counts each (split, column, value) first, so one frequent value is
-    one pre-aggregated row; the default uses a sketch and a single pass.
+    one pre-aggregated row; the default uses sketches and a single pass.
     """
-    columns = [c for c in df.columns if c != split]
     if not exact:
-        stats = df.groupBy(split).agg(
-            F.count("*").alias("n"),
-            *[F.struct((F.count("*") - F.count(c)).alias("nulls"), F.approx_count_distinct(c).alias("values")).alias(c)
-              for c in columns],
-        )
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c)["nulls"].alias("nulls"),
-                          F.col(c)["values"].alias("distinct_values")) for c in columns]
-        return stats.select(split, "n", F.inline(F.array(*cells)))
+        return sketched_profile(profile_sketches(df, split), split)
+    columns = [c for c in df.columns if c != split]
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
     ])
     values = df.select(split, F.inline(cells)).groupBy(split, "column", "value").agg(F.count("*").alias("m"))
     return values.groupBy(split, "column").agg(

@@ -14,7 +14,7 @@ from tollgate.routers.base import ROUTERS, Router, balanced_lr, positive_score
 from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
 from tollgate.routers.embedding import EmbeddingRouter, with_vectors
 from tollgate.routers.regression import fit_balanced, score_of
-from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, weighted_features
+from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, vocabulary, weighted_features
 from tollgate.session import measured, spread, written
 
 COLUMNS = ("setup", "router", "fold", "id", "subject", "weak_correct", "strong_correct", "need_strong", "score")
@@ -92,17 +92,21 @@ def _length_scores(assigned: DataFrame) -> DataFrame:
 
 def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
     """Terms are counted once per (part, fold), and a model's counts are the sum over its
-    training cells. Texts become counts over the terms of all models once; each model
+    training cells; all vocabularies are chosen at once. Texts become counts over the terms of all models once; each model
     then weighs them with its own idf, which is 0 for terms it does not know."""
     sizes = measured(assigned.groupBy("part", "fold").agg(F.count("*").alias("n")))
     texts = spread(assigned, sizes.agg(F.sum("n")).first()[0] or 0)
-    cells = gram_counts(texts, ["part", "fold"]).persist()
-    models = _models(assigned)
-    idfs = []
-    for _, _, is_train, _ in models:
-        counts = cells.where(is_train).groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        idfs.append(router.idf_of_terms(counts, sizes.where(is_train).agg(F.sum("n")).first()[0]))
-    cells.unpersist()
+    models = _models(sizes)
+    trained = F.array(*[F.when(is_train, F.lit(m)) for m, (_, _, is_train, _) in enumerate(models)])
+    by_model = F.explode(F.array_compact(trained)).alias("model")
+    cells = gram_counts(texts, ["part", "fold"]).select("gram", "tf", "df", by_model)
+    counts = written(cells.groupBy("model", "gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "grams")
+    n_docs = measured(sizes.select("n", by_model).groupBy("model").agg(F.sum("n").alias("n_docs")))
+    idfs: list[dict[str, float]] = [{} for _ in models]
+    for row in vocabulary(counts, n_docs, router.max_features, ["model"]).collect():
+        idfs[row["model"]][row["gram"]] = row["idf"]
+    if not all(idfs):
+        raise ValueError("no gram occurs in two training texts")
     terms = sorted(set().union(*idfs))
     damped = written(damped_counts(texts, terms).drop("prompt"), "counts")
 

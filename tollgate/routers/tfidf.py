@@ -1,32 +1,31 @@
 """Character-gram TF-IDF plus logistic regression.
 
 Text is taken apart twice however many models are fitted: once to count the terms per part
-of the split, and once to turn each text into counts over the terms of all models. What
-reaches the driver is the vocabulary, at most ``max_features`` terms per model.
+of the split, and once to turn each text into counts over the terms of all models. The terms of a model
+are chosen by a threshold on their number, so only they, at most ``max_features`` per model, reach the driver;
+the hashed router needs no list of terms at all. All of it are expressions and
+transformers of the JVM.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tollgate.defaults import MAX_FEATURES
+from tollgate.defaults import HASH_BUCKETS, MAX_FEATURES, ROWS_PER_BUCKET
 from tollgate.functions.text import char_grams
+from tollgate.operators.keys import join_null_safe
+from tollgate.operators.ordered import running_totals
 from tollgate.routers.base import balanced_lr, positive_score, register_router, save_params
-from tollgate.session import spread, written
+from tollgate.session import measured, spread, written
 
 MIN_DOCUMENTS = 2
-
-
-@F.udf(returnType=VectorUDT())
-def _dampen(v):
-    """1 + ln(tf). Spark has no transformer for it; the arithmetic is one NumPy call."""
-    return Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values))
+_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
 
 def gram_counts(df: DataFrame, by: Sequence[str] = (), text: str = "prompt") -> DataFrame:
@@ -41,19 +40,67 @@ def gram_counts(df: DataFrame, by: Sequence[str] = (), text: str = "prompt") ->
     return each.groupBy("gram", *by).agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(gram, tf, df, idf) of the most frequent grams found in at least two texts; idf is
-    smoothed: ln((1 + n) / (1 + df)) + 1."""
+def vocabulary(
+    counts: DataFrame,
+    n_docs: int | DataFrame,
+    max_features: int = MAX_FEATURES,
+    by: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """(by..., gram, tf, df, idf) of the most frequent grams found in at least two texts, ties by gram; idf is
+    smoothed: ln((1 + n) / (1 + df)) + 1. ``n_docs`` is a number, or (by..., n_docs).
+
+    The terms are not sorted: how many have which tf tells the tf at which the limit is reached, and
+    only the terms with just that tf are put in order. ``counts`` is read several times."""
+    by = list(by)
     kept = counts.where(F.col("df") >= MIN_DOCUMENTS)
-    idf = F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1
-    return kept.withColumn("idf", idf).orderBy(F.desc("tf"), "gram").limit(max_features)
+    sizes = kept.groupBy(*by, "tf").agg(F.count("*").alias("n"))
+    run = running_totals(sizes, by, [-F.col("tf")], {"upto": F.col("n")}, rows_per_bucket=rows_per_bucket)
+    last = F.max(F.when(F.col("upto") >= max_features, F.struct("tf", (F.col("upto") - F.col("n")).alias("before"))))
+    limits = run.groupBy(*by).agg(last.alias("__last"))
+    if by:
+        kept = join_null_safe(kept, measured(limits), by, "left")
+    else:
+        row = limits.first()["__last"]
+        kind = T.StructType([T.StructField("tf", T.LongType()), T.StructField("before", T.LongType())])
+        value = F.struct(F.lit(row["tf"]).alias("tf"), F.lit(row["before"]).alias("before")) if row else F.lit(None)
+        kept = kept.withColumn("__last", value.cast(kind))
+    at, columns = F.col("__last.tf"), [*by, "gram", "tf", "df"]
+    above = kept.where(at.isNull() | (F.col("tf") > at)).select(*columns)
+    ties = kept.where(F.col("tf") == at).select(*columns, F.col("__last.before").alias("__before"))
+    ties = running_totals(ties, by, [F.col("gram")], {"__place": F.lit(1)}, rows_per_bucket=rows_per_bucket)
+    ties = ties.where(F.col("__before") + F.col("__place") <= max_features).select(*columns)
+    chosen = above.unionByName(ties)
+    if isinstance(n_docs, DataFrame):
+        chosen, n = join_null_safe(chosen, n_docs, by), F.col("n_docs")
+    else:
+        n = F.lit(n_docs)
+    idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
+    return chosen.select(*columns, idf.alias("idf"))
+
+
+def _dampened(counts: str) -> Column:
+    """1 + ln(tf) of a sparse vector of counts. Vectors have no such transformer, so the parts of the
+    vector are taken out, changed, and put together again by way of its plain form."""
+    parts = F.unwrap_udt(F.col(counts))
+    values = F.transform(parts["values"], lambda tf: 1 + F.log(tf))
+    plain = F.struct(parts["type"].alias("type"), parts["size"].alias("size"), parts["indices"].alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(plain.alias("v"))), _VECTOR)["v"]
+
+
+def _damped(df: DataFrame, counter, text: str) -> DataFrame:
+    counted = counter.transform(df.withColumn("__grams", char_grams(F.col(text)))).drop("__grams")
+    return counted.withColumn("damped", _dampened("__tf")).drop("__tf")
 
 
 def damped_counts(df: DataFrame, terms: Sequence[str], text: str = "prompt") -> DataFrame:
     """Add ``damped``: 1 + ln(tf) of each term that occurs in the text."""
-    count = CountVectorizerModel.from_vocabulary(list(terms), inputCol="__grams", outputCol="__tf")
-    counted = count.transform(df.withColumn("__grams", char_grams(F.col(text)))).drop("__grams")
-    return counted.withColumn("damped", _dampen("__tf")).drop("__tf")
+    return _damped(df, CountVectorizerModel.from_vocabulary(list(terms), inputCol="__grams", outputCol="__tf"), text)
+
+
+def hashed_counts(df: DataFrame, buckets: int = HASH_BUCKETS, text: str = "prompt") -> DataFrame:
+    """The same for all terms, each counted in one of ``buckets`` places by its hash."""
+    return _damped(df, HashingTF(numFeatures=buckets, inputCol="__grams", outputCol="__tf"), text)
 
 
 def weighted_features(damped: DataFrame, idf: Sequence[float]) -> DataFrame:
@@ -69,16 +116,16 @@ class TfidfRouter:
         self.max_features = max_features
 
     def idf_of_terms(self, counts: DataFrame, n_docs: int) -> dict[str, float]:
-        """The vocabulary with its idf, at most ``max_features`` terms."""
-        rows = vocabulary(counts, n_docs, self.max_features).select("gram", "idf").collect()
+        """The vocabulary with its idf, at most ``max_features`` terms, most frequent first."""
+        rows = vocabulary(counts, n_docs, self.max_features).collect()
         if not rows:
             raise ValueError("no gram occurs in two training texts")
-        return {r["gram"]: r["idf"] for r in rows}
+        return {r["gram"]: r["idf"] for r in sorted(rows, key=lambda r: (-r["tf"], r["gram"]))}
 
     def fit(self, train: DataFrame) -> "FittedTfidfRouter":
         n = train.count()
         train = spread(train.select("prompt", "need_strong"), n)
-        idf = self.idf_of_terms(gram_counts(train), n)
+        idf = self.idf_of_terms(written(gram_counts(train), "grams"), n)
         features = weighted_features(damped_counts(train, list(idf)), list(idf.values()))
         model = balanced_lr(written(features.select("features", "need_strong"), "features"))
         return FittedTfidfRouter(list(idf), list(idf.values()), model)
@@ -106,4 +153,43 @@ class FittedTfidfRouter:
         return cls([r["gram"] for r in rows], [r["idf"] for r in rows], model)
 
 
+class HashedTfidfRouter:
+    """TF-IDF without a vocabulary: for texts whose terms should not pass the driver. A bucket's document count
+    gives its idf; buckets found in a single text are left out."""
+
+    def __init__(self, buckets: int = HASH_BUCKETS):
+        self.buckets = buckets
+
+    def fit(self, train: DataFrame) -> "FittedHashedTfidfRouter":
+        n = train.count()
+        damped = hashed_counts(spread(train.select("prompt", "need_strong"), n), self.buckets)
+        damped = written(damped.select("damped", "need_strong"), "counts")
+        found = IDF(inputCol="damped", outputCol="__idf").fit(damped).docFreq
+        idf = [math.log((1 + n) / (1 + df)) + 1 if df >= MIN_DOCUMENTS else 0.0 for df in found]
+        if not any(idf):
+            raise ValueError("no gram occurs in two training texts")
+        model = balanced_lr(written(weighted_features(damped, idf), "features"))
+        return FittedHashedTfidfRouter(idf, model)
+
+
+class FittedHashedTfidfRouter:
+    def __init__(self, idf: list[float], model: LogisticRegressionModel):
+        self.idf, self.model = idf, model
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return positive_score(self.model, weighted_features(hashed_counts(df, len(self.idf)), self.idf))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        rows = spark.createDataFrame([(self.idf,)], "idf array<double>")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/idf")
+        self.model.write().overwrite().save(f"{path}/model")
+        save_params(spark, path, "tfidf_hashed")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, params: dict) -> "FittedHashedTfidfRouter":
+        return cls(spark.read.parquet(f"{path}/idf").first()["idf"], LogisticRegressionModel.load(f"{path}/model"))
+
+
 register_router("tfidf", TfidfRouter, FittedTfidfRouter)
+register_router("tfidf_hashed", HashedTfidfRouter, FittedHashedTfidfRouter)

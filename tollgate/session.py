@@ -55,7 +55,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_SCRATCH[-1] if _SCRATCH else own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Tables of the catalog whose files lie in the shared folder, by name.
+_TABLES: dict[str, str] = {}
+
+
+def note_table(name: str, path: str) -> None:
+    """A table of the catalog that is to go when its folder is removed."""
+    _TABLES[name] = path
+
+
 def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, and the tables of the catalog that lie in it."""
+    for name in [n for n, path in _TABLES.items() if f"{path}/".startswith(f"{folder.rstrip('/')}/")]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del _TABLES[name]
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
