@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.session import new_path
+from tollgate.session import new_path, note_table
 
 PART_BYTES = 8 << 20
 SLICE_KEYS = 1_000_000
@@ -38,7 +38,8 @@ class Stage:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES):
         spark = docs.sparkSession
         name, path = f"parts_{uuid.uuid4().hex}", new_path(spark, "parts")
-        buckets = min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # A file per bucket and task at least is written now and by each pass, so not more buckets than tasks are needed.
+        buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +52,7 @@ class Stage:
 
         parts = rows.mapInArrow(number, f"{PART}, doc_id long, text string")
         parts.write.bucketBy(buckets, "part").option("path", path).format("parquet").saveAsTable(name)
+        note_table(name, path)
         self.docs = spark.table(name)
         self.n_bytes = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

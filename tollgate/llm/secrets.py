@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.functions.arrays import in_lists
 from tollgate.session import written
 
 # The base kinds with their patterns, in order.
@@ -49,22 +50,36 @@ ENCODINGS = (
 # A published polynomial for the tail of the normal distribution.
 TAIL_SCALE, TAIL = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 SPAN = "array<struct<start:int,end:int,text:string>>"
+#: Values of a run, see ``running``; spans beyond which a text is taken apart into characters once.
+RUN, MANY = 256, 64
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Values merged with all before them. Runs of values are folded by themselves, then shifted by the runs
+    before, so the work grows with their number and not with its square."""
+
+    def fold(xs: Column, first: Column) -> Column:
+        last = lambda done: F.get(done, F.size(done) - 1)
+        return F.aggregate(xs, F.array(first), lambda done, x: F.concat(done, F.array(merge(last(done), x))))
+
+    local = F.transform(in_lists(values, RUN), lambda run: F.slice(fold(run, F.lit(0)), 2, RUN))
+    before = lambda runs: fold(F.transform(runs, lambda run: F.get(run, F.size(run) - 1)), F.lit(0))
+    shifted = lambda runs: F.flatten(F.zip_with(runs, F.slice(before(runs), 1, F.size(runs)), lambda run, base: F.transform(run, lambda x: merge(base, x))))
+    return F.when(F.size(values) > 0, _let(local, shifted)).otherwise(F.array().cast("array<int>"))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, text): lengths of gaps and matches summed up along the text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(done: Column, item: Column) -> Column:
-        begin = done["at"] + item["gap"]
-        end = begin + F.length(item["text"])
-        span = F.struct(begin.alias("start"), end.alias("end"), item["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def spans(found: Column) -> Column:
+        items = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda t, g: F.struct(t.alias("text"), F.length(t).alias("length"), g.alias("gap")))
+        ends = lambda items: running(F.transform(items, lambda x: x["gap"] + x["length"]), lambda a, b: a + b)
+        placed = lambda x, end: F.struct((end - x["length"]).alias("start"), end.alias("end"), x["text"].alias("text"))
+        return _let(items, lambda items: F.zip_with(items, ends(items), placed))
 
-    items = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda t, g: F.struct(t.alias("text"), g.alias("gap")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(items, start, step, lambda done: done["spans"])).otherwise(F.array().cast(SPAN))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(found, spans)).otherwise(F.array().cast(SPAN))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -218,12 +233,18 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span replaced; spans that overlap are replaced as one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    tops = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+    def joined(part: Callable[[Column, Column], Column]) -> Column:
+        """``part`` is the text from one place to another; a span adds what stands between it and the spans before."""
+
+        def pieces(tops: Column) -> Column:
+            from_ = F.concat(F.array(F.lit(0)), F.slice(tops, 1, F.size(tops) - 1))
+            each = F.zip_with(spans, from_, lambda s, at: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(each, ""), part(F.get(tops, F.size(tops) - 1), F.length(text)))
 
-    def step(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        piece = F.when(s["start"] >= done["at"], F.array(before, F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["parts"], piece).alias("parts"))
+        return _let(tops, pieces)
 
-    joined = F.aggregate(spans, start, step, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, d["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    few = joined(lambda a, b: F.substring(text, a + 1, b - a))
+    many = _let(F.split(text, ""), lambda chars: joined(lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")))
+    return F.when(F.size(spans) > MANY, many).when(F.size(spans) > 0, few).otherwise(text)
