@@ -3,12 +3,13 @@
 quality    rejects documents by the quality rules
 near       keeps one document, the one with the smallest id, of each group of near copies
 secrets    replaces every secret in the texts
-mix        repeats and drops documents so that sources meet their target weights, in training order
+mix        repeats and drops documents so that sources meet their target weights; its files are in training order, but a stage
+           that reads them again need not keep it, so the order ends with this stage
 pieces     encodes each copy with merge-dropout, varied from copy to copy
 
 All but the last return the columns of ``documents``, further ones included. Null texts and texts without words go with
-the quality rules. In the near stage a row without id gets one made from its text, beyond all given ones, and of rows with
-one id one stays. An empty table passes through.
+the quality rules. In the near stage rows are told apart by id and text: of rows that have both in common one stays, and rows with one
+id but unlike texts are documents of their own. Of a group the smallest id stays, null last. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -57,17 +58,28 @@ def new_name() -> str:
 
 @tidy
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = new_name()
-    made = F.lit(MADE_IDS) + F.pmod(F.xxhash64("text"), F.lit(MADE_IDS))
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
+    key, seen, n = new_name(), new_name(), new_name()
+    id_ = F.col("doc_id").cast("long")
+    # Rows whose id does not name them alone get a key of their own, made from id and text, beyond all given ones.
+    repeated = written(docs.groupBy(id_.alias(seen)).agg(F.count("*").alias(n)).where((F.col(n) > 1) | F.col(seen).isNull()).select(seen), "repeated")
+    made = F.lit(MADE_IDS) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(MADE_IDS))
+    named = docs.join(repeated, id_.eqNullSafe(F.col(seen)), "left")
+    named = named.withColumn(key, F.when(F.col(seen).isNotNull() | F.col("doc_id").isNull(), made).otherwise(id_)).drop(seen)
     with scratch(spark) as folder:
         joined = jaccard_join.join(named, id_col=key)
-    first = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    first = written(first.groupBy(key).agg(F.count("*").alias("rows")), "first")
+    if not repeated.limit(1).count():  # every key is an id
+        first = written(joined.where("doc_id = component_id").select(F.col("doc_id").alias(key)), "first")
+        remove(spark, folder)
+        return named.join(first, key, "left_semi").select(docs.columns)
+    members = joined.select(F.col("doc_id").alias(key), "component_id").join(named.select(key, id_.alias(seen)).distinct(), key)
+    smallest = F.min(F.struct(F.col(seen).isNull(), F.col(seen), F.col(key).alias("key")))
+    first = members.groupBy("component_id").agg(smallest.alias("first"))
+    first = written(first.select(F.col("first.key").alias(key)), "first")
     remove(spark, folder)
-    kept = named.join(first.select(key), key, "left_semi")
-    if first.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
+    kept = named.join(first, key, "left_semi")
+    if first.where(F.col(key) >= MADE_IDS).limit(1).count():  # such a key stands for all rows with one id and text
+        is_made = F.col(key) >= MADE_IDS
+        kept = kept.where(~is_made).unionByName(kept.where(is_made).dropDuplicates([key]))
     return kept.select(docs.columns)
 
 
