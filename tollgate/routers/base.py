@@ -1,17 +1,11 @@
-"""Router contract, registry, and the shared logistic regression."""
+"""Router contract and registry."""
 
 from __future__ import annotations
 
 import json
 from typing import Protocol
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Stopping rule of the optimiser.
-MAX_ITERATIONS = 2000
-TOLERANCE = 1e-9
+from pyspark.sql import DataFrame, SparkSession
 
 
 class FittedRouter(Protocol):
@@ -44,43 +38,3 @@ def save_params(spark: SparkSession, path: str, kind: str, **params) -> None:
 def load_router(spark: SparkSession, path: str) -> FittedRouter:
     row = spark.read.parquet(f"{path}/params").first()
     return _LOADERS[row["kind"]].load(spark, path, json.loads(row["params"]))
-
-
-def with_class_weights(train: DataFrame, label: str = "need_strong") -> tuple[DataFrame, int]:
-    """Add ``weight`` = n / (2 * class size), so both classes weigh the same; also n."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
-    n, positives = sum(counts.values()), counts.get(True, 0)
-    if not 0 < positives < n:
-        raise ValueError("training rows need both classes")
-    weight = F.when(F.col(label), n / (2 * positives)).otherwise(n / (2 * (n - positives)))
-    return train.withColumns({"weight": weight, "label": F.col(label).cast("double")}), n
-
-
-def balanced_lr(train: DataFrame, features: str = "features", c: float = 1.0) -> LogisticRegressionModel:
-    """Class-balanced L2 logistic regression with inverse strength ``c``.
-
-    Spark minimises the weighted mean loss plus regParam/2 * |w|^2. The weights sum to n,
-    so regParam = 1 / (c * n) is the penalty of half |w|^2 against c times the loss sum.
-    ``train`` should be stored: it is read twice, then iterated over in memory.
-    """
-    weighted, n = with_class_weights(train)
-    weighted = weighted.select(features, "label", "weight")
-    lr = LogisticRegression(
-        featuresCol=features,
-        labelCol="label",
-        weightCol="weight",
-        regParam=1.0 / (c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=MAX_ITERATIONS,
-        tol=TOLERANCE,
-    )
-    return lr.fit(weighted)
-
-
-def positive_score(model: LogisticRegressionModel, df: DataFrame, features: str = "features") -> DataFrame:
-    """Add the probability of the positive class as ``score``."""
-    model = model.copy()
-    model.setFeaturesCol(features).setRawPredictionCol("").setPredictionCol("").setProbabilityCol("__p")
-    scored = model.transform(df)
-    return scored.withColumn("score", F.get(vector_to_array("__p"), F.lit(1))).drop("__p", features)

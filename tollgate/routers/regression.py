@@ -1,13 +1,14 @@
-"""Class-balanced L2 logistic regression over dense vectors, by Newton steps.
+"""Class-balanced L2 logistic regression by Newton steps, over dense vectors and over sparse ones.
 
-The rows are packed once into blocks. A step is one pass: each task adds up the gradient and
+The rows are packed once into blocks. Dense: a step is one pass: each task adds up the gradient and
 the curvature of its blocks, a matrix as wide as the vectors, and the driver solves the
-small system. Some eight passes suffice, and all models of a split are fitted in the same passes.
+small system; some eight passes suffice. Sparse: the curvature is known by its products only, a pass each, and conjugate
+gradients solve the step as closely as the gradient calls for. All models of a split are fitted in the same passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,3 +150,155 @@ def fit_balanced(
         if not active:
             return [Linear(tuple(w[:-1].tolist()), float(w[-1])) for w in at]
     raise ValueError(f"no minimum after {MAX_PASSES} passes")
+
+
+# --- sparse ----------------------------------------------------------------------------------
+
+# Length of the gradient, against the first one, at which a model is done.
+GRADIENT_TOLERANCE = 1e-8
+CG_STEPS = 60
+SPARSE_DRIVER_BYTES = 128 << 20
+
+
+def _packed_sparse(rows: DataFrame, scales: np.ndarray) -> DataFrame:
+    """Blocks of rows (indices, values, marks), with the length that each row has in each model; rows without features
+    get one with value 0."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            empty = np.flatnonzero(lengths == 0)
+            at = np.cumsum(lengths)[empty]
+            index = np.insert(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64), at, 0)
+            value = np.insert(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64), at, 0.0)
+            lengths[empty] = 1
+            starts = np.cumsum(lengths) - lengths
+            norms = np.stack([np.sqrt(np.add.reduceat((value * s[index]) ** 2, starts)) for s in scales])
+            marks = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+            parts = [lengths, index, value, np.where(norms > 0, norms, 1.0), marks]
+            names = ["lengths", "indices", "vals", "norms", "marks"]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=names)
+
+    return rows.mapInArrow(pack, "lengths binary, indices binary, vals binary, norms binary, marks binary")
+
+
+def _of_model(batch: pa.RecordBatch, scales: np.ndarray, models: list[int], class_weights: np.ndarray) -> Iterator[tuple]:
+    """(place among ``models``, lengths and starts of rows, indices, values, labels, weights) of each block and model."""
+    for lengths, index, value, norms, marks in zip(*(c.to_pylist() for c in batch.columns)):
+        lengths, index, value = np.frombuffer(lengths, np.int64), np.frombuffer(index, np.int64), np.frombuffer(value)
+        norms, marks = np.frombuffer(norms).reshape(-1, len(lengths)), np.frombuffer(marks, np.uint8).reshape(len(lengths), -1)
+        starts, label = np.cumsum(lengths) - lengths, marks[:, 0].astype(float)
+        for place, m in enumerate(models):
+            x = value * scales[m][index] / np.repeat(norms[m], lengths)
+            weight = np.where(label > 0, class_weights[m, 1], class_weights[m, 0]) * (marks[:, 1 + m] > 0)
+            yield place, lengths, starts, index, x, label, weight
+
+
+def fit_sparse(
+    rows: DataFrame,
+    scales: np.ndarray,
+    vector: str = "damped",
+    label: str = "need_strong",
+    sides: Sequence[Column] | None = None,
+    c: float = 1.0,
+) -> list[Linear]:
+    """One model for each of ``sides``, as ``fit_balanced``. The features of model m are the sparse ``vector`` times
+    ``scales[m]``, at unit length."""
+    sides = [F.lit(True)] if sides is None else list(sides)
+    marks = F.transform(F.array(F.col(label), *sides), lambda x: F.coalesce(x, F.lit(False)).cast("tinyint"))
+    parts = F.unwrap_udt(vector)
+    rows = written(rows.select(parts["indices"].alias("indices"), parts["values"].alias("vals"), marks.alias("marks")), "training")
+    here = lambda m: F.get("marks", F.lit(1 + m))
+    numbers = rows.agg(*[F.sum(here(m)) for m in range(len(sides))], *[F.sum(here(m) * F.get("marks", F.lit(0))) for m in range(len(sides))]).first()
+    n, p = numbers[: len(sides)], numbers[len(sides) :]
+    if any(not a or not 0 < b < a for a, b in zip(n, p)):
+        raise ValueError("training rows need both classes")
+    class_weights = np.array([[a / (2 * (a - b)), a / (2 * b)] for a, b in zip(n, p)])
+    blocks = written(_packed_sparse(rows, scales), "blocks")
+    wide = scales.shape[1] + 1
+    ridge = np.append(np.ones(wide - 1), 0.0)
+    at = np.zeros((len(sides), wide))
+
+    def over(models: list[int], columns: list[np.ndarray], measure: Callable[..., None], width: int) -> np.ndarray:
+        """``columns`` are vectors per model; ``measure`` gets the sums of each row with them, the first being its weights."""
+
+        def run(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((len(models), width))
+            for place, lengths, starts, index, x, y, weight in _of_model(batch, scales, models, class_weights):
+                vectors = np.stack([c[place] for c in columns], axis=1)
+                sums = np.add.reduceat(vectors[index] * x[:, None], starts) + vectors[-1]
+                q = 0.5 * (1 + np.tanh(sums[:, 0] / 2))
+                measure(out[place], lengths, index, x, y, weight, sums, q)
+            return out
+
+        return summed(blocks, run, (len(models), width), SPARSE_DRIVER_BYTES)
+
+    def slopes(models: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Objective, gradient and the diagonal of the curvature."""
+
+        def measure(out, lengths, index, x, y, weight, sums, q):
+            miss, bend = weight * (q - y), weight * q * (1 - q)
+            out[0] += weight @ (np.logaddexp(0, sums[:, 0]) - y * sums[:, 0])
+            out[1:wide] += np.bincount(index, x * np.repeat(miss, lengths), wide - 1)
+            out[wide] += miss.sum()
+            out[wide + 1 : -1] += np.bincount(index, x * x * np.repeat(bend, lengths), wide - 1)
+            out[-1] += bend.sum()
+
+        got = c * over(models, [at[models]], measure, 1 + 2 * wide)
+        value = got[:, 0] + 0.5 * ((at[models] * ridge) * at[models]).sum(axis=1)
+        return value, got[:, 1 : 1 + wide] + at[models] * ridge, got[:, 1 + wide :] + ridge
+
+    def curved(models: list[int], directions: np.ndarray) -> np.ndarray:
+        def measure(out, lengths, index, x, y, weight, sums, q):
+            pull = weight * q * (1 - q) * sums[:, 1]
+            out[:-1] += np.bincount(index, x * np.repeat(pull, lengths), wide - 1)
+            out[-1] += pull.sum()
+
+        return c * over(models, [at[models], directions], measure, wide) + directions * ridge
+
+    def solved(models: list[int], gradients: np.ndarray, diagonals: np.ndarray, close: np.ndarray) -> np.ndarray:
+        """Steps against the gradients, by conjugate gradients, each until its rest is short enough."""
+        steps, rest = np.zeros_like(gradients), -gradients
+        scaled = rest / diagonals
+        directions, size = scaled.copy(), (rest * scaled).sum(axis=1)
+        active = np.arange(len(models))
+        for _ in range(CG_STEPS):
+            active = active[np.linalg.norm(rest[active], axis=1) > close[active]]
+            if not len(active):
+                break
+            product = curved([models[i] for i in active], directions[active])
+            length = size[active] / (directions[active] * product).sum(axis=1)
+            steps[active] += length[:, None] * directions[active]
+            rest[active] -= length[:, None] * product
+            scaled = rest[active] / diagonals[active]
+            grown = (rest[active] * scaled).sum(axis=1)
+            directions[active] = scaled + (grown / size[active])[:, None] * directions[active]
+            size[active] = grown
+        return steps
+
+    active, best, base, steps = list(range(len(sides))), np.full(len(sides), np.inf), at.copy(), np.zeros_like(at)
+    first = np.zeros(len(sides))
+    for _ in range(MAX_PASSES):
+        values, gradients, diagonals = slopes(active)
+        good, lengths = [], np.linalg.norm(gradients, axis=1)
+        for i, m in enumerate(list(active)):
+            if values[i] > best[m] + 1e-12 * abs(best[m]):  # too far: half the way
+                steps[m] /= 2
+                at[m] = base[m] + steps[m]
+                continue
+            first[m] = max(first[m], lengths[i])
+            if lengths[i] <= GRADIENT_TOLERANCE * max(first[m], 1.0):
+                active.remove(m)
+                continue
+            base[m], best[m] = at[m].copy(), values[i]
+            good.append((i, m))
+        if not active:
+            return [Linear(tuple(w[:-1].tolist()), float(w[-1])) for w in at]
+        if good:
+            i, m = [g for g, _ in good], [g for _, g in good]
+            close = lengths[i] * np.minimum(0.1, np.sqrt(lengths[i] / np.maximum(first[m], 1.0)))
+            steps[m] = solved(m, gradients[i], diagonals[i], close)
+            at[m] = base[m] + steps[m]
+    raise ValueError(f"no minimum after {MAX_PASSES} passes")

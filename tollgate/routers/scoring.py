@@ -6,15 +6,16 @@ from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.operators.sampling import SplitPlan
-from tollgate.routers.base import ROUTERS, Router, balanced_lr, positive_score
+from tollgate.routers.base import ROUTERS, Router
 from tollgate.routers.baselines import LengthRouter, OracleRouter, RandomRouter, length_counts, length_shares
 from tollgate.routers.embedding import EmbeddingRouter, with_vectors
-from tollgate.routers.regression import fit_balanced, score_of
-from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, vocabulary, weighted_features
+from tollgate.routers.regression import fit_balanced, fit_sparse, score_of
+from tollgate.routers.tfidf import TfidfRouter, damped_counts, gram_counts, sparse_score, vocabulary, weighted_features
 from tollgate.session import measured, spread, written
 
 COLUMNS = ("setup", "router", "fold", "id", "subject", "weak_correct", "strong_correct", "need_strong", "score")
@@ -93,7 +94,7 @@ def _length_scores(assigned: DataFrame) -> DataFrame:
 def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
     """Terms are counted once per (part, fold), and a model's counts are the sum over its
     training cells; all vocabularies are chosen at once. Texts become counts over the terms of all models once; each model
-    then weighs them with its own idf, which is 0 for terms it does not know."""
+    then weighs them with its own idf, which is 0 for terms it does not know. All models are fitted in the same passes."""
     sizes = measured(assigned.groupBy("part", "fold").agg(F.count("*").alias("n")))
     texts = spread(assigned, sizes.agg(F.sum("n")).first()[0] or 0)
     models = _models(sizes)
@@ -110,14 +111,15 @@ def _tfidf_scores(assigned: DataFrame, router: TfidfRouter) -> DataFrame:
     terms = sorted(set().union(*idfs))
     damped = written(damped_counts(texts, terms).drop("prompt"), "counts")
 
+    scales = np.array([[idf.get(t, 0.0) for t in terms] for idf in idfs])
+    fitted = fit_sparse(damped, scales, sides=[is_train for _, _, is_train, _ in models])
+
     def score(index: int) -> DataFrame:
-        setup, fold, is_train, is_test = models[index]
-        rows = weighted_features(damped, [idfs[index].get(t, 0.0) for t in terms])
-        model = balanced_lr(rows.where(is_train))
-        test = rows.where(is_test).withColumns({"setup": F.lit(setup), "fold": F.lit(fold)})
-        return positive_score(model, test).select(*[c for c in COLUMNS if c != "router"])
+        setup, fold, _, is_test = models[index]
+        test = damped.where(is_test).withColumns({"setup": F.lit(setup), "fold": F.lit(fold)})
+        return sparse_score(weighted_features(test, scales[index].tolist()), fitted[index]).select(*[c for c in COLUMNS if c != "router"])
 
-    return reduce(DataFrame.unionByName, _at_once(score, len(models)))
+    return reduce(DataFrame.unionByName, map(score, range(len(models))))
 
 
 def _embedding_scores(assigned: DataFrame, router: EmbeddingRouter) -> DataFrame:

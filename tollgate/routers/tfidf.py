@@ -3,8 +3,8 @@
 Text is taken apart twice however many models are fitted: once to count the terms per part
 of the split, and once to turn each text into counts over the terms of all models. The terms of a model
 are chosen by a threshold on their number, so only they, at most ``max_features`` per model, reach the driver;
-the hashed router needs no list of terms at all. All of it are expressions and
-transformers of the JVM.
+the hashed router needs no list of terms at all. Features and scores are expressions and
+transformers of the JVM; only the fit runs numpy in its tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegressionModel
+import numpy as np
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -21,7 +21,8 @@ from tollgate.defaults import HASH_BUCKETS, MAX_FEATURES, ROWS_PER_BUCKET
 from tollgate.functions.text import char_grams
 from tollgate.operators.keys import join_null_safe
 from tollgate.operators.ordered import running_totals
-from tollgate.routers.base import balanced_lr, positive_score, register_router, save_params
+from tollgate.routers.base import register_router, save_params
+from tollgate.routers.regression import Linear, fit_sparse
 from tollgate.session import measured, spread, written
 
 MIN_DOCUMENTS = 2
@@ -111,6 +112,14 @@ def weighted_features(damped: DataFrame, idf: Sequence[float]) -> DataFrame:
     return unit.transform(weigh.transform(damped)).drop("damped", "__weighted")
 
 
+def sparse_score(rows: DataFrame, model: Linear, features: str = "features") -> DataFrame:
+    """Add ``score`` in place of the features: the logistic function of their weighted sum."""
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(model.coefficients), inputCol=features, outputCol="__products")
+    values = F.unwrap_udt("__products")["values"]
+    total = F.aggregate(values, F.lit(float(model.intercept)), lambda s, x: s + x)
+    return weigh.transform(rows).withColumn("score", 1 / (1 + F.exp(-total))).drop("__products", features)
+
+
 class TfidfRouter:
     def __init__(self, max_features: int = MAX_FEATURES):
         self.max_features = max_features
@@ -126,30 +135,29 @@ class TfidfRouter:
         n = train.count()
         train = spread(train.select("prompt", "need_strong"), n)
         idf = self.idf_of_terms(written(gram_counts(train), "grams"), n)
-        features = weighted_features(damped_counts(train, list(idf)), list(idf.values()))
-        model = balanced_lr(written(features.select("features", "need_strong"), "features"))
+        (model,) = fit_sparse(damped_counts(train, list(idf)), np.array([list(idf.values())]))
         return FittedTfidfRouter(list(idf), list(idf.values()), model)
 
 
 class FittedTfidfRouter:
-    def __init__(self, terms: list[str], idf: list[float], model: LogisticRegressionModel):
+    def __init__(self, terms: list[str], idf: list[float], model: Linear):
         self.terms, self.idf, self.model = terms, idf, model
 
     def score(self, df: DataFrame) -> DataFrame:
-        return positive_score(self.model, weighted_features(damped_counts(df, self.terms), self.idf))
+        return sparse_score(weighted_features(damped_counts(df, self.terms), self.idf), self.model)
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
         vocab = spark.createDataFrame(rows, "position int, gram string, idf double")
         vocab.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(spark, f"{path}/model")
         save_params(spark, path, "tfidf")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, params: dict) -> "FittedTfidfRouter":
         rows = spark.read.parquet(f"{path}/vocabulary").orderBy("position").collect()
-        model = LogisticRegressionModel.load(f"{path}/model")
+        model = Linear.load(spark, f"{path}/model")
         return cls([r["gram"] for r in rows], [r["idf"] for r in rows], model)
 
 
@@ -168,27 +176,27 @@ class HashedTfidfRouter:
         idf = [math.log((1 + n) / (1 + df)) + 1 if df >= MIN_DOCUMENTS else 0.0 for df in found]
         if not any(idf):
             raise ValueError("no gram occurs in two training texts")
-        model = balanced_lr(written(weighted_features(damped, idf), "features"))
+        (model,) = fit_sparse(damped, np.array([idf]))
         return FittedHashedTfidfRouter(idf, model)
 
 
 class FittedHashedTfidfRouter:
-    def __init__(self, idf: list[float], model: LogisticRegressionModel):
+    def __init__(self, idf: list[float], model: Linear):
         self.idf, self.model = idf, model
 
     def score(self, df: DataFrame) -> DataFrame:
-        return positive_score(self.model, weighted_features(hashed_counts(df, len(self.idf)), self.idf))
+        return sparse_score(weighted_features(hashed_counts(df, len(self.idf)), self.idf), self.model)
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         rows = spark.createDataFrame([(self.idf,)], "idf array<double>")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/idf")
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(spark, f"{path}/model")
         save_params(spark, path, "tfidf_hashed")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, params: dict) -> "FittedHashedTfidfRouter":
-        return cls(spark.read.parquet(f"{path}/idf").first()["idf"], LogisticRegressionModel.load(f"{path}/model"))
+        return cls(spark.read.parquet(f"{path}/idf").first()["idf"], Linear.load(spark, f"{path}/model"))
 
 
 register_router("tfidf", TfidfRouter, FittedTfidfRouter)
