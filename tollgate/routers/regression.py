@@ -155,7 +155,7 @@ def fit_balanced(
 # --- sparse ----------------------------------------------------------------------------------
 
 # Length of the gradient, against the first one, at which a model is done.
-GRADIENT_TOLERANCE = 1e-8
+GRADIENT_TOLERANCE = 1e-6
 CG_STEPS = 60
 SPARSE_DRIVER_BYTES = 128 << 20
 
