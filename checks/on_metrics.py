@@ -58,7 +58,7 @@ BY_LENGTH = f"{v.LABELLED}, by_length AS (SELECT *, length(prompt)::DOUBLE AS sc
 
 
 def by_length(spark, sf):
-    return v.labelled(spark, sf).withColumn("score", F.length("prompt").cast("double"))
+    return v.labelled(spark, sf, "CAST(length(text) AS DOUBLE)")
 
 
 @check("evaluate_by_length", f"WITH {BY_LENGTH}, {gains_sql('by_length')}, {curve_sql()} SELECT * FROM metric")
