@@ -2,10 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tollgate.functions import grams
 from tollgate.functions.text import char_grams
 from tollgate.operators import sampling
 from tollgate.operators.sums import summed
@@ -15,7 +18,7 @@ from tollgate.routers.baselines import FittedLengthRouter
 from tollgate.routers.embedding import with_embeddings
 from tollgate.routers.regression import fit_balanced, fit_sparse, score_of
 from tollgate.routers.scoring import score_splits, with_assignment
-from tollgate.routers.tfidf import HashedTfidfRouter, damped_counts, gram_counts, hashed_counts, sparse_score, vocabulary, weighted_features
+from tollgate.routers.tfidf import HashedTfidfRouter, damped_by_hash, damped_by_term, damped_counts, gram_counts, hashed_counts, sparse_score, text_grams, vocabulary, weighted_features
 from tollgate.session import written
 from tollgate.sources.bundle import Bundle, load_bundle, save_router
 
@@ -294,3 +297,49 @@ def test_cut_off_can_be_overridden_and_short_questions_are_left_out(spark):
     bundle = Bundle(RandomRouter(), 0.5, 50.0, 0)
     assert [(r.id, r.role) for r in route.route_batch(texts, bundle, cut=0.0).collect()] == [(1, "strong")]
     assert [r.role for r in route.route_batch(texts, bundle, cut=1.1).collect()] == ["weak"]
+
+
+ODD_TEXTS = ["Hello  wOrld a", "", None, "  \n ", "سؤال صعب", "x\n\ny 😀z", "don't — stop", "aaaa aaaaaa aaaa", "".join(map(chr, range(0x4E00, 0x6E00))), "Ünï\x85cödé\x1fzz"]
+
+
+@pytest.mark.parametrize("chars", [1, 40, 1 << 20])
+def test_counted_grams_are_those_of_char_grams(spark, monkeypatch, chars):
+    table = spark.createDataFrame([(i, i % 3 or None, t) for i, t in enumerate(2 * ODD_TEXTS)], "id long, side long, prompt string").coalesce(2)
+    each = table.select("id", "side", F.explode(char_grams(F.col("prompt"))).alias("gram"))
+    plain = each.groupBy("id", "gram").agg(F.count("*").alias("n"))
+    parts = list(grams.chunks(ODD_TEXTS))
+    monkeypatch.setattr(grams, "CHARS_PER_CHUNK", chars)
+    assert len(list(grams.chunks(ODD_TEXTS))) >= len(parts) == 1
+    assert Counter(text_grams(table).collect()) == Counter(plain.collect())
+    # The texts are shuffled, not the grams.
+    assert text_grams(table)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    twice = text_grams(table.select((F.col("id") % 10).alias("id"), "prompt"))
+    assert Counter(twice.collect()) == Counter(plain.groupBy((F.col("id") % 10).alias("id"), "gram").agg(F.sum("n").alias("n")).collect())
+    sums = each.groupBy("gram", "side").agg(F.count("*").alias("tf"), F.count_distinct("id").alias("df"))
+    assert Counter(gram_counts(table, ["side"]).collect()) == Counter(sums.collect())
+
+
+def test_tallies_with_many_letters_and_hashes_of_the_library(spark, monkeypatch):
+    texts = [t for t in ["\n".join(f" {w} " for w in (t or "").lower().split()) for t in ODD_TEXTS]]
+    wide = [(t.grams.take(t.gram).to_pylist(), t.row.tolist(), t.count.tolist()) for t in grams.tallies(texts)]
+    monkeypatch.setattr(grams, "KEY_BITS", 0)
+    nested = [(t.grams.take(t.gram).to_pylist(), t.row.tolist(), t.count.tolist()) for t in grams.tallies(texts[:8])]
+    monkeypatch.setattr(grams, "KEY_BITS", 62)
+    packed = [(t.grams.take(t.gram).to_pylist(), t.row.tolist(), t.count.tolist()) for t in grams.tallies(texts[:8])]
+    assert [Counter(zip(*x)) for x in nested] == [Counter(zip(*x)) for x in packed]
+    assert sum(sum(c) for _, _, c in wide) == sum(len(python_grams(t or "")) for t in ODD_TEXTS)
+    strings = [g for x in wide for g in x[0]][:3000] + ["a", "abcd", "é", "€uro", "😀😀😀😀😀"]
+    table = spark.createDataFrame([([s],) for s in strings], "w array<string>")
+    library = HashingTF(numFeatures=1 << 18, inputCol="w", outputCol="v").transform(table).select(F.unwrap_udt("v")["indices"][0].alias("i")).collect()
+    assert (grams.murmur3(pa.array(strings)) % (1 << 18)).tolist() == [r.i for r in library]
+
+
+def test_training_counts_are_those_of_the_transformers(spark):
+    table = spark.createDataFrame([(i, t or "") for i, t in enumerate(ODD_TEXTS)], "id long, prompt string")
+    terms = sorted({g for t in ODD_TEXTS for g in python_grams(t or "")})[::2]
+    for fast, plain in ((damped_by_term(table, terms), damped_counts(table, terms)), (damped_by_hash(table, 64), hashed_counts(table, 64))):
+        assert fast.schema == plain.schema
+        want = {r.id: r.damped for r in plain.collect()}
+        for r in fast.collect():
+            assert r.damped.size == want[r.id].size and r.damped.indices.tolist() == want[r.id].indices.tolist()
+            assert r.damped.values == pytest.approx(want[r.id].values)
