@@ -16,6 +16,7 @@ from tollgate.plans import route
 from tollgate.routers import ROUTERS, EmbeddingRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter, register_router
 from tollgate.routers.baselines import FittedLengthRouter
 from tollgate.routers.embedding import with_embeddings
+from tollgate.routers import regression
 from tollgate.routers.regression import fit_balanced, fit_sparse, score_of
 from tollgate.routers.scoring import score_splits, with_assignment
 from tollgate.routers.tfidf import HashedTfidfRouter, damped_by_hash, damped_by_term, damped_counts, gram_counts, hashed_counts, sparse_score, text_grams, vocabulary, weighted_features
@@ -343,3 +344,13 @@ def test_training_counts_are_those_of_the_transformers(spark):
         for r in fast.collect():
             assert r.damped.size == want[r.id].size and r.damped.indices.tolist() == want[r.id].indices.tolist()
             assert r.damped.values == pytest.approx(want[r.id].values)
+
+
+def test_sparse_blocks_stay_small_and_hold_every_row(spark, monkeypatch):
+    """A block used to hold all rows of a batch."""
+    monkeypatch.setattr(regression, "BLOCK_ENTRIES", 50)
+    rows = [(list(range(i % 4 * 5)), [1.0 + j for j in range(i % 4 * 5)], [i % 2, 1]) for i in range(200)]
+    table = spark.createDataFrame(rows, "indices array<int>, vals array<double>, marks array<tinyint>").coalesce(1)
+    blocks = regression._packed_sparse(table, np.ones((1, 15))).select(F.length("indices") / 4, F.length("lengths") / 4).collect()
+    assert max(r[0] for r in blocks) <= 50 + 16 + 20 and len(blocks) > 20
+    assert sum(r[1] for r in blocks) == 200 and sum(r[0] for r in blocks) == 50 * (1 + 5 + 10 + 15)
