@@ -9,7 +9,7 @@ from tollgate.functions.letters import to_latin
 from tollgate.functions.questions import answer_text
 from tollgate.operators import answers, quality
 from tollgate.plans.collect import collect_answers
-from tollgate.session import new_path
+from tollgate.session import new_path, written
 from tollgate.sources import responses as log
 
 
@@ -220,8 +220,8 @@ FROM asked
 """,
 )
 def append_responses(spark, sf):
-    path = new_path(spark, "log")
+    path, sample = new_path(spark, "log"), written(v.questions(spark, sf), "sample")
     for run in (1, 2):
-        collect_answers(v.questions(spark, sf), path, "weak", v.PAIR, letter_by_length, seq=run, attempts=1)
+        collect_answers(sample, path, "weak", v.PAIR, letter_by_length, seq=run, attempts=1)
     columns = ["id", "role", "model", "raw", "parsed", "answer", "correct", F.col("seq").cast("int").alias("seq")]
     return log.read_responses(spark, path, "parquet").select(*columns)

@@ -173,6 +173,55 @@ def test_a_slice_that_is_tried_again_skips_what_it_committed(tmp_path):
     assert replies.SliceFiles(str(tmp_path), 3, 2, 1e9).asked() == {5, 6, 7}
 
 
+def test_a_slice_ends_in_few_files_and_always_shows_what_it_committed(tmp_path, monkeypatch):
+    monkeypatch.setattr(replies, "MERGE_ROWS", 100)
+    files, seen = replies.SliceFiles(str(tmp_path), 3, commit_rows=10, commit_seconds=1e9), []
+    write = files.write
+
+    def look():
+        seen.append(replies.SliceFiles(str(tmp_path), 3, 1, 1e9).asked())
+
+    def watched(rows):
+        look()  # as a run would that begins after this one was killed here
+        path = write(rows)
+        look()
+        return path
+
+    files.write = watched
+    for i in range(345):
+        files.add((i, "m", "A", 0.1, 1.0))
+        if i % 10 == 9:
+            assert replies.SliceFiles(str(tmp_path), 3, 1, 1e9).asked() == set(range(i + 1))
+    files.close()
+    assert replies.SliceFiles(str(tmp_path), 3, 1, 1e9).asked() == set(range(345))
+    assert len([p for p in (tmp_path / "slice=3").glob("*.parquet") if p.name[0] != "."]) == 4
+    assert len(seen) > 60 and all(a <= b for a, b in zip(seen, seen[1:]))
+
+
+def test_many_questions_make_larger_slices_not_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replies, "MAX_SLICES", 4)
+    monkeypatch.setattr(replies, "SLICES_PER_CORE", 0)
+    todo = spark.range(900).selectExpr("id", "concat('prompt ', id) AS prompt")
+    rows = replies.ask_durably(todo, flaky(1), "w1", str(tmp_path / "raw/run-1"), rows_per_slice=10).collect()
+    assert len(rows) == 4 and sum(r.answered for r in rows) == 900
+    saved = replies.committed(spark, str(tmp_path / "raw"))
+    assert sorted(r.id for r in saved.collect()) == list(range(900))
+    assert len([p for p in (tmp_path / "raw").rglob("*.parquet") if p.name[0] != "."]) == 4
+
+
+def test_a_run_takes_the_answer_key_from_the_sample_once(spark, sample, tmp_path):
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            evaluated.add(batch.num_rows)
+            yield batch
+
+    watched = sample.mapInArrow(seen, sample.schema)
+    assert collect_answers(watched, str(tmp_path / "log"), "weak", PAIR, flaky(1), seq=1) == 30
+    assert evaluated.value == 60  # the key and the prompts
+
+
 def test_refused_calls_are_not_repeated():
     tries = []
 

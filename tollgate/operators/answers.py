@@ -57,7 +57,12 @@ def answer_key(questions: DataFrame) -> DataFrame:
 def grade_replies(replies: DataFrame, questions: DataFrame) -> DataFrame:
     """Attach the answer key to raw replies, parse and grade them. Replies to unknown ids are left out:
     ``unknown_replies`` has them."""
-    return grade(parse_answers(replies.join(answer_key(questions), "id")))
+    return grade_by_key(replies, answer_key(questions))
+
+
+def grade_by_key(replies: DataFrame, key: DataFrame) -> DataFrame:
+    """``grade_replies`` with the questions' ``answer_key``."""
+    return grade(parse_answers(replies.join(key, "id")))
 
 
 def unknown_replies(replies: DataFrame, questions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from tollgate.operators.answers import grade_replies, pending
+from tollgate.operators.answers import answer_key, grade_by_key, pending
 from tollgate.operators.quality import with_prompts
 from tollgate.session import written
 from tollgate.sources.questions import path_exists
@@ -22,14 +22,14 @@ def raw_folder(log_path: str) -> str:
     return f"{log_path.rstrip('/')}-raw"
 
 
-def publish(sample: DataFrame, log_path: str, role: str, model: str, seq: int) -> int:
-    """Grade the committed replies that the log does not have and append them; how many there were."""
-    spark = sample.sparkSession
+def publish(key: DataFrame, log_path: str, role: str, model: str, seq: int) -> int:
+    """Grade the committed replies that the log does not have by the sample's ``answer_key`` and append them; how many there were."""
+    spark = key.sparkSession
     replies = committed(spark, raw_folder(log_path)).where(F.col("model") == model)
     if path_exists(spark, log_path):
         logged = read_responses(spark, log_path, "parquet").select("id", "model").distinct()
         replies = replies.join(logged, ["id", "model"], "left_anti")
-    graded = grade_replies(replies, sample).withColumns({"role": F.lit(role), "seq": F.lit(seq).cast("bigint")})
+    graded = grade_by_key(replies, key).withColumns({"role": F.lit(role), "seq": F.lit(seq).cast("bigint")})
     graded = written(graded.select(*COLUMNS), "graded")
     append_responses(graded, log_path)
     return graded.count()
@@ -52,12 +52,13 @@ def collect_answers(
     them, when the answer function gave up.
     """
     spark, model = sample.sparkSession, pair[role]
-    publish(sample, log_path, role, model, seq)
+    key = written(answer_key(sample), "key")  # graded by twice; the sample may take work
+    publish(key, log_path, role, model, seq)
     todo = pending(sample, read_responses(spark, log_path, "parquet"), model)
     folder = f"{raw_folder(log_path)}/run-{seq}-{uuid.uuid4().hex}"
     outcome = ask_durably(with_prompts(todo), make_answer, model, folder, **options)
     stopped = outcome.agg(F.max("stopped")).first()[0]
-    answered = publish(sample, log_path, role, model, seq)
+    answered = publish(key, log_path, role, model, seq)
     if stopped:
         raise StopCalls("the answer function stopped the run; finished answers are saved")
     return answered

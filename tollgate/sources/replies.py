@@ -1,8 +1,10 @@
 """Paid calls whose replies outlive the job.
 
-The questions are dealt into slices by a hash of their id. A task asks the questions of its slices and commits
-every few replies as a file of their own in the shared folder: written under a hidden name, then renamed. A task that is tried again
-reads what its slice has committed and asks only the rest, and so does a later run after the driver was lost.
+The questions are dealt into slices by a hash of their id, one for each task; with many questions slices grow, not their number.
+A task commits every few replies as a file of their own in the shared folder: written under a hidden name, then renamed. After
+``MERGE_ROWS`` replies one file with all of them takes the place of the small ones, which go only when it can be read, so a
+reader may see a reply twice but never misses one. A task that is tried again reads what its slice has committed and asks only the
+rest, and so does a later run after the driver was lost.
 
 Before each call a task looks for the stop mark in the folder. The one whose answer function gives up writes it, so all
 partitions stop, also those that have not begun. Two attempts of one task at a time would both pay, so speculative
@@ -25,8 +27,12 @@ from tollgate.session import file_system, folders, written
 RAW = "id bigint, model string, raw string, seconds double, at double"
 OUTCOME = "slice bigint, answered bigint, failed bigint, stopped boolean"
 STOP = "_STOP"  # not a data file to readers
-ROWS_PER_SLICE = 200
+ROWS_PER_SLICE = 200  # more where that makes over MAX_SLICES, and over SLICES_PER_CORE for each core
+MAX_SLICES = 1_000
+SLICES_PER_CORE = 32
 COMMIT_ROWS = 20
+MERGE_ROWS = 1_000  # held by a task until they lie in one file
+BATCH_ROWS = 200
 COMMIT_SECONDS = 10.0
 _ARROW = pa.schema([("id", pa.int64()), ("model", pa.string()), ("raw", pa.string()), ("seconds", pa.float64()), ("at", pa.float64())])
 _OUTCOME = pa.schema([("slice", pa.int64()), ("answered", pa.int64()), ("failed", pa.int64()), ("stopped", pa.bool_())])
@@ -63,6 +69,8 @@ class SliceFiles:
         self.path = f"{path}/slice={number}"
         self.commit_rows, self.commit_seconds = commit_rows, commit_seconds
         self.waiting: list[tuple] = []
+        self.small: list[str] = []  # files committed since the last merge, and their rows
+        self.held: list[tuple] = []
         self.since = time.monotonic()
 
     def asked(self) -> set[int]:
@@ -76,14 +84,35 @@ class SliceFiles:
             self.commit()
 
     def commit(self) -> None:
-        if self.waiting:
-            name = f"{uuid.uuid4().hex}.parquet"
-            self.system.create_dir(self.path, recursive=True)
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*self.waiting), _ARROW)]
-            pq.write_table(pa.Table.from_arrays(columns, schema=_ARROW), f"{self.path}/.{name}", filesystem=self.system)
-            self.system.move(f"{self.path}/.{name}", f"{self.path}/{name}")
+        if len(self.held) + len(self.waiting) >= MERGE_ROWS:
+            self.merge()
+        elif self.waiting:
+            self.small.append(self.write(self.waiting))
+            self.held += self.waiting
         self.waiting, self.since = [], time.monotonic()
 
+    def close(self) -> None:
+        """Commit the last replies; the slice needs no small files any more."""
+        if len(self.small) + bool(self.waiting) > 1:
+            self.merge()
+            self.waiting = []
+        self.commit()
+
+    def merge(self) -> None:
+        """One file for all replies since the last one, in place of the small files."""
+        self.write(self.held + self.waiting)
+        for path in self.small:
+            self.system.delete_file(path)
+        self.small, self.held = [], []
+
+    def write(self, rows: list[tuple]) -> str:
+        name = f"{uuid.uuid4().hex}.parquet"
+        self.system.create_dir(self.path, recursive=True)
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)]
+        pq.write_table(pa.Table.from_arrays(columns, schema=_ARROW), f"{self.path}/.{name}", filesystem=self.system)
+        self.system.move(f"{self.path}/.{name}", f"{self.path}/{name}")
+        return f"{self.path}/{name}"
+
 
 def call(answer: Callable[[str], str], prompt: str, attempts: int, wait_seconds: float) -> tuple[str | None, str | None, bool]:
     """(reply, error, stop). A failed call is tried again after a growing wait; one that was refused for good is not."""
@@ -113,15 +142,17 @@ def ask_durably(
     """Ask a model for each (id, prompt) and commit the replies to ``folder``, as RAW; gives OUTCOME by slice. ``make_answer``
     runs once per partition and returns the function that maps a prompt to a reply. Failed calls are counted, not stored."""
     todo = written(todo.select("id", "prompt"), "todo")  # slices must not change while replies are paid for
-    slices = max(1, -(-todo.count() // rows_per_slice))
+    most = max(MAX_SLICES, SLICES_PER_CORE * todo.sparkSession.sparkContext.defaultParallelism)
+    slices = max(1, min(most, -(-todo.count() // rows_per_slice)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer, mark, outcomes, files, done, stopped = None, StopMark(folder), {}, None, set(), False
-        for batch in batches:
-            for number, key, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+        pieces = (batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
+        for piece in pieces:
+            for number, key, prompt in zip(*(c.to_pylist() for c in piece.columns)):
                 if number not in outcomes:
                     if files:
-                        files.commit()
+                        files.close()
                     outcomes[number] = [0, 0]
                     files = SliceFiles(folder, number, commit_rows, commit_seconds)
                     done = files.asked()
@@ -139,13 +170,13 @@ def ask_durably(
                     outcomes[number][0] += 1
                     files.add((key, model, raw, round(time.perf_counter() - started, 2), time.time()))
         if files:
-            files.commit()
+            files.close()
         rows = [(n, *counts, stopped) for n, counts in outcomes.items()]
         columns = list(zip(*rows)) if rows else [[] for _ in _OUTCOME]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUTCOME)], schema=_OUTCOME)
 
-    number = F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")
-    dealt = todo.select(number, "id", "prompt").repartition(slices, "slice").sortWithinPartitions("slice", "id")
+    number = F.spark_partition_id().cast("long").alias("slice")  # a function of the id, and the same when a task is tried again
+    dealt = todo.repartition(slices, "id").select(number, "id", "prompt").sortWithinPartitions("id")
     return dealt.mapInArrow(ask, OUTCOME)
 
 
