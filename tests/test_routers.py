@@ -16,7 +16,7 @@ from tollgate.plans import route
 from tollgate.routers import ROUTERS, EmbeddingRouter, LengthRouter, OracleRouter, RandomRouter, TfidfRouter, register_router
 from tollgate.routers.baselines import FittedLengthRouter
 from tollgate.routers.embedding import with_embeddings
-from tollgate.routers import regression
+from tollgate.routers import regression, tfidf
 from tollgate.routers.regression import fit_balanced, fit_sparse, score_of
 from tollgate.routers.scoring import score_splits, with_assignment
 from tollgate.routers.tfidf import HashedTfidfRouter, damped_by_hash, damped_by_term, damped_counts, gram_counts, hashed_counts, sparse_score, text_grams, vocabulary, weighted_features
@@ -354,3 +354,18 @@ def test_sparse_blocks_stay_small_and_hold_every_row(spark, monkeypatch):
     blocks = regression._packed_sparse(table, np.ones((1, 15))).select(F.length("indices") / 4, F.length("lengths") / 4).collect()
     assert max(r[0] for r in blocks) <= 50 + 16 + 20 and len(blocks) > 20
     assert sum(r[1] for r in blocks) == 200 and sum(r[0] for r in blocks) == 50 * (1 + 5 + 10 + 15)
+
+
+def test_texts_of_large_files_are_counted_in_tasks_with_the_same_values(spark, toy, tmp_path, monkeypatch):
+    """They went through regular expressions and JSON, some ten times the time."""
+    toy.write.parquet(str(tmp_path / "t"))
+    files, terms = spark.read.parquet(str(tmp_path / "t")), sorted({g for w in WORDS for g in python_grams(w)})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for counted in (lambda df: damped_counts(df, terms), lambda df: hashed_counts(df, 64)):
+        assert "Arrow" not in plan(counted(files)) and "Arrow" not in plan(counted(toy))
+        monkeypatch.setattr(tfidf, "TASK_BYTES", 100)
+        assert "MapInArrow" in plan(counted(files)) and "Arrow" not in plan(counted(toy))
+        want = {r.id: r.damped for r in counted(toy).collect()}
+        for r in counted(files).collect():
+            assert r.damped.indices.tolist() == want[r.id].indices.tolist() and r.damped.values == pytest.approx(want[r.id].values)
+        monkeypatch.undo()
