@@ -22,6 +22,7 @@ from tollgate.routers.scoring import score_splits, with_assignment
 from tollgate.routers.tfidf import HashedTfidfRouter, damped_by_hash, damped_by_term, damped_counts, gram_counts, hashed_counts, sparse_score, text_grams, vocabulary, weighted_features
 from tollgate.session import written
 from tollgate.sources.bundle import Bundle, load_bundle, save_router
+from tollgate.sources.kept import keep
 
 WORDS = ["river", "stone", "cloud", "lamp"]
 
@@ -369,3 +370,65 @@ def test_texts_of_large_files_are_counted_in_tasks_with_the_same_values(spark, t
         for r in counted(files).collect():
             assert r.damped.indices.tolist() == want[r.id].indices.tolist() and r.damped.values == pytest.approx(want[r.id].values)
         monkeypatch.undo()
+
+
+def test_packed_rows_take_three_bytes_an_entry_and_hold_everything(monkeypatch):
+    """An entry used to take twelve bytes."""
+    size = 3 * regression.SEGMENT + 7
+    counts = [{}, {5: 1, 65535: 255, 65536: 256, 196612: 70000}, {}, {i: 1 + i % 300 for i in range(0, size, 97)}, {size - 1: 2}, {}]
+    entries = np.array([(r, p, n) for r, found in enumerate(counts) for p, n in sorted(found.items())])
+    scales = np.random.default_rng(1).random((2, size))
+    packed = regression.packed_counts(*entries.T, len(counts), scales)
+    sizes = [regression._sizes(x) for x in packed.flatten()[:3]]
+    assert (sizes[1] + sizes[2]).tolist() == [3 * len(c) for c in counts]
+    marks = pa.array([[i % 2, 1, int(i < 4)] for i in range(len(counts))], pa.list_(pa.int8()))
+    for tile in (1, 100, 1 << 20):
+        monkeypatch.setattr(regression, "TILE_ENTRIES", tile)
+        rows = []
+        for lengths, starts, index, value, norms, y, mine in regression._tiles(pa.RecordBatch.from_arrays([packed, marks], names=["a", "b"])):
+            assert len({tuple(m[1:]) for m in mine.tolist()}) == 1
+            for i, (start, n) in enumerate(zip(starts, lengths)):
+                rows.append((index[start : start + n].tolist(), value[start : start + n], norms[:, i], y[i], mine[i].tolist()))
+        assert [r[0] for r in rows] == [sorted(c) for c in counts] and [r[4] for r in rows] == marks.to_pylist()
+        for found, (places, values, norms, y, mine) in zip(counts, rows):
+            want = 1 + np.log([found[p] for p in places])
+            assert values == pytest.approx(want) and y == mine[0]
+            assert norms == pytest.approx([np.linalg.norm(want * s[places]) or 1.0 for s in scales])
+
+
+def test_packed_counts_are_fitted_and_scored_like_vectors(spark, toy, tmp_path, monkeypatch):
+    toy.write.parquet(str(tmp_path / "t"))
+    files, terms = spark.read.parquet(str(tmp_path / "t")), sorted({g for r in toy.collect() for g in python_grams(r.prompt)})
+    scales = np.stack([np.ones(len(terms)), np.arange(len(terms)) % 3 / 2.0])
+    sides = [F.lit(True), F.col("id") % 5 != 0]
+    packed = tfidf.packed_by_term(toy.select("prompt", regression.marks_of("need_strong", sides).alias("marks")).repartition(3), terms, scales)
+    assert len(packed.paths) == 3
+    for a, b in zip(fit_sparse(packed, scales), fit_sparse(damped_by_term(toy, terms), scales, sides=sides)):
+        assert np.r_[a.coefficients, a.intercept] == pytest.approx(np.r_[b.coefficients, b.intercept], abs=1e-4)
+    for router in (TfidfRouter(200), HashedTfidfRouter(1 << 10)):
+        fitted = router.fit(toy)
+        want = {r.id: r.score for r in fitted.score(toy).collect()}
+        monkeypatch.setattr(tfidf, "TASK_BYTES", 100)
+        scored = fitted.score(files)
+        assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString() and scored.columns == [*toy.columns, "score"]
+        assert {r.id: r.score for r in scored.collect()} == pytest.approx(want)
+        monkeypatch.undo()
+
+
+def test_few_passes_fit_a_sparse_model(spark, monkeypatch):
+    """Newton steps took a pass for each of their conjugate gradients: 62 here."""
+    rng = np.random.default_rng(8)
+    n, d = 3000, 400
+    values = np.where(rng.random((n, d)) < np.minimum(0.9, 20 / np.arange(1, d + 1)), rng.integers(1, 9, (n, d)), 0)
+    y = rng.random(n) < 1 / (1 + np.exp(-0.3 * values @ rng.normal(size=d) / np.sqrt(20)))
+    row, place = np.nonzero(values)
+    scales = rng.gamma(2.0, 1.0, (1, d))
+    marks = pa.array([[int(c), 1] for c in y], pa.list_(pa.int8()))
+    rows = pa.RecordBatch.from_arrays([marks, regression.packed_counts(row, place, values[row, place], n, scales)], names=["marks", "damped"])
+    kept = keep(spark.range(0, 2, 1, 2), lambda batches: (rows.slice(1500 * i, 1500) for b in batches for i in b.column(0).to_pylist()), "counts")
+    passes = []
+    monkeypatch.setattr(regression, "summed", lambda *a: passes.append(1) or summed(*a))
+    (model,) = fit_sparse(kept, scales)
+    x = np.where(values > 0, 1 + np.log(np.maximum(values, 1)), 0.0) * scales
+    assert np.r_[model.coefficients, model.intercept] == pytest.approx(plain_newton(x / np.linalg.norm(x, axis=1, keepdims=True), y), abs=1e-4)
+    assert len(passes) < 45
